@@ -101,19 +101,19 @@ def _all(arrays: list[Column]) -> Column:
 
 def _left(text: Column, start: Column) -> Column:
     """Key of the two words before start, null if there are fewer within 80 characters (words longer than that make no pattern)."""
-    words = F.regexp_extract_all(F.lower(F.substring(text, F.greatest(start - 79, F.lit(1)), F.least(start, F.lit(80)))), F.lit(f"[^{SPACE}]+(?=[{SPACE}])"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.substring(text, F.greatest(start - 79, F.lit(1)), F.least(start, F.lit(80)))), F.lit(f"[^{SPACE}]++(?=[{SPACE}])"), F.lit(0))
     return let(words, lambda w: F.when(F.size(w) >= 2, F.xxhash64(F.get(w, F.size(w) - 2), F.get(w, F.size(w) - 1))))
 
 
 def mentions(base: DataFrame) -> DataFrame:
     """doc_id, text_key, start, end, kind, instance, pattern: seeds (kind set) and unknown identifier-like strings (kind null)."""
     every = _all([_tagged(k, F.lit(k)) for k in KINDS])
-    rows = base.select("doc_id", "text", every.alias("known"), _found(F.col("text"), CANDIDATE, None).alias("maybe"))
-    other = F.filter("maybe", lambda x: (F.length(_digits(x["match"])) >= DIGITS) & ~F.exists("known", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    slots = F.filter(F.concat("known", _tagged(other, F.lit(None).cast("string"))), lambda x: x["start"] > 0)
+    unknown = lambda known: lambda x: (F.length(_digits(x["match"])) >= DIGITS) & ~F.exists(known, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+    both = lambda known: F.concat(known, _tagged(F.filter(_found(F.col("text"), CANDIDATE, None), unknown(known)), F.lit(None).cast("string")))
+    slots = F.filter(let(every, both), lambda x: x["start"] > 0)
     left = F.transform(slots, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lower(x["match"]).alias("instance"), _left(F.col("text"), x["start"]).alias("pattern")))
     # the text itself stays behind before rows are made of its mentions
-    one = rows.select("doc_id", F.xxhash64("text").alias("text_key"), left.alias("left")).select("doc_id", "text_key", F.explode("left").alias("x"))
+    one = base.select("doc_id", F.xxhash64("text").alias("text_key"), left.alias("left")).select("doc_id", "text_key", F.explode("left").alias("x"))
     out = one.select("doc_id", "text_key", "x.start", "x.end", "x.kind", "x.instance", "x.pattern")
     return out.where("pattern IS NOT NULL")
 
