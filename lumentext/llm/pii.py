@@ -1,7 +1,7 @@
 """Personal data: fixed patterns give seeds, and bootstrapped contexts find identifiers that no fixed pattern knows.
 
-Base spans (email, ip, card, phone) come from regular expressions over the whole text. The words before a seed make a
-lexical pattern. Patterns and the identifier-like strings in their slots form a graph, scored in rounds: a pattern by the
+Base spans (email, ip, card, phone) come from regular expressions over the whole text. The three words before a seed make
+a lexical pattern. Patterns and the identifier-like strings in their slots form a graph, scored in rounds: a pattern by the
 share of all its occurrences in the corpus that hold a known identifier, an instance by the patterns that propose it.
 Instances of high confidence become spans of their own. DataFrame functions only.
 
@@ -36,6 +36,8 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 #: What may be an identifier in a pattern's slot: so many digits at least.
 CANDIDATE, DIGITS = r"(?<![0-9A-Za-z])(?=[A-Za-z]{0,16}[0-9])[0-9A-Za-z._:/-]{6,64}+", 4
+#: Words before an identifier that make a pattern; two would make patterns of common word pairs, which hold anything.
+WORDS = 3
 #: Rounds of scoring; distinct known instances that a pattern needs; confidence from which patterns and instances count.
 ROUNDS, SEEDS, CONFIDENCE = 3, 3, 0.5
 
@@ -100,9 +102,9 @@ def _all(arrays: list[Column]) -> Column:
 
 
 def _left(text: Column, start: Column) -> Column:
-    """Key of the two words before start, null if there are fewer within 80 characters (words longer than that make no pattern)."""
+    """Key of the WORDS words before start, null if there are fewer within 80 characters (words longer than that make no pattern)."""
     words = F.regexp_extract_all(F.lower(F.substring(text, F.greatest(start - 79, F.lit(1)), F.least(start, F.lit(80)))), F.lit(f"[^{SPACE}]++(?=[{SPACE}])"), F.lit(0))
-    return let(words, lambda w: F.when(F.size(w) >= 2, F.xxhash64(F.get(w, F.size(w) - 2), F.get(w, F.size(w) - 1))))
+    return let(words, lambda w: F.when(F.size(w) >= WORDS, F.xxhash64(*[F.get(w, F.size(w) - k) for k in range(WORDS, 0, -1)])))
 
 
 def mentions(base: DataFrame) -> DataFrame:
@@ -119,10 +121,11 @@ def mentions(base: DataFrame) -> DataFrame:
 
 
 def pattern_uses(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """pattern, n_uses: how often the two words of each pattern stand anywhere in the corpus, whatever follows them."""
+    """pattern, n_uses: how often the words of each pattern stand anywhere in the corpus, whatever follows them."""
     words = docs.where("text IS NOT NULL").select(F.expr(f"regexp_extract_all(lower(text), r'[^{SPACE}]+', 0)").alias("w"))
-    pairs = F.when(F.size("w") >= 2, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.xxhash64(a, b)))
-    used = words.select(F.explode(pairs).alias("pattern"))
+    word = lambda i: F.get("w", i)
+    runs = F.when(F.size("w") >= WORDS, F.transform(F.sequence(F.lit(0), F.size("w") - WORDS), lambda i: F.xxhash64(*[word(i + k) for k in range(WORDS)])))
+    used = words.select(F.explode(runs).alias("pattern"))
     return used.join(patterns.select("pattern"), "pattern").groupBy("pattern").agg(F.count("*").alias("n_uses"))
 
 
