@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, pii, quality, unigram
+from . import chat, packing, pii, quality, sharding, unigram
 from .scratch import stored, table
 
 
@@ -22,6 +22,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve shards, dealt by the hash of the text, become sixteen."""
+    old = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(12))
+    placed = sharding.reshard(table(spark, sf_dir, "documents"), 16, old)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.crc32(unigram.encoded(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")))
 
@@ -44,6 +51,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op5_sharding": op5_sharding,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_packing": op8_packing,
     "op9_chat": op9_chat,
