@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, packing, pii, quality, sharding, topk, unigram
+from . import chat, langid, packing, pii, quality, sharding, suffix, topk, unigram
 from .scratch import stored, table
 
 
@@ -41,6 +41,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.crc32(unigram.encoded(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op2_topk": op2_topk,
     "op4_langid": op4_langid,
     "op5_sharding": op5_sharding,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_packing": op8_packing,
     "op9_chat": op9_chat,
