@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, packing, pii, quality, sharding, suffix, topk, unigram
+from . import chat, langid, neardup, packing, pii, quality, sharding, suffix, topk, unigram
 from .scratch import stored, table
 
 
@@ -26,6 +26,10 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
@@ -61,6 +65,12 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.rendered(rows.unionByName(planted)))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -68,6 +78,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_topk": op2_topk,
+    "op3_neardup": op3_neardup,
     "op4_langid": op4_langid,
     "op5_sharding": op5_sharding,
     "op6_suffix_dedup": op6_suffix_dedup,
@@ -75,6 +86,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_chat": op9_chat,
     "op10_quality_rules": op10_quality_rules,
+    "pipeline": pipeline,
 }
 
 SQL = {
