@@ -135,7 +135,7 @@ def piece_vector(piece: str, std: float, width: int, seed: int = 0) -> np.ndarra
 
 def encode(sequences: DataFrame, probabilities: dict[str, float], width: int = 64, seed: int = 0) -> DataFrame:
     """seq_id, n, seed and context vectors of each position of each sequence; an error in one is told in its own row."""
-    from .vocab import soft_probabilities
+    from .vocab import soft_by_run
 
     shared = sequences.sparkSession.sparkContext.broadcast(probabilities)
     longest, base = max(map(len, probabilities), default=0), math.sqrt(2 / (width + len(probabilities)))
@@ -148,7 +148,7 @@ def encode(sequences: DataFrame, probabilities: dict[str, float], width: int = 6
             for seq_id, text in zip(f["seq_id"], f["text"], strict=True):
                 try:
                     h = np.zeros((len(text), width))
-                    for i, u, q in soft_probabilities(text, p, longest)[1]:
+                    for i, u, q in soft_by_run(text, p, longest):
                         if u not in vectors:
                             vectors[u] = piece_vector(u, std(u), width, seed)
                         h[i] += q * vectors[u]

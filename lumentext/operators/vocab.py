@@ -8,6 +8,7 @@ largest number of pieces, plus one for each character), so it may be sent to eve
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -216,6 +217,14 @@ def soft_probabilities(run: str, p: dict[str, float], longest: int) -> tuple[flo
     return forward[n], [(i, u, forward[i] * q * backward[j] / forward[n]) for i, j, u, q in edges]
 
 
+_RUN = re.compile(r"[ \t\n\r\x0b\f]+|[^ \t\n\r\x0b\f]+")
+
+
+def soft_by_run(text: str, p: dict[str, float], longest: int) -> list[tuple[int, str, float]]:
+    """The same for a whole text under a vocabulary of coherent pieces: run by run, so that no product gets too small."""
+    return [(m.start() + i, u, q) for m in _RUN.finditer(text) for i, u, q in soft_probabilities(m[0], p, longest)[1]]
+
+
 def forward_backward(runs: DataFrame, probabilities: dict[str, float]) -> DataFrame:
     """run, mult, total, soft: array of struct<pos, piece, p>."""
     shared, longest = runs.sparkSession.sparkContext.broadcast(probabilities), max(map(len, probabilities), default=0)

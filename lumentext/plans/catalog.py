@@ -397,8 +397,8 @@ def top_reasons(spark, sf_dir):
 # ---- spans ----------------------------------------------------------------------------------------------------------
 
 _ALIGNED = f"""{_CLASSES}, {_VOCAB}, good AS (SELECT piece FROM probs WHERE prob >= 1e-4),
-at AS (SELECT seq_id, lower(text) AS text, n, unnest(range(0, n)) AS s FROM seqs),
-sp AS (SELECT seq_id, CAST(s AS INTEGER) AS "start", CAST(s + k AS INTEGER) AS "end" FROM (SELECT *, unnest(range(1, least(8, n - s) + 1)) AS k FROM at) WHERE substring(text, s + 1, k) IN (SELECT piece FROM good))"""
+places AS (SELECT seq_id, lower(text) AS text, n, unnest(range(0, n)) AS s FROM seqs),
+sp AS (SELECT seq_id, CAST(s AS INTEGER) AS "start", CAST(s + k AS INTEGER) AS "end" FROM (SELECT *, unnest(range(1, least(8, n - s) + 1)) AS k FROM places) WHERE substring(text, s + 1, k) IN (SELECT piece FROM good))"""
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -414,7 +414,7 @@ def span_vocabulary_aligned(spark, sf_dir):
 
 
 @query(rf"""WITH {_CLASSES}, words AS (SELECT unnest(regexp_split_to_array(text, '[\x09-\x0D\x1C-\x20\x{{85}}\p{{Z}}]+')) AS w FROM seqs), w AS (SELECT least(max(length(w)), 256) AS m FROM words),
-at AS (SELECT seq_id, lower(text) AS text, n, m, unnest(range(0, n)) AS s FROM seqs, w), every AS (SELECT seq_id, k, substring(text, s + 1, k) AS span FROM (SELECT *, unnest(range(1, least(m, n - s) + 1)) AS k FROM at)),
+places AS (SELECT seq_id, lower(text) AS text, n, m, unnest(range(0, n)) AS s FROM seqs, w), every AS (SELECT seq_id, k, substring(text, s + 1, k) AS span FROM (SELECT *, unnest(range(1, least(m, n - s) + 1)) AS k FROM places)),
 core AS (SELECT *, regexp_replace(span, '{_STRIP}', '', 'g') AS c FROM every)
 SELECT seq_id, count(*) AS n_spans, CAST(sum(k) AS BIGINT) AS total_len FROM core WHERE c <> '' AND (NOT contains(c, ' ') OR (NOT regexp_matches(substring(span, 1, 1), '[\p{{L}}\p{{N}}]') AND NOT regexp_matches(substring(span, -1, 1), '[\p{{L}}\p{{N}}]'))
   OR regexp_full_match(c, '[\p{{L}}\p{{N}}\x09-\x0D\x1C-\x20\x{{85}}\p{{Z}}]+')) GROUP BY seq_id""")
