@@ -24,6 +24,7 @@ from .scratch import stored
 
 #: Labelled texts a language that the model is fitted on; hashed n-grams; centroids a language.
 SAMPLE, WIDTH, CENTROIDS, NGRAMS = 500, 1 << 13, 3, 3
+SALTS = 64
 #: A text is rejected if its cosine is below this part of what nearly all (QUANTILE) of its language's sample reach.
 REJECT, QUANTILE = 0.2, 0.01
 UNKNOWN = "und"
@@ -103,8 +104,11 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """learn: which rows may be learnt from. Of those, the sample with the smallest hashes a language goes to the driver, as sparse counts."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select(F.col("doc_id").alias("picked_id"), F.col("lang").alias("picked_lang"))
+    # the smallest of each of SALTS parts of a language first, so that a common language lies in no single task
+    order = F.xxhash64("doc_id"), F.col("doc_id")
+    salted = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(SALTS)).alias("salt"))
+    some = salted.withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("n") <= sample).drop("n", "salt")
+    picked = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("n") <= sample).select(F.col("doc_id").alias("picked_id"), F.col("lang").alias("picked_lang"))
     picked = stored(picked, "langid-sample")  # sample rows a language
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
