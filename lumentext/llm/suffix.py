@@ -3,9 +3,10 @@
 A byte goes if a string of LENGTH bytes that covers it also starts anywhere else. The suffixes that are sorted are chosen
 by content: of the hashes of all K-byte strings within a window of LENGTH bytes the smallest are anchors, so two equal
 windows have an anchor at the same place. Only anchors whose string comes twice or more go on, with the bytes around them.
-Where two anchors have the same surroundings all windows there repeat; for the others, the suffixes from each window start
-are sorted (among those of one anchor string and one distance) by a mergesort whose comparisons find the common extension
-by binary search over prefix polynomial hashes; neighbours that agree in LENGTH bytes are compared byte by byte.
+Where two anchors have the same surroundings all windows there repeat; the others of one anchor string are sorted as
+suffixes, forwards and backwards from the anchor, by a mergesort whose comparisons find the common extension by binary
+search over prefix polynomial hashes. Sorted neighbours tell how far windows can repeat; those are compared by hash and
+then byte by byte.
 
 Work is keyed by text, so copies of a text are worked on once (a text of LENGTH bytes or more that comes twice is removed
 as a whole). Defined results: null text is an empty text; shorter texts keep everything; rows with equal doc_id are judged
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .scratch import shuffle_partitions, stored
 
-LENGTH, K = 200, 32
+LENGTH, K = 200, 64
 #: Window starts that an anchor can serve; bytes hashed at a time; contexts sorted at a time.
-REACH, CHUNK, SORTED = LENGTH - K + 1, 1 << 18, 4000
+REACH, CHUNK, SORTED = LENGTH - K + 1, 1 << 18, 8000
 _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_rng.integers(2**61, 2**63)) | 1
@@ -220,35 +221,73 @@ def contexts(texts: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select("h1", "h2", "text", "anchors").mapInArrow(run, "hash long, left int, context binary, h1 long, h2 long, places array<int>")
 
 
+def _neighbours(hashes: Hashes, starts: np.ndarray, group: np.ndarray, most: int) -> np.ndarray:
+    """For each suffix the longest extension, up to most, that it has in common with another of its group: a neighbour in sorted order has it."""
+    order = suffix_sort(hashes, starts, group, most)
+    a, b = order[:-1], order[1:]
+    near = np.flatnonzero(group[a] == group[b])
+    n = hashes.common(starts[a[near]], starts[b[near]], most)
+    out = np.zeros(len(starts), np.int64)
+    for side in (a[near], b[near]):
+        np.maximum.at(out, side, n)
+    return out
+
+
 def windows(group: np.ndarray, left: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For each context the least and the greatest distance of a repeated window's start before its anchor (REACH, -1: none).
 
-    group: the anchor string of each context; equal ones lie together and their contexts differ.
+    group: the anchor string of each context; equal ones lie together and their contexts differ. Sorting the suffixes before
+    and after the anchors tells how far each agrees with any other at most; from those bounds inwards, the windows of a
+    group at one distance are compared by hash and then byte by byte.
     """
     size = np.array([len(d) for d in data])
     begin = np.r_[0, np.cumsum(size)[:-1]]
-    hashes = Hashes(np.frombuffer(b"".join(data), np.uint8))
-    least, most = np.full(len(data), REACH, np.int64), np.full(len(data), -1, np.int64)
-    # by distance d: the start is d before the anchor and the window ends within the context
-    high, low = np.minimum(left, REACH - 1), np.maximum(0, LENGTH - (size - left))
-    n = np.maximum(0, high - low + 1)
-    which = np.repeat(np.arange(len(data)), n)
-    distance = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-    by = np.lexsort((which, distance, group[which]))
-    which, distance = which[by], distance[by]
-    block = group[which].astype(np.int64) * REACH + distance
-    lone = np.r_[True, block[1:] != block[:-1]] & np.r_[block[1:] != block[:-1], True] if len(block) else np.zeros(0, bool)
-    which, distance, block = which[~lone], distance[~lone], block[~lone]
-    starts = begin[which] + left[which] - distance
-    order = suffix_sort(hashes, starts, block, LENGTH)
-    a, b = order[:-1], order[1:]
-    near = np.flatnonzero(block[a] == block[b])
-    near = near[hashes.common(starts[a[near]], starts[b[near]], LENGTH) == LENGTH]
-    near = near[hashes.equal(starts[a[near]], starts[b[near]], LENGTH)]
-    for side in (a[near], b[near]):
-        np.minimum.at(least, which[side], distance[side])
-        np.maximum.at(most, which[side], distance[side])
-    return least, most
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    raw = np.concatenate([raw, np.zeros(LENGTH, np.uint8)])
+    hashes, anchor = Hashes(raw), begin + left
+    after = _neighbours(hashes, anchor, group, LENGTH)
+    before = _neighbours(Hashes(np.concatenate([raw[: size.sum()][::-1], np.zeros(LENGTH, np.uint8)])), size.sum() - anchor, group, LENGTH)
+    high = np.minimum(np.minimum(left, REACH - 1), before)
+    low = np.maximum(0, LENGTH - np.minimum(size - left, after))
+    first = np.searchsorted(group, group, "left")
+    count = np.searchsorted(group, group, "right") - first
+
+    def search(at: np.ndarray, end: np.ndarray, step: int) -> np.ndarray:
+        """The first distance from at to end at which each context's window repeats; REACH if none does."""
+        at, found = at.copy(), np.full(len(at), REACH, np.int64)
+        active = np.flatnonzero(step * (end - at) >= 0)
+        while len(active):
+            asked = np.unique(first[active] * REACH + at[active])
+            edges = np.r_[0, np.cumsum(count[asked // REACH])]
+            part = 0
+            while part < len(asked):
+                to = max(part + 1, int(np.searchsorted(edges, edges[part] + SORTED * 64, "right")) - 1)
+                mine = asked[part:to]
+                n = count[mine // REACH]
+                row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(mine // REACH, n)
+                key = np.repeat(mine, n)
+                distance = key % REACH
+                fits = (distance <= left[row]) & (LENGTH - distance <= size[row] - left[row])
+                row, key, distance = row[fits], key[fits], distance[fits]
+                start = anchor[row] - distance
+                value = hashes.of(start, LENGTH)
+                order = np.lexsort((value, key))
+                a, b = order[:-1], order[1:]
+                same = np.flatnonzero((key[a] == key[b]) & (value[a] == value[b]))
+                same = same[hashes.equal(start[a[same]], start[b[same]], LENGTH)]
+                twin = np.unique(np.r_[a[same], b[same]])
+                hit = twin[at[row[twin]] == distance[twin]]
+                found[row[hit]] = np.where(found[row[hit]] == REACH, distance[hit], found[row[hit]])
+                part = to
+            active = active[found[active] == REACH]
+            at[active] += step
+            active = active[step * (end[active] - at[active]) >= 0]
+        return found
+
+    most = search(high, low, -1)
+    some = most < REACH
+    least = search(np.where(some, low, REACH), np.where(some, most, -1), 1)
+    return least, np.where(some, most, -1)
 
 
 def covered(rows: DataFrame) -> DataFrame:
