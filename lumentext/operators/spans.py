@@ -21,24 +21,28 @@ def enumerate_spans(sequences: DataFrame, w_max: int) -> DataFrame:
     return every.select("seq_id", "start", "end", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("span"))
 
 
-def best_product(span: str, p: dict[str, float]) -> float:
+def best_product(span: str, p: dict[str, float], longest: int) -> float:
     """The largest product of piece probabilities over all segmentations."""
     best = [1.0] + [0.0] * len(span)
     for j in range(1, len(span) + 1):
-        best[j] = max((best[i] * p.get(span[i:j], 0.0) for i in range(j)), default=0.0)
+        for i in range(max(0, j - longest), j):
+            if best[i] and (q := p.get(span[i:j])) and best[i] * q > best[j]:
+                best[j] = best[i] * q
     return best[-1]
 
 
 def composable(texts: DataFrame, probabilities: dict[str, float], tau: float = TAU_COMP) -> DataFrame:
     """span (distinct) of those that pieces make with probability tau at least."""
-    shared = texts.sparkSession.sparkContext.broadcast(probabilities)
+    # probabilities only shrink a product: a piece below tau can be part of no span that reaches it
+    shared = texts.sparkSession.sparkContext.broadcast({u: q for u, q in probabilities.items() if q >= tau})
+    longest = max(map(len, shared.value), default=0)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = [s for s in b.column(0).to_pylist() if 0 < len(s) <= LONGEST_COMPOSED and best_product(s, shared.value) >= tau]
+            good = [s for s in b.column(0).to_pylist() if 0 < len(s) <= LONGEST_COMPOSED and best_product(s, shared.value, longest) >= tau]
             yield pa.RecordBatch.from_arrays([pa.array(good, pa.string())], names=["span"])
 
-    return texts.select("span").distinct().mapInArrow(work, "span string")
+    return texts.where(F.length("span") <= LONGEST_COMPOSED).select("span").distinct().mapInArrow(work, "span string")
 
 
 def aligned(spans: DataFrame, vocab: DataFrame, tau: float = TAU_VOCAB) -> DataFrame:
