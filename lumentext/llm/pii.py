@@ -83,10 +83,10 @@ def _found(text: Column, regex: str, needs: str | None) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and for each kind an array of its spans; no shuffle."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = rows.select("doc_id", "text", *[_found(F.col("text"), FIND[k], NEEDS[k]).alias(k) for k in KINDS])
-    return found.select("doc_id", "text", *[_valid(k).alias(k) for k in KINDS])
+    """doc_id, text, row (a struct of all columns as they were), and for each kind an array of its spans; no shuffle."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    found = rows.select("doc_id", "text", "row", *[_found(F.col("text"), FIND[k], NEEDS[k]).alias(k) for k in KINDS])
+    return found.select("doc_id", "text", "row", *[_valid(k).alias(k) for k in KINDS])
 
 
 def _valid(kind: str) -> Column:
@@ -150,13 +150,13 @@ def bootstrap(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS, seeds: in
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, text, text_key, base and spans for each row: arrays of struct<kind, start, end>, by kind as in KINDS and start."""
+    """doc_id, text, row, text_key, base and spans for each row: arrays of struct<kind, start, end>, by kind as in KINDS and start."""
     base = base_spans(docs)
     found = stored(mentions(base), "pii-mentions")
     order = F.array(*map(F.lit, KINDS))
     extra = bootstrap(docs, found).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct((F.array_position(order, F.col("kind")) - 1).cast("int").alias("k"), "start", "end")).alias("extra"))
     one = lambda i, k: F.transform(k, lambda x: F.struct(F.lit(i).alias("k"), x["start"].alias("start"), x["end"].alias("end")))
-    rows = base.select("doc_id", "text", F.xxhash64("text").alias("text_key"), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], _all([one(i, k) for i, k in enumerate(KINDS)]).alias("base"))
+    rows = base.select("doc_id", "text", "row", F.xxhash64("text").alias("text_key"), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], _all([one(i, k) for i, k in enumerate(KINDS)]).alias("base"))
     extra = extra.withColumnsRenamed({"doc_id": "extra_id", "text_key": "extra_key"})
     rows = rows.join(small_by_rows(extra), F.col("doc_id").eqNullSafe(F.col("extra_id")) & (F.col("text_key") == F.col("extra_key")), "left").drop("extra_id", "extra_key")
     named = lambda a: F.transform(F.array_sort(a), lambda x: F.struct(F.get(order, x["k"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
@@ -176,8 +176,6 @@ def written(spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of the text replaced by <kind>; overlapping spans are replaced as one, named after the first. Null texts stay null."""
-    found = detect(docs.select("doc_id", "text")).where(F.size("spans") > 0).select("doc_id", "text_key", "text", "spans").distinct()
-
     def step(acc: Column, x: Column) -> Column:
         fresh = x["start"] >= acc["at"]
         piece = F.concat(F.substring(acc["text"], acc["at"] + 1, x["start"] - acc["at"]), F.lit("<"), x["kind"], F.lit(">"))
@@ -186,6 +184,5 @@ def redact(docs: DataFrame) -> DataFrame:
     by_start = F.array_sort("spans", lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["end"] > b["end"], -1).when(a["end"] < b["end"], 1).otherwise(0))
     state = F.struct(F.col("text"), F.lit(0).alias("at"), F.lit("").alias("out"))
     done = F.aggregate(by_start, state, step, lambda acc: F.concat(acc["out"], F.substring(acc["text"], acc["at"] + 1, F.length(acc["text"]))))
-    found = found.select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key"), done.alias("redacted"))
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("found_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("found_key")), "left")
-    return joined.select(*[F.coalesce("redacted", docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    text = F.when(F.size("spans") > 0, done).otherwise(F.col("row")["text"])
+    return detect(docs).select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
