@@ -4,8 +4,8 @@ A document is the set of its 5-word shingles. The forest keeps TREES sorted orde
 share a prefix of DEPTH values lie together. First every document is linked with its neighbour of the longest common prefix
 and with the first of its region; candidates are compared on full sets, and what is linked becomes a component. Then the
 depth is adapted to the region: where one still holds documents of several components, every pair of them whose whole
-signatures and sizes allow the similarity is compared as well (deeper prefixes alone would lose links), so a pair is lost
-only if no tree brings it together: at the least similarity, with odds of (1 - 0.75**3)**32, about 2 in 10**8.
+signatures and sizes allow the similarity is compared as well (deeper prefixes alone would lose links), where the region
+lies and without giving out what is no link, so a pair is lost only if no tree brings it together: at the least similarity, with odds of (1 - 0.75**3)**32, about 2 in 10**8.
 
 Documents of equal sets are one node, so copies cost nothing, and a hot group is a star, never all of its pairs.
 
@@ -215,51 +215,93 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, component of every id in edges (a, b): large-star and small-star in turn until nothing changes."""
+    """id, component of every id in edges (a, b): large-star and small-star in turn until only stars around the smallest ids are left."""
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "star")
-    seen = None
     while True:
+        # stars: no id has two centres, and no centre is itself in another star
+        ends = now.groupBy("u").agg(F.count("*").alias("n")).withColumn("v", F.col("u"))
+        wrong = ends.join(now.select("v").distinct().withColumn("centre", F.lit(1)), "v", "left").where("n > 1 OR centre = 1")
+        if wrong.isEmpty():
+            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         ways = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = ways.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        star = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        now = stored(star, "star")
-        digest = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if digest == seen:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-        seen = digest
-
-
-def leftover(members: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
-    """a, b: pairs of one region but different components that sizes and signatures allow."""
+        star = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        now = stored(star.where("u != v").distinct(), "star")
+
+
+def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first tree in which each row of b lies in a's region."""
+    return (b == a).reshape(-1, TREES, DEPTH).all(axis=2).argmax(axis=1)
+
+
+def _bucket(values: np.ndarray, tree: int) -> int:
+    key = np.full(1, tree + 1, np.uint64)
+    for v in values:
+        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + np.uint64(v))
+    return int(key.view(np.int64)[0])
+
+
+def links(bucket: int, comp: list[int], ids: list[int], size: np.ndarray, sig: np.ndarray, text: list[str]) -> Iterator[tuple[int, int]]:
+    """Links that join different components within one region. Each pair that sizes and signatures allow is compared on full sets, once over all regions."""
+    order = np.argsort(size, kind="stable")
+    size, sig = size[order], sig[order]
+    comp, ids, text = ([x[i] for i in order.tolist()] for x in (comp, ids, text))
+    part = {c: c for c in comp}
+    sets_: dict[int, set] = {}
+
+    def find(c: int) -> int:
+        while part[c] != c:
+            part[c] = c = part[part[c]]
+        return c
+
+    def full(i: int) -> set:
+        if i not in sets_:
+            sets_[i] = set(shingles_of(text[i]).tolist())
+        return sets_[i]
+
+    codes = np.array([hash(c) for c in comp])
+    here: dict[int, int] = {}
+    for i in range(len(ids) - 1):
+        to = int(np.searchsorted(size, size[i] * 100 // PERCENT, "right"))
+        other = i + 1 + np.flatnonzero(codes[i + 1 : to] != codes[i])
+        other = other[(sig[other] == sig[i]).sum(axis=1) >= AGREE]
+        if not len(other):
+            continue
+        tree = _first_shared(sig[i], sig[other])
+        for t in np.unique(tree).tolist():
+            here[t] = _bucket(sig[i, t * DEPTH : (t + 1) * DEPTH], t)
+        for j, t in zip(other.tolist(), tree.tolist(), strict=True):
+            if here[t] == bucket and (x := find(comp[i])) != (y := find(comp[j])):
+                both = len(full(i) & full(j))
+                if 100 * both >= PERCENT * (len(full(i)) + len(full(j)) - both):
+                    part[max(x, y)] = min(x, y)
+                    yield min(ids[i], ids[j]), max(ids[i], ids[j])
+
+
+def leftover(docs: DataFrame, members: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """a, b: confirmed links between documents of one region but different components. No more rows than components come out."""
     parts = parts.withColumnRenamed("id", "part_id")
     named = members.join(parts, members["id"] == parts["part_id"], "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-    rows = named.join(mixed, "bucket").join(nodes.select("id", "n_shingles", "signature"), "id").select("bucket", "component", "id", "n_shingles", "signature")
-
-    def pairs(comp: np.ndarray, ids: np.ndarray, size: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        order = np.argsort(size, kind="stable")
-        comp, ids, size, sig = comp[order], ids[order], size[order], sig[order]
-        for i in range(len(ids) - 1):
-            to = int(np.searchsorted(size, size[i] * 100 // PERCENT, "right"))
-            other = i + 1 + np.flatnonzero(comp[i + 1 : to] != comp[i])
-            other = other[(sig[other] == sig[i]).sum(axis=1) >= AGREE]
-            if len(other):
-                yield np.minimum(ids[i], ids[other]), np.maximum(ids[i], ids[other])
+    rows = stored(named.join(mixed, "bucket"), "neardup-mixed")
+    involved = stored(rows.select(F.col("id").alias("doc_id")).distinct(), "neardup-mixed-ids")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(small(involved, 500_000), "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
+    rows = rows.join(nodes.select("id", "n_shingles", "signature").join(texts, "id"), "id").select("bucket", "component", "id", "n_shingles", "signature", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         open_ = None
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            made: list[tuple[int, int]] = []
             if held:
                 t = pa.Table.from_batches(held).combine_chunks()
                 sig = np.frombuffer(b"".join(t.column(4).to_pylist()), "<u4").reshape(-1, VALUES)
-                for a, b in pairs(*(t.column(i).to_numpy() for i in (1, 2, 3)), sig):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                made = list(links(int(open_), t.column(1).to_pylist(), t.column(2).to_pylist(), t.column(3).to_numpy(), sig, t.column(5).to_pylist()))
                 held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*made, strict=True) if made else ([], []))], names=["a", "b"])
 
         for b in batches:
             key = b.column(0).to_numpy()
@@ -267,10 +309,10 @@ def leftover(members: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFram
             for s, e in zip(cuts, cuts[1:], strict=False):
                 if e > s:
                     if key[s] != open_:
-                        yield from out()
+                        yield out()
                         open_ = key[s]
                     held.append(b.slice(s, e - s))
-        yield from out()
+        yield out()
 
     return rows.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(run, "a long, b long").distinct()
 
@@ -284,9 +326,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = stored(near.where("bucket IS NULL").select("a", "b").distinct(), "neardup-first")
     edges = stored(confirmed(docs, first), "neardup-edges")
     parts = stored(components(edges), "neardup-parts")
-    more = leftover(near.where("bucket IS NOT NULL").select("bucket", F.col("a").alias("id")), nodes, parts)
-    more = stored(more.join(first, ["a", "b"], "left_anti"), "neardup-more")
-    extra = stored(confirmed(docs, more), "neardup-extra")
+    extra = stored(leftover(docs, near.where("bucket IS NOT NULL").select("bucket", F.col("a").alias("id")), nodes, parts), "neardup-extra")
     parts = stored(components(edges.union(extra)), "neardup-parts")
     ids = nodes.select("s1", "s2", "id").join(parts, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component"))
     named = found.drop("signature").join(ids, ["s1", "s2"], "left")
