@@ -250,43 +250,30 @@ def windows(group: np.ndarray, left: np.ndarray, data: list[bytes]) -> tuple[np.
     high = np.minimum(np.minimum(left, REACH - 1), before)
     low = np.maximum(0, LENGTH - np.minimum(size - left, after))
     first = np.searchsorted(group, group, "left")
-    count = np.searchsorted(group, group, "right") - first
-
-    def search(at: np.ndarray, end: np.ndarray, step: int) -> np.ndarray:
-        """The first distance from at to end at which each context's window repeats; REACH if none does."""
-        at, found = at.copy(), np.full(len(at), REACH, np.int64)
-        active = np.flatnonzero(step * (end - at) >= 0)
-        while len(active):
-            asked = np.unique(first[active] * REACH + at[active])
-            edges = np.r_[0, np.cumsum(count[asked // REACH])]
-            part = 0
-            while part < len(asked):
-                to = max(part + 1, int(np.searchsorted(edges, edges[part] + SORTED * 64, "right")) - 1)
-                mine = asked[part:to]
-                n = count[mine // REACH]
-                row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(mine // REACH, n)
-                key = np.repeat(mine, n)
-                distance = key % REACH
-                fits = (distance <= left[row]) & (LENGTH - distance <= size[row] - left[row])
-                row, key, distance = row[fits], key[fits], distance[fits]
-                start = anchor[row] - distance
-                value = hashes.of(start, LENGTH)
-                order = np.lexsort((value, key))
-                a, b = order[:-1], order[1:]
-                same = np.flatnonzero((key[a] == key[b]) & (value[a] == value[b]))
-                same = same[hashes.equal(start[a[same]], start[b[same]], LENGTH)]
-                twin = np.unique(np.r_[a[same], b[same]])
-                hit = twin[at[row[twin]] == distance[twin]]
-                found[row[hit]] = np.where(found[row[hit]] == REACH, distance[hit], found[row[hit]])
-                part = to
-            active = active[found[active] == REACH]
-            at[active] += step
-            active = active[step * (end[active] - at[active]) >= 0]
+
+    def search(distances: range, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The first of the distances, from low to high, at which each context's window repeats; REACH if none does. A group is looked at once a distance at most."""
+        found = np.full(len(left), REACH, np.int64)
+        for d in distances:
+            active = (found == REACH) & (low <= d) & (d <= high)
+            if not active.any():
+                continue
+            asked = np.zeros(len(left), bool)
+            asked[first[active]] = True
+            row = np.flatnonzero(asked[first] & (d <= left) & (LENGTH - d <= size - left))
+            start = anchor[row] - d
+            value = hashes.of(start, LENGTH)
+            order = np.lexsort((value, first[row]))
+            a, b = order[:-1], order[1:]
+            same = np.flatnonzero((first[row[a]] == first[row[b]]) & (value[a] == value[b]))
+            same = same[hashes.equal(start[a[same]], start[b[same]], LENGTH)]
+            twin = row[np.unique(np.r_[a[same], b[same]])]
+            found[twin[active[twin]]] = d
         return found
 
-    most = search(high, low, -1)
+    most = search(range(REACH - 1, -1, -1), low, high)
     some = most < REACH
-    least = search(np.where(some, low, REACH), np.where(some, most, -1), 1)
+    least = search(range(REACH), np.where(some, low, REACH), np.where(some, most, -1))
     return least, np.where(some, most, -1)
 
 
