@@ -4,7 +4,7 @@ Documents of equal text form a group and a group stays together; groups are hash
 transfer. Sizes by old shard and block, bounded by shards x blocks, go to the driver; a transport network from old to new
 shards (staying costs nothing, moving costs its bytes) gives the flow of least cost, blocks are picked to carry it, and
 single blocks are exchanged until the new shards are as equal as blocks allow. A group larger than a shard's share of all
-bytes is the exception: its block is split by rows, as no shard could hold it.
+bytes is the exception: it is split by rows, as no shard could hold it; the other groups of its block stay whole.
 
 Defined results: null text has size 1 (its end mark) and CRC 0; rows with equal doc_id are placed each for itself; null
 doc_ids are one more id; a null old shard is shard 0; an empty table gives an empty result; other columns are kept where files are rewritten and
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .scratch import stored
 
-#: Blocks of groups, and sub-blocks of rows within a block: shards x BLOCKS x PARTS bounds what the driver holds.
+#: Blocks of groups, and parts of a divided block: shards x BLOCKS bounds what the driver holds, and 2 x PARTS for each divided block.
 BLOCKS, PARTS = 4096, 8
 
 
@@ -28,17 +28,25 @@ def block_of(text: Column, blocks: int = BLOCKS) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(blocks)).cast("int")
 
 
+def _keys(docs: DataFrame, old_shard: Column, blocks: int = BLOCKS) -> list[Column]:
+    """old_shard, block, group, row_part: where a row lies, and what its new place follows from."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    return [
+        F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"),
+        block_of(docs["text"], blocks).alias("block"),
+        F.xxhash64(docs["text"]).alias("group"),
+        F.pmod(F.xxhash64(docs["doc_id"], text), F.lit(PARTS)).cast("int").alias("row_part"),
+    ]
+
+
 def measured(docs: DataFrame, old_shard: Column, blocks: int = BLOCKS) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, block, part of each row; no shuffle, and the text stays behind."""
-    rows = docs.select("doc_id", "text", F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"))
-    text = F.coalesce("text", F.lit(""))
-    return rows.select(
+    """doc_id, size, text_crc32, old_shard, block, group, row_part of each row; no shuffle, and the text stays behind."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    return docs.select(
         "doc_id",
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        "old_shard",
-        block_of(text, blocks).alias("block"),
-        F.pmod(F.xxhash64("doc_id", text), F.lit(PARTS)).cast("int").alias("part"),
+        *_keys(docs, old_shard, blocks),
     )
 
 
@@ -133,32 +141,48 @@ def _even(place: dict, sizes: dict, have: list[int]) -> None:
                 have[dst] += sizes[k]
 
 
+def _part(divided: list, hot: list) -> Column:
+    """0 in a whole block. In a divided block, 1 and more for the rows of a hot group, by row, and below 0 for the others, by group. Both lists are shorter than the new shards are many."""
+
+    def among(pairs: list, name: str, kind: str) -> Column:
+        some = [F.struct(F.lit(o).cast("int"), F.lit(x).cast(kind)) for o, x in pairs]
+        return F.struct("old_shard", name).isin(some) if some else F.lit(False)
+
+    split, over = among(hot, "group", "long"), among(divided, "block", "int")
+    aside = -1 - F.pmod(F.xxhash64("group"), F.lit(PARTS)).cast("int")
+    return F.when(split, F.col("row_part") + 1).when(over, aside).otherwise(0)
+
+
+def _slotted(placed: DataFrame) -> DataFrame:
+    """placed with slot in place of row_part: rows are numbered by shard, block and row_part, so that a hot text's rows lie in several tasks."""
+    cell = ["shard", "block", "row_part"]
+    before = Window.partitionBy("shard").orderBy("block", "row_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = placed.groupBy(*cell).agg(F.count("*").alias("n")).select(*cell, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    order = Window.partitionBy(*cell).orderBy("doc_id", "size", "text_crc32", "old_shard")
+    rows = placed.join(F.broadcast(first), cell)
+    return rows.withColumn("slot", F.col("first") + F.row_number().over(order) - 1).drop("first", "row_part")
+
+
 def reshard(docs: DataFrame, new: int, old_shard: Column, blocks: int = BLOCKS) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, block, part, shard, slot of each row. docs is read once; what goes on is its measures."""
+    """doc_id, size, text_crc32, old_shard, block, group, part, shard, slot of each row. docs is read once; what goes on is its measures."""
     rows = stored(measured(docs, old_shard, blocks), "shard-rows")
-    counts = rows.groupBy("old_shard", "block", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    cells = sorted((r.old_shard, r.block, r.part, r.bytes, r.n) for r in counts.collect())  # shards x BLOCKS x PARTS at most
-    whole: dict[tuple[int, int], int] = {}
-    for o, b, _, size, _ in cells:
-        whole[o, b] = whole.get((o, b), 0) + size
+    bytes_ = F.sum("size").alias("bytes")
+    whole = {(r.old_shard, r.block): r.bytes for r in rows.groupBy("old_shard", "block").agg(bytes_).collect()}  # shards x BLOCKS at most
     share = sum(whole.values()) / new
-    # a block over a shard's share is split into its parts
-    sizes: dict[tuple[int, int], int] = {}
-    key = lambda o, b, p: (o, b * PARTS + p if whole[o, b] > share else -b - 1)
-    for o, b, p, size, _ in cells:
-        sizes[key(o, b, p)] = sizes.get(key(o, b, p), 0) + size
-    place = plan(sizes, new)
-    at, table = [0] * new, []
-    for o, b, p, _, n in cells:
-        j = place[key(o, b, p)]
-        table.append((o, b, p, j, at[j]))
-        at[j] += n
-    spark = docs.sparkSession
-    moves = F.broadcast(spark.createDataFrame(table, "old_shard int, block int, part int, shard int, first long"))
-    placed = rows.join(moves, ["old_shard", "block", "part"])
-    # rows of one cell are numbered together; a hot text's rows lie in several parts
-    order = Window.partitionBy("old_shard", "block", "part").orderBy("doc_id", "size", "text_crc32")
-    return placed.withColumn("slot", F.col("first") + F.row_number().over(order) - 1).drop("first")
+    # a block over a shard's share is divided: the groups over a share by rows, all others by groups
+    divided = [k for k, size in whole.items() if size > share]
+    hot: list = []
+    cells = {(o, b, 0): size for (o, b), size in whole.items() if size <= share}
+    if divided:
+        inside = rows.withColumn("part", _part(divided, [])).where("part != 0")
+        hot = [(r.old_shard, r.group) for r in inside.groupBy("old_shard", "group").agg(bytes_).where(F.col("bytes") > share).collect()]
+        inside = rows.withColumn("part", _part(divided, hot)).where("part != 0").groupBy("old_shard", "block", "part").agg(bytes_)
+        cells |= {(r.old_shard, r.block, r.part): r.bytes for r in inside.collect()}
+    key = lambda o, b, p: (o, b * (2 * PARTS + 1) + p + PARTS)
+    place = plan({key(*c): cells[c] for c in sorted(cells)}, new)
+    table = [(*c, place[key(*c)]) for c in sorted(cells)]
+    moves = F.broadcast(docs.sparkSession.createDataFrame(table, "old_shard int, block int, part int, shard int"))
+    return _slotted(rows.withColumn("part", _part(divided, hot)).join(moves, ["old_shard", "block", "part"]))
 
 
 def rewrite(docs: DataFrame, placed: DataFrame, path: str, old_shard: str) -> DataFrame:

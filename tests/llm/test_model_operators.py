@@ -88,6 +88,17 @@ def test_rewriting_leaves_other_shards(spark, tmp_path):
     assert got == {r.doc_id: r.shard for r in placed.collect()}
 
 
+def test_only_a_hot_group_is_split(spark):
+    text = F.when(F.col("id") < 800, "hot" * 50).otherwise(F.sha2(F.pmod("id", F.lit(300)).cast("string"), 256))
+    many = spark.range(2600).select(F.col("id").alias("doc_id"), text.alias("text"))
+    rows = sharding.reshard(many, 4, F.lit(0), blocks=2).collect()
+    shards = {}
+    for r in rows:
+        shards.setdefault(r.text_crc32, set()).add(r.shard)
+    assert len(rows) == 2600 and len(shards) == 301
+    assert [c for c, s in shards.items() if len(s) > 1] == [zlib.crc32(b"hot" * 50)]
+
+
 def test_unigram_is_the_best_segmentation():
     pieces = unigram.load(tokenizers.path("piece_bpe_32k.model"))
     trie, decoder = unigram.Trie(pieces), unigram.Decoder(pieces)
