@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, langid, neardup, packing, pii, quality, sharding, suffix, topk, unigram
-from .scratch import stored, table
+from .scratch import shared_dir, stored, table
 
 
 def tokenizer(name: str) -> str:
@@ -39,10 +41,13 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve shards, dealt by the hash of the text, become sixteen."""
+    """Twelve shards, dealt by the hash of the text, become sixteen: written, rewritten where they change, and read again."""
     old = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(12))
-    placed = sharding.reshard(table(spark, sf_dir, "documents"), 16, old)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    path = f"{shared_dir(spark)}/lumentext/shards-{uuid.uuid4().hex}"
+    docs = sharding.dealt(table(spark, sf_dir, "documents"), old, path)
+    placed = stored(sharding.reshard(docs, 16, F.col("shard")).drop("slot"), "shard-placed")
+    sharding.rewrite(docs, placed, path, "shard")
+    return sharding.read_back(spark.read.schema(docs.schema).parquet(path)).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

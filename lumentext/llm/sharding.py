@@ -6,6 +6,8 @@ shards (staying costs nothing, moving costs its bytes) gives the flow of least c
 single blocks are exchanged until the new shards are as equal as blocks allow. A group larger than a shard's share of all
 bytes is the exception: it is split by rows, as no shard could hold it; the other groups of its block stay whole.
 
+The query writes the old shards, rewrites those that lose or gain rows, and returns what the files then hold.
+
 Defined results: null text has size 1 (its end mark) and CRC 0; rows with equal doc_id are placed each for itself; null
 doc_ids are one more id; a null old shard is shard 0; an empty table gives an empty result; other columns are kept where files are rewritten and
 not read elsewhere.
@@ -39,7 +41,7 @@ def _keys(docs: DataFrame, old_shard: Column, blocks: int = BLOCKS) -> list[Colu
     ]
 
 
-def measured(docs: DataFrame, old_shard: Column, blocks: int = BLOCKS) -> DataFrame:
+def measured(docs: DataFrame, old_shard: Column, blocks: int = BLOCKS, also: list[str] | None = None) -> DataFrame:
     """doc_id, size, text_crc32, old_shard, block, group, row_part of each row; no shuffle, and the text stays behind."""
     text = F.coalesce(docs["text"], F.lit(""))
     return docs.select(
@@ -47,6 +49,7 @@ def measured(docs: DataFrame, old_shard: Column, blocks: int = BLOCKS) -> DataFr
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         *_keys(docs, old_shard, blocks),
+        *(also or []),
     )
 
 
@@ -185,15 +188,41 @@ def reshard(docs: DataFrame, new: int, old_shard: Column, blocks: int = BLOCKS)
     return _slotted(rows.withColumn("part", _part(divided, hot)).join(moves, ["old_shard", "block", "part"]))
 
 
+def dealt(docs: DataFrame, old_shard: Column, path: str) -> DataFrame:
+    """Writes docs to path/shard=N with from_shard, the shard a row is dealt to, and reads the files back."""
+    shard = F.coalesce(old_shard.cast("int"), F.lit(0))
+    rows = docs.withColumn("from_shard", shard).withColumn("shard", F.col("from_shard"))
+    rows.write.partitionBy("shard").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def rewrite(docs: DataFrame, placed: DataFrame, path: str, old_shard: str) -> DataFrame:
     """Writes docs (with its column old_shard) to path/shard=N; only shards that lose or gain rows are written. Returns shard and whether it was written.
 
-    placed: what reshard gave for the same rows, stored; doc_id must be unique here. Files of untouched shards are left as they are.
+    placed: what reshard gave for the same rows, stored. A row's cell follows from the row itself, so ids may repeat or be null.
+    Files of untouched shards are left as they are, those of shards that lose every row are removed. docs may be read from path.
     """
+    spark = docs.sparkSession
     changed = placed.groupBy("shard").agg(F.max((F.col("old_shard") != F.col("shard")).cast("int")).alias("gained"))
     lost = placed.where("old_shard != shard").select(F.col("old_shard").alias("shard")).distinct().withColumn("lost", F.lit(1))
-    affected = stored(changed.join(lost, "shard", "full").select("shard", (F.greatest(F.coalesce("gained", F.lit(0)), F.coalesce("lost", F.lit(0))) == 1).alias("written")), "affected")
-    to = placed.join(F.broadcast(affected.where("written")), "shard").select(F.col("doc_id").alias("placed_id"), F.col("shard").alias("placed_shard"))
-    out = docs.join(to, docs["doc_id"].eqNullSafe(F.col("placed_id"))).drop("placed_id", old_shard).withColumnRenamed("placed_shard", "shard")
+    affected = stored(changed.join(lost, "shard", "full").select("shard", (F.greatest(F.coalesce("gained", F.lit(0)), F.coalesce("lost", F.lit(0))) == 1).alias("written"), F.col("gained").isNull().alias("emptied")), "affected")
+    cells = stored(placed.groupBy("old_shard", "block", "part").agg(F.max("shard").alias("shard")), "shard-cells")  # as many as the driver held
+    divided = cells.where("part != 0").select("old_shard", "block").distinct().collect()
+    hot = placed.where("part > 0").select("old_shard", "group").distinct().collect()
+    rest = [c for c in docs.columns if c != old_shard]
+    rows = docs.select(F.struct(*[docs[c] for c in rest]).alias("row"), *_keys(docs, docs[old_shard]))
+    rows = rows.withColumn("part", _part(divided, hot)).select("row", "old_shard", "block", "part")
+    to = cells.join(F.broadcast(affected.where("written").select("shard")), "shard", "left_semi")
+    out = rows.join(F.broadcast(to), ["old_shard", "block", "part"]).select("row.*", "shard")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    return affected
+    for r in affected.where("emptied").collect():
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={r.shard}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    return affected.select("shard", "written")
+
+
+def read_back(files: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot, old_shard of each row of the shards' files (dealt, then rewritten), from what the files hold."""
+    rows = measured(files, F.col("from_shard"), also=["shard"])
+    rows = stored(rows.select("doc_id", "size", "text_crc32", "old_shard", "block", "row_part", "shard"), "shards-read")
+    return _slotted(rows).select("doc_id", "size", "text_crc32", "shard", "slot", "old_shard")

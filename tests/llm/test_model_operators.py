@@ -1,10 +1,12 @@
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lumentext.llm import chat, langid, packing, sharding, topk, unigram
+from lumentext.llm.scratch import stored
 
 tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -99,6 +101,39 @@ def test_only_a_hot_group_is_split(spark):
     assert [c for c, s in shards.items() if len(s) > 1] == [zlib.crc32(b"hot" * 50)]
 
 
+def test_rewriting_with_repeated_and_null_ids(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    rows = [(None if i % 3 == 0 else i % 7, f"text {i % 50} " * (i % 11), i) for i in range(300)] + [(None, None, 300), (1, "", 301)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own int").repartition(3)
+    files = sharding.dealt(docs, F.pmod(F.xxhash64("text"), F.lit(5)), path)
+    before = {r.own: r.shard for r in files.collect()}
+    placed = stored(sharding.reshard(files, 3, F.col("shard")), "placed")
+    sharding.rewrite(files, placed, path, "shard")
+    again = spark.read.schema(files.schema).parquet(path)
+    held = again.collect()
+    assert sorted((r.own, r.doc_id, r.text) for r in held if r.doc_id is not None) == sorted((c, a, b) for a, b, c in rows if a is not None)
+    assert sorted(r.own for r in held) == list(range(302)) and {r.shard for r in held} == {0, 1, 2}
+    assert all(r.from_shard == before[r.own] for r in held)
+    assert not (tmp_path / "shards" / "shard=3").exists() and not (tmp_path / "shards" / "shard=4").exists()
+    got = sharding.read_back(again).collect()
+    assert sorted((r["size"], r.text_crc32, r.shard) for r in got) == sorted((r["size"], r.text_crc32, r.shard) for r in placed.collect())
+    for k in range(3):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
+def test_sharding_query_reads_what_it_wrote(spark, docs, tmp_path):
+    from lumentext.llm import queries
+
+    docs.union(docs.where("doc_id < 5")).write.parquet(str(tmp_path / "documents.parquet"))
+    base = Path(spark.conf.get("spark.checkpoint.dir"))
+    seen = set(base.glob("lumentext/shards-*/shard=*"))
+    rows = queries.op5_sharding(spark, str(tmp_path)).collect()
+    files = {p for p in base.glob("lumentext/shards-*/shard=*")} - seen
+    assert len(rows) == docs.count() + 5 and {int(p.name[6:]) for p in files} == {r.shard for r in rows}
+    docs.limit(0).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    assert queries.op5_sharding(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_unigram_is_the_best_segmentation():
     pieces = unigram.load(tokenizers.path("piece_bpe_32k.model"))
     trie, decoder = unigram.Trie(pieces), unigram.Decoder(pieces)
