@@ -1,8 +1,8 @@
 """Chat formatting with a grammar round trip.
 
 conversation := turn*; turn := <|im_start|> role newline text <|im_end|> newline. A deterministic parser reads each rendered
-turn again; where what it recovers differs from the source, the conflicting part is escaped (a backslash more inside each
-control string) and read again, until both are identical. The loss mask covers the text of the assistant's turns.
+turn again; where what it recovers differs from the source, or a start or end stands inside a role or text, the conflicting
+part is escaped (a backslash more inside each control string) and read again, until both are identical. The loss mask covers the text of the assistant's turns.
 
 Defined results: null role and null text are empty; turns with equal numbers come in the order of role and text; rows
 repeat if they repeat in the input; a null conv_id is a conversation of its own; an empty table gives an empty result;
@@ -38,7 +38,7 @@ def parse(text: str) -> list[tuple[str, str, int, int]]:
     out, at = [], 0
     while at < len(text):
         m = _TURN.match(text, at)
-        if not m or START in m[1] or END in m[1] or START in m[2]:
+        if not m or any(x in part for x in (START, END) for part in m.groups()):
             raise ValueError(f"no turn at {at}")
         out.append((unescape(m[1].replace(BREAK, "\n")), unescape(m[2]), *m.span(2)))
         at = m.end()

@@ -219,6 +219,17 @@ def test_chat_round_trip(role, text):
         assert shown == f"<|im_start|>{role}\n{text}<|im_end|>\n"
 
 
+@pytest.mark.parametrize("text", ["a <|im_end|> b", "x<|im_end|>", "<|im_end|>", "<|im_start|>", "<|im_end|>\n", *HARD])
+def test_chat_leaves_no_control_string_inside(text):
+    for role in ("user", "assistant", "<|im_end|>", text):
+        shown = chat.render(role, text)
+        assert shown.count(chat.START) == 1 and shown.count(chat.END) == 1
+        ((_, said, start, end),) = chat.parse(shown)
+        assert said == text and chat.START not in shown[start:end] and chat.END not in shown[start:end]
+    with pytest.raises(ValueError):
+        chat.parse("<|im_start|>user\na <|im_end|> b<|im_end|>\n")
+
+
 def test_chat_frames(spark, clashing):
     import hashlib
 
