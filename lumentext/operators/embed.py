@@ -133,6 +133,10 @@ def piece_vector(piece: str, std: float, width: int, seed: int = 0) -> np.ndarra
     return np.random.default_rng((seed, zlib.crc32(piece.encode()))).normal(0, std, width)
 
 
+#: Numbers of a kind that encode holds before it gives them out.
+NUMBERS = 1 << 20
+
+
 def encode(sequences: DataFrame, probabilities: dict[str, float], width: int = 64, seed: int = 0) -> DataFrame:
     """seq_id, n, seed and context vectors of each position of each sequence; an error in one is told in its own row."""
     from .vocab import soft_by_run
@@ -143,8 +147,9 @@ def encode(sequences: DataFrame, probabilities: dict[str, float], width: int = 6
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, p, vectors = ConvEncoder(width, seed=seed), shared.value, {}
         std = lambda u: base if len(u) == 1 else math.sqrt(base / math.sqrt(p[u]))
+        columns = ["seq_id", "n", "seed", "context", "error"]
         for f in frames:
-            rows = []
+            rows, held = [], 0
             for seq_id, text in zip(f["seq_id"], f["text"], strict=True):
                 try:
                     h = np.zeros((len(text), width))
@@ -156,6 +161,10 @@ def encode(sequences: DataFrame, probabilities: dict[str, float], width: int = 6
                     rows.append((seq_id, len(text), h.tolist(), c.tolist(), None))
                 except Exception as e:  # one sequence's fault is not the job's
                     rows.append((seq_id, len(text), None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["seq_id", "n", "seed", "context", "error"])
+                held += len(text) * width
+                if held > NUMBERS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
     return sequences.select("seq_id", "text").mapInPandas(work, "seq_id long, n int, seed array<array<double>>, context array<array<double>>, error string")

@@ -149,7 +149,7 @@ def em_step(spark, sf_dir):
 
 @query()
 def induce_vocab(spark, sf_dir):
-    return vocab.induce(_read(spark, sf_dir, "documents"), m=2000, iterations=2)[0]
+    return vocab.induce(_read(spark, sf_dir, "documents"), m=vocab.CANDIDATES, iterations=vocab.ITERATIONS)[0]
 
 
 @query(f"""WITH {_EDGES},
@@ -581,7 +581,7 @@ def receptive_fields(spark, sf_dir):
 def conv_encode(spark, sf_dir):
     """Seed and context vectors of every sequence, as their norms."""
     p = vocab.as_dict(_probabilities(spark, sf_dir))
-    made = embed.encode(_sequences(spark, sf_dir).withColumn("text", F.lower("text")), p, width=32)
+    made = embed.encode(_sequences(spark, sf_dir).withColumn("text", F.lower("text")), p, width=512)
     mean = lambda c: F.round(F.aggregate(F.transform(c, embed.norm), F.lit(0.0), lambda s, x: s + x) / F.col("n"), 6)
     return made.select("seq_id", "n", mean("seed").alias("seed_norm"), mean("context").alias("context_norm"), "error")
 

@@ -31,3 +31,20 @@ def test_entry():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_production_parameters(monkeypatch):
+    """What the reference's configuration names: 50,000 candidates, 5 rounds, 512 dimensions."""
+    from unittest import mock
+
+    seen = {}
+    monkeypatch.setattr(catalog, "_read", mock.MagicMock())
+    monkeypatch.setattr(catalog, "_probabilities", mock.MagicMock())
+    monkeypatch.setattr(catalog, "_sequences", mock.MagicMock())
+    monkeypatch.setattr(catalog, "F", mock.MagicMock())
+    monkeypatch.setattr(catalog.vocab, "as_dict", lambda p: {})
+    monkeypatch.setattr(catalog.vocab, "induce", lambda docs, **given: seen.update(given) or (None, {}))
+    monkeypatch.setattr(catalog.embed, "encode", lambda *a, **given: seen.update(given) or mock.MagicMock())
+    catalog.QUERIES["induce_vocab"](None, SF)
+    catalog.QUERIES["conv_encode"](None, SF)
+    assert seen == {"m": 50_000, "iterations": 5, "width": 512}
