@@ -2,7 +2,8 @@
 
 A text is the vector of its letter n-grams (hashed), weighted by term and inverse document frequency and normalised; each
 language has several centroids, found by spherical k-means; the nearest centroid by cosine gives the language, and a text
-too far from all of them is rejected. The model is fitted on a bounded sample: SAMPLE labelled texts a language, those of
+too far from all of them is rejected. How near is near enough follows from data: beginnings of several lengths of the sample
+are held against what the model must not know, texts of each other language and letters in random order. The model is fitted on a bounded sample: SAMPLE labelled texts a language, those of
 the smallest hashes; predictions see whole texts.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and rejected; without labelled texts all are;
@@ -11,6 +12,7 @@ rows with equal doc_id are predicted each for itself; an empty table gives an em
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,13 +22,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .scratch import stored
+from .scratch import shuffle_partitions, stored
 
 #: Labelled texts a language that the model is fitted on; hashed n-grams; centroids a language.
 SAMPLE, WIDTH, CENTROIDS, NGRAMS = 500, 1 << 13, 3, 3
 SALTS = 64
-#: A text is rejected if its cosine is below this part of what nearly all (QUANTILE) of its language's sample reach.
-REJECT, QUANTILE = 0.2, 0.01
+#: Beginnings of so many letters, of so many sampled texts a language, set the bars between genuine and strange cosines.
+LETTERS, PROBES = tuple(2**k for k in range(3, 13)), 250
+#: Bars are set by the distinct n-grams of a text (one that repeats itself is no longer for that), in powers of two; each needs LEAST probes.
+KNOTS, LEAST = 14, 8
+#: This share of the strange ones lies below a bar where the genuine ones allow it; a bar is at most this part of the least genuine cosine.
+QUANTILE, SLACK = 0.99, 0.95
 UNKNOWN = "und"
 _letters = np.zeros(0, bool)
 
@@ -39,15 +45,14 @@ def _is_letter() -> np.ndarray:
 
 
 def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """texts x WIDTH counts of hashed n-grams of letters (other characters are one gap), and whether each has a letter."""
+    """texts x WIDTH counts of hashed n-grams of letters (other characters are one gap), and the letters of each."""
     lowered = [(t or "").lower() for t in texts]
     points = np.frombuffer("\n\n".join(lowered + [""]).encode("utf-32-le"), np.uint32)
     letter = _is_letter()[points]
     doc = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) + 2 for t in lowered])
     if len(points) < len(doc):  # no text at all
         doc = doc[: len(points)]
-    letter_doc = np.zeros(len(texts), bool)
-    letter_doc[doc[letter]] = True
+    letters = np.bincount(doc[letter], minlength=len(texts))
     code = np.where(letter, points, 32).astype(np.uint32)
     keep = np.ones(len(code), bool)
     keep[1:] = letter[1:] | letter[:-1]  # a run of others is one gap
@@ -62,7 +67,7 @@ def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         at = doc[: len(hashed)] * WIDTH + (mixed >> np.uint32(32 - 13)).astype(np.int64)
         same = (doc[: len(hashed)] == doc[n - 1 :]) & (letter[: len(hashed)] | letter[n - 1 :])
         total += np.bincount(at[same], minlength=len(total))
-    return total.reshape(len(texts), WIDTH), letter_doc
+    return total.reshape(len(texts), WIDTH), letters
 
 
 @dataclass
@@ -71,21 +76,66 @@ class Model:
     weights: np.ndarray  # inverse document frequencies
     centroids: np.ndarray
     owner: np.ndarray  # language of each centroid
-    bar: np.ndarray  # cosine from which each language accepts
+    bar: np.ndarray  # languages x KNOTS: cosine from which each language accepts a text of 2^(k + 1) distinct n-grams
 
     def vectors(self, counted: np.ndarray) -> np.ndarray:
         x = np.log1p(counted).astype(np.float32) * self.weights
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        counted, lettered = counts(texts)
+        counted, letters = counts(texts)
+        lettered = letters > 0
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         cosine = self.vectors(counted) @ self.centroids.T
         best = cosine.argmax(axis=1)
         score = np.clip(cosine[np.arange(len(texts)), best], 0, 1).astype(np.float64) * lettered
         names = [self.languages[self.owner[b]] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
-        return names, score, ~lettered | (score < self.bar[self.owner[best]])
+        at = np.log2(np.maximum((counted > 0).sum(axis=1), 1)) - 1
+        bar = np.array([np.interp(k, range(KNOTS), self.bar[self.owner[b]]) for k, b in zip(at, best, strict=True)])
+        return names, score, ~lettered | (score < bar)
+
+    def cosines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The knot of each text, and texts x languages: cosine to the nearest centroid of each."""
+        counted, _ = counts(texts)
+        near = self.vectors(counted) @ self.centroids.T
+        knot = np.log2(np.maximum((counted > 0).sum(axis=1), 1)).astype(np.int32)
+        return knot, np.stack([near[:, self.owner == i].max(axis=1) for i in range(len(self.languages))], axis=1)
+
+
+def probes(text: str) -> Iterator[tuple[str, str]]:
+    """Of each length in LETTERS that text has: text's beginning of so many letters, and the same with its letters in random order."""
+    points = np.array(list(text.lower()))
+    at = np.flatnonzero([c.isalpha() for c in points])
+    rng = np.random.default_rng(zlib.crc32(text.encode()))
+    for n in LETTERS:
+        if len(at) >= n:
+            begin = points[: at[n - 1] + 1]
+            mixed = begin.copy()
+            mixed[at[:n]] = rng.permutation(begin[at[:n]])
+            yield "".join(begin), "".join(mixed)
+
+
+def bars(found: list[dict], languages: int) -> np.ndarray:
+    """The bar of each language at each knot. found: knot, language (or -1 for letters in random order) and cosines of each probe."""
+    genuine, strange = {}, {}
+    for r in found:
+        near = np.array(r["cosine"])
+        if r["own"] >= 0:
+            genuine.setdefault((r["own"], r["knot"]), []).append(near[r["own"]])
+            near[r["own"]] = -1  # to the others, its language is unknown
+        if (to := int(near.argmax())) != r["own"]:
+            strange.setdefault((to, r["knot"]), []).append(near[to])
+    bar = np.zeros((languages, KNOTS))
+    for i in range(languages):
+        known = [k for k in range(KNOTS) if len(genuine.get((i, k), [])) >= LEAST]
+        made = []
+        for k in known:
+            least, most = min(genuine[i, k]), np.quantile(strange.get((i, k), [0.0]), QUANTILE)
+            made.append(min((least + most) / 2, SLACK * least))
+        if known:
+            bar[i] = np.interp(range(KNOTS), known, made)
+    return bar
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -119,7 +169,18 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, centroids: int = C
                 at_, n = zip(*[(np.flatnonzero(c).astype(np.int32), c[c > 0].astype(np.int32)) for c in counted], strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(at_, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["doc_id", "lang", "at", "n"])
 
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = model.languages.index(lang) if lang in model.languages else None
+                some = [] if own is None else [x for begin, mixed in probes(text) for x in ((own, begin), (-1, mixed))]
+                if some:
+                    knot, near = model.cosines([x[1] for x in some])
+                    yield pa.RecordBatch.from_arrays([pa.array(knot), pa.array([x[0] for x in some], pa.int32()), pa.array(near.astype(np.float64).tolist(), pa.list_(pa.float64()))], names=["knot", "own", "cosine"])
+
     found = rows.select("doc_id", "lang", "text").join(F.broadcast(picked), (F.col("doc_id") == F.col("picked_id")) & (F.col("lang") == F.col("picked_lang"))).select("doc_id", "lang", "text")
+    found = stored(found, "langid-texts")
     got = found.mapInArrow(sparse, "doc_id long, lang string, at array<int>, n array<int>").toArrow().to_pylist()
     got = sorted((r for r in got if r["at"]), key=lambda r: (r["lang"], r["doc_id"], r["at"], r["n"]))
     languages = sorted({r["lang"] for r in got})
@@ -127,16 +188,19 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, centroids: int = C
     for i, r in enumerate(got):
         x[i, r["at"]] = r["n"]
     weights = (np.log((1 + len(got)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    model = Model(languages, weights, np.zeros((0, WIDTH), np.float32), np.zeros(0, int), np.zeros(len(languages)))
+    model = Model(languages, weights, np.zeros((0, WIDTH), np.float32), np.zeros(0, int), np.zeros((len(languages), KNOTS)))
     owner, own, parts = np.array([languages.index(r["lang"]) for r in got], int), [], []
     x = model.vectors(x)
     for i in range(len(languages)):
         c = cluster(x[owner == i], centroids)
         parts.append(c)
         own += [i] * len(c)
-        model.bar[i] = REJECT * np.quantile((x[owner == i] @ c.T).max(axis=1), QUANTILE)
     if parts:
         model.centroids, model.owner = np.concatenate(parts).astype(np.float32), np.array(own)
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+        some = found.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("n") <= PROBES).select("lang", "text")
+        made = some.repartition(shuffle_partitions(docs.sparkSession)).mapInArrow(probed, "knot int, own int, cosine array<double>").toArrow().to_pylist()
+        model.bar = bars(made, len(languages))
     return model
 
 

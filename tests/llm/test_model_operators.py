@@ -53,6 +53,28 @@ def test_language(spark, clashing):
     assert langid.predict(strange, model).first().rejected
 
 
+SF = "/root/testdata/sf0.01"
+FOREIGN = [
+    "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. Quanto a dir qual era è cosa dura",
+    "Litwo, ojczyzno moja, ty jesteś jak zdrowie; ile cię trzeba cenić, ten tylko się dowie, kto cię stracił. Dziś piękność twą widzę i opisuję",
+    "Mieleni minun tekevi, aivoni ajattelevi lähteäni laulamahan, saa'ani sanelemahan, sukuvirttä suoltamahan, lajivirttä laulamahan",
+]
+
+
+@pytest.mark.skipif(not Path(SF).is_dir(), reason="no tables here")
+def test_language_rejects_strange_texts_in_its_own_letters(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs, F.col("doc_id") % 4 != 2)
+    rng = np.random.default_rng(0)
+    junk = [" ".join("".join(rng.choice(list(a), rng.integers(2, 9))) for _ in range(n)) for a in ("abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz") for n in (20, 60, 400)]
+    base64 = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), n)) for n in (100, 1000)]
+    strange = [*FOREIGN, *(t * 4 for t in FOREIGN), *junk, *base64]
+    assert model.predict(strange)[2].all()
+    held = [r.text for r in docs.where("doc_id % 4 = 2 AND lang IS NOT NULL AND text rlike '[a-z]'").collect()]
+    short = [" ".join(t.split()[:12]) for t in held]
+    assert (~model.predict(held)[2]).mean() >= 0.99 and (~model.predict(short)[2]).mean() >= 0.95
+
+
 def test_min_cost_flow_moves_least():
     flow = sharding.min_cost_flow([90, 10, 50], [50, 50, 50], lambda i, j: int(i != j))
     assert [sum(r) for r in flow] == [90, 10, 50] and [sum(c) for c in zip(*flow, strict=True)] == [50, 50, 50]
