@@ -1,8 +1,9 @@
 """Personal data: fixed patterns give seeds, and bootstrapped contexts find identifiers that no fixed pattern knows.
 
-Base spans (email, ip, card, phone) come from regular expressions over the whole text. The three words before a seed make
-a lexical pattern. Patterns and the identifier-like strings in their slots form a graph, scored in rounds: a pattern by the
-share of all its occurrences in the corpus that hold a known identifier, an instance by the patterns that propose it.
+Base spans (email, ip, card, phone) come from regular expressions over the whole text. The one, two and three words before a seed
+make lexical patterns. Patterns and the identifier-like strings in their slots form a graph, scored in rounds: a pattern by the
+share of all its occurrences in the corpus that hold a known identifier, an instance by the patterns that propose it (by
+those of one length together, and the best of the lengths counts, as the patterns of one place are no separate evidence).
 Instances of high confidence become spans of their own. DataFrame functions only.
 
 Defined results: null text is an empty text; an empty table gives an empty result; rows with equal doc_id and text get
@@ -35,8 +36,8 @@ FIND = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 #: What may be an identifier in a pattern's slot: so many digits at least.
-CANDIDATE, DIGITS = r"(?<![0-9A-Za-z])(?=[A-Za-z]{0,16}[0-9])[0-9A-Za-z._:/-]{6,64}+", 4
-#: Words before an identifier that make a pattern; two would make patterns of common word pairs, which hold anything.
+CANDIDATE, DIGITS = r"(?<![0-9A-Za-z])(?=[A-Za-z]{0,16}[0-9])[0-9A-Za-z._:/-]{6,}+", 4
+#: Words before an identifier that make a pattern, at most; where fewer precede it, those do.
 WORDS = 3
 #: Rounds of scoring; distinct known instances that a pattern needs; confidence from which patterns and instances count.
 ROUNDS, SEEDS, CONFIDENCE = 3, 3, 0.5
@@ -101,52 +102,72 @@ def _all(arrays: list[Column]) -> Column:
     return reduce(lambda a, b: F.concat(a, b), arrays)
 
 
+def _key(words: Column, first: Column, k: int) -> Column:
+    return F.xxhash64(F.lit(k), *[F.get(words, first + i) for i in range(k)])
+
+
 def _left(text: Column, start: Column) -> Column:
-    """Key of the WORDS words before start, null if there are fewer within 80 characters (words longer than that make no pattern)."""
-    words = F.regexp_extract_all(F.lower(F.substring(text, F.greatest(start - 79, F.lit(1)), F.least(start, F.lit(80)))), F.lit(f"[^{SPACE}]++(?=[{SPACE}])"), F.lit(0))
-    return let(words, lambda w: F.when(F.size(w) >= WORDS, F.xxhash64(*[F.get(w, F.size(w) - k) for k in range(WORDS, 0, -1)])))
+    """k and pattern for each k up to WORDS: the key of the k words before start, as far as so many stand there. More is read only where words are long."""
+
+    def read(reach: int | None) -> Column:
+        from_ = F.lit(1) if reach is None else F.greatest(start - (reach - 1), F.lit(1))
+        found = F.regexp_extract_all(F.lower(F.substring(text, from_, start + 1 - from_)), F.lit(f"[^{SPACE}]++(?=[{SPACE}])"), F.lit(0))
+        # the first may be cut where the text begins before
+        return found if reach is None else F.when(start > reach, F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0)))).otherwise(found)
+
+    enough = lambda w, reach: (F.size(w) >= WORDS) | (start <= reach)
+    words = let(read(80), lambda w: F.when(enough(w, 80), w).otherwise(let(read(1000), lambda v: F.when(enough(v, 1000), v).otherwise(read(None)))))
+    key = lambda w, k: F.when(F.size(w) >= k, F.struct(F.lit(k).alias("k"), _key(w, F.size(w) - k, k).alias("pattern")))
+    return let(words, lambda w: F.filter(F.array(*[key(w, k) for k in range(1, WORDS + 1)]), lambda x: x.isNotNull()))
 
 
 def mentions(base: DataFrame) -> DataFrame:
-    """doc_id, text_key, start, end, kind, instance, pattern: seeds (kind set) and unknown identifier-like strings (kind null)."""
+    """doc_id, text_key, start, end, kind, instance, k, pattern, a row for each number k of words: seeds (kind set) and unknown identifier-like strings (kind null)."""
     every = _all([_tagged(k, F.lit(k)) for k in KINDS])
     unknown = lambda known: lambda x: (F.length(_digits(x["match"])) >= DIGITS) & ~F.exists(known, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
     both = lambda known: F.concat(known, _tagged(F.filter(_found(F.col("text"), CANDIDATE, None), unknown(known)), F.lit(None).cast("string")))
     slots = F.filter(let(every, both), lambda x: x["start"] > 0)
-    left = F.transform(slots, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lower(x["match"]).alias("instance"), _left(F.col("text"), x["start"]).alias("pattern")))
+    left = F.transform(slots, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lower(x["match"]).alias("instance"), _left(F.col("text"), x["start"]).alias("patterns")))
     # the text itself stays behind before rows are made of its mentions
     one = base.select("doc_id", F.xxhash64("text").alias("text_key"), left.alias("left")).select("doc_id", "text_key", F.explode("left").alias("x"))
-    out = one.select("doc_id", "text_key", "x.start", "x.end", "x.kind", "x.instance", "x.pattern")
-    return out.where("pattern IS NOT NULL")
+    out = one.select("doc_id", "text_key", "x.start", "x.end", "x.kind", "x.instance", F.explode("x.patterns").alias("p"))
+    return out.select("doc_id", "text_key", "start", "end", "kind", "instance", "p.k", "p.pattern")
 
 
 def pattern_uses(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """pattern, n_uses: how often the words of each pattern stand anywhere in the corpus, whatever follows them."""
+    """pattern, n_uses: how often the words of each pattern stand anywhere in the corpus, whatever follows them.
+
+    Single words and pairs are counted before they meet the patterns, as common ones stand everywhere; longer ones are mostly distinct and are counted after.
+    """
     words = docs.where("text IS NOT NULL").select(F.expr(f"regexp_extract_all(lower(text), r'[^{SPACE}]+', 0)").alias("w"))
-    word = lambda i: F.get("w", i)
-    runs = F.when(F.size("w") >= WORDS, F.transform(F.sequence(F.lit(0), F.size("w") - WORDS), lambda i: F.xxhash64(*[word(i + k) for k in range(WORDS)])))
-    used = words.select(F.explode(runs).alias("pattern"))
-    return used.join(patterns.select("pattern"), "pattern").groupBy("pattern").agg(F.count("*").alias("n_uses"))
+    w = F.col("w")
+    runs = lambda k: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: _key(w, i, k))).otherwise(F.array().cast("array<bigint>"))
+    wanted = lambda few: small(patterns.where(F.col("k") <= 2 if few else F.col("k") > 2)).select("pattern")
+    counted = words.select(F.explode(F.concat(runs(1), runs(2))).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n_uses")).join(wanted(True), "pattern")
+    long = words.select(F.explode(_all([runs(k) for k in range(3, WORDS + 1)])).alias("pattern")).join(wanted(False), "pattern").groupBy("pattern").agg(F.count("*").alias("n_uses"))
+    return counted.union(long)
 
 
 def bootstrap(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
     """doc_id, text_key, start, end, kind of the identifiers that only their contexts give away. found: stored mentions."""
-    edges = found.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("kind").alias("kind"))
-    known = edges.where("kind IS NOT NULL").groupBy("pattern").agg(F.count("*").alias("n_seeds"), F.mode("kind", True).alias("kind"))
-    patterns = stored(known.where(F.col("n_seeds") >= seeds).select("pattern", "kind"), "pii-patterns")
-    uses = pattern_uses(docs, small(patterns))
-    kinds = patterns.withColumnRenamed("kind", "pattern_kind")
+    edges = found.groupBy("k", "pattern", "instance").agg(F.count("*").alias("n"), F.max("kind").alias("kind"))
+    known = edges.where("kind IS NOT NULL").groupBy("k", "pattern").agg(F.count("*").alias("n_seeds"), F.mode("kind", True).alias("kind"))
+    patterns = stored(known.where(F.col("n_seeds") >= seeds).select("k", "pattern", "kind"), "pii-patterns")
+    uses = pattern_uses(docs, patterns)
+    kinds = patterns.select("pattern", F.col("kind").alias("pattern_kind"))
     graph = stored(edges.join(kinds, "pattern").join(uses, "pattern"), "pii-graph")
     scores = graph.groupBy("instance").agg(F.max(F.col("kind").isNotNull().cast("double")).alias("score"))
     for _ in range(rounds):
         rated = graph.join(scores, "instance").groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / F.max("n_uses")).alias("pattern_score"))
         rated = rated.withColumn("pattern_score", F.least("pattern_score", F.lit(0.999)))
         either = F.when(F.max(F.col("kind").isNotNull()), 1.0).otherwise(1 - F.exp(F.sum(F.log1p(-F.col("pattern_score")))))
-        scores = stored(graph.join(rated, "pattern").groupBy("instance").agg(either.alias("score")), "pii-scores")
+        each = graph.join(rated, "pattern").groupBy("instance", "k").agg(either.alias("score"))
+        scores = stored(each.groupBy("instance").agg(F.max("score").alias("score")), "pii-scores")
     sure = graph.join(rated.where(F.col("pattern_score") >= confidence), "pattern").join(scores.where(F.col("score") >= confidence), "instance").where("kind IS NULL")
-    sure = stored(sure.select("pattern", "instance", "pattern_kind"), "pii-sure")
+    sure = stored(sure.select("pattern", "instance", "pattern_kind", "pattern_score"), "pii-sure")
     hits = found.where("kind IS NULL").drop("kind").join(small(sure), ["pattern", "instance"])
-    return hits.select("doc_id", "text_key", "start", "end", F.col("pattern_kind").alias("kind"))
+    best = hits.groupBy("doc_id", "text_key", "start", "end").agg(F.max(F.struct("pattern_score", "k", "pattern_kind")).alias("best"))
+    return best.select("doc_id", "text_key", "start", "end", F.col("best.pattern_kind").alias("kind"))
 
 
 def detect(docs: DataFrame) -> DataFrame:

@@ -30,6 +30,19 @@ def test_pii_bootstraps_contexts(spark):
     assert pii.detect(df.limit(0)).count() == 0
 
 
+def test_pii_contexts_of_fewer_words_and_long_tokens(spark):
+    cards = ["4111111111111111", "4917945544862443", "4929348385146306", "5500005555555559"]
+    unknown, long = "4111111111111112", "9" * 70 + "x1"
+    rows = [(i, f"{w} acct: {x}") for i, (w, x) in enumerate(zip(["so this", "the", "a new", "his own"], cards, strict=True))]
+    rows += [(10, f"acct: {unknown}"), (11, f"other text acct: {long} end"), (12, "one two three 4111111111111113")]
+    rows += [(20 + i, f"{'v' * 90} {'u' * 90} w{i} pay{' ' * 90}to {x}") for i, x in enumerate([*cards, unknown])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.s for r in pii.detect(df).select("doc_id", pii.written(F.col("spans")).alias("s")).collect()}
+    assert got[10] == "card:6:22" and got[11] == "card:17:89" and not got[12]
+    assert got[24].startswith("card:")
+    assert pii.redact(df).where("doc_id = 11").first().text == "other text acct: <card> end"
+
+
 def test_quality(spark, docs, clashing):
     got = quality.judge(clashing(docs.union(docs.where("doc_id = 11")))).collect()
     by = {r.doc_id: r for r in docs.collect()}
