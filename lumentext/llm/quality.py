@@ -5,7 +5,7 @@ line are counted; lines above the limit are removed, and documents that lose too
 
 Defined results: null text is an empty text; a null host is a host of its own; rows with equal doc_id and text are
 judged alike, each for itself, and count as one document; an empty table gives an empty result; other columns of the
-input, whatever their names, are not read. Null doc_ids are kept and judged as one more id.
+input, whatever their names, are not read. Null doc_ids are kept and judged as one more id, which adds to no line's documents.
 """
 
 from __future__ import annotations
@@ -72,12 +72,15 @@ def text_measures(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """host, line_key, n_docs of the lines above the limit. Counts are summed before the shuffle, so a hot line or host costs no task more."""
+    """host, line_key, n_docs of the lines above the limit. Rows bound the documents from above; of the lines that pass by rows,
+    each document is taken once in a step dealt by document too, and counts are summed before the shuffle, so a hot line or host costs no task more."""
     rows = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keys = rows.select("host", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _line_key))).alias("line_key"))
-    counts = keys.groupBy("host", "line_key").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > line_docs)
-    hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
-    return counts.join(hosts, "host").where(F.col("n_docs") > line_share * F.col("host_docs")).select("host", "line_key", "n_docs")
+    keys = rows.select("host", "doc_id", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _line_key))).alias("line_key"))
+    hosts = stored(rows.groupBy("host").agg(F.count("*").alias("host_docs")), "quality-hosts")
+    above = lambda df: df.join(small(hosts), "host").where((F.col("n_docs") > line_docs) & (F.col("n_docs") > line_share * F.col("host_docs")))
+    by_rows = stored(above(keys.groupBy("host", "line_key").agg(F.count("*").alias("n_docs"))).select("host", "line_key"), "quality-lines")
+    once = keys.join(small(by_rows), ["host", "line_key"]).select("host", "line_key", "doc_id").distinct()
+    return above(once.groupBy("host", "line_key").agg(F.count("doc_id").alias("n_docs"))).select("host", "line_key", "n_docs")
 
 
 def removed_lines(docs: DataFrame, frequent: DataFrame, host: str = "source") -> DataFrame:

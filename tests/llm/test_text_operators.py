@@ -62,6 +62,15 @@ def test_quality_removes_frequent_lines(spark):
     assert got[0].n_removed_words == 11 and not got[0].base_failed
 
 
+def test_quality_counts_a_repeated_row_once(spark):
+    line = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, line, "h")] * 25 + [(2, line, "h")] + [(10 + i, f"w{i} a b c d e f g h i j k", "h") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert quality.frequent_lines(df).count() == 0
+    got = quality.judge(df).collect()
+    assert len(got) == len(rows) and all(r.kept and r.n_removed_words == 0 for r in got)
+
+
 def test_near_duplicates(docs, texts, clashing):
     got = neardup.near_duplicates(clashing(docs)).collect()
     expected = brute.components(list(enumerate(texts)))
