@@ -6,19 +6,47 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A table is broadcast only if it was counted and has at most this many rows.
+BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
+    """The folder of spark.checkpoint.dir. Where it is unset a local session gets a temporary one; on a cluster that would be a folder of one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lumentext-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/lumentext/{name}-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/lumentext/{name}-{uuid.uuid4().hex}"
+    """df written to the shared folder and read back: lineage ends there, and any executor can read it."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `kept` made, once nothing that is still to be computed reads them."""
+    for df in tables:
+        delete(df.sparkSession, df.kept_at)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows; else as it is, for a shuffled join. df should be kept."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
