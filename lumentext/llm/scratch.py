@@ -1,46 +1,30 @@
-"""Shared helpers: tables of the corpus, and intermediate tables in the cluster's shared folder."""
+"""Shared helpers: tables of the corpus, intermediate tables, keys of texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table is broadcast only if it was counted and has at most this many rows.
-BROADCAST_ROWS = 100_000
+from ..shared import BROADCAST_ROWS, discard, shared_dir, small
+from ..shared import kept as stored
+
+__all__ = ["BROADCAST_ROWS", "discard", "let", "shared_dir", "shuffle_partitions", "small", "stored", "table", "text_key"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="lumentext-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and any executor can read it."""
-    path = f"{shared_dir(df.sparkSession)}/lumentext/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; else as it is, for a shuffled join. df should be stored."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def let(value: Column, body) -> Column:
     """body(value), with value computed once a row even where a lambda inside body uses it for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def text_key(text: Column) -> Column:
+    """struct<k1, k2> of two longs: the first 128 bits of a text's SHA-256 (null as the empty text), which stand for the text in joins and groups."""
+    part = lambda hexed, at: F.conv(F.substring(hexed, at, 16), 16, -10).cast("long")
+    return let(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256), lambda h: F.struct(part(h, 1).alias("k1"), part(h, 17).alias("k2")))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
