@@ -5,14 +5,17 @@ dealt to groups of bounded size, and each group is packed by one task, longest p
 for which the sum of squares of the numbers of open bins by residual gap becomes smallest (a new bin only if none has room).
 Bins that end with more than a small gap are dissolved, and what they held is packed again in fewer groups, until one is left.
 
-Defined results: null text is an empty text (a piece of the end id alone); rows with equal doc_id are packed each for
-itself; an empty table gives an empty result; other columns are not read. Results do not depend on partitioning but
-through the groups, which are dealt by hash.
+Defined results: null text is an empty text (a piece of the end id alone); rows with equal doc_id, and equal rows, are
+packed each for itself; a null doc_id is one more id; texts of any length, also of one word or of white space alone, are
+encoded whole; an empty table gives an empty result; other columns, whatever their names, are not read. A group is what
+one hash of doc_id, piece, digest and a salt by row deals to it, so rows that repeat often lie in several groups.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -24,24 +27,68 @@ from pyspark.sql import functions as F
 from .scratch import stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Pieces that one task packs at most (about); a bin with a larger gap than this is dissolved while there is a next level.
-GROUP, GAP, FEWER = 100_000, 16, 64
-#: The split of byte-level BPE into words.
+#: Pieces that one task packs at most (about); a bin with a larger gap than this is dissolved while there is a next level; parts that equal rows of one input task are dealt in.
+GROUP, GAP, FEWER, SALTS = 100_000, 16, 64, 64
+#: Distinct words whose ids a worker remembers, and the longest it remembers.
+KEPT, LONG = 400_000, 64
+
+# Fixed value: the split of byte-level BPE into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _encoders: dict = {}
 
 
-def encoder(path: str):
-    """Encoder of a byte-level BPE file of the tokenizers library; it gives that library's ids, several times faster. Control strings are ordinary text."""
+class Encoder:
+    """Ids of a byte-level BPE file, all of them from the tokenizers library's default call.
+
+    The library's ids of a text are those of its words, one after another, so each distinct word is given to the library
+    once and remembered. Texts that hold an added token (found in whole texts) or a character that Unicode tables of
+    different age see differently go to the library as they are.
+    """
+
+    def __init__(self, path: str) -> None:
+        import regex
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        made = json.loads(open(path, encoding="utf-8").read())
+        split = made["pre_tokenizer"]
+        if made["normalizer"] or split["type"] != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"]:
+            raise ValueError("not a plain byte-level BPE file: words would depend on each other")
+        self.added = [t["content"] for t in made["added_tokens"]]
+        self.words, self.known, self.assigned = regex.compile(PATTERN, regex.V1), {}, set()
+
+    def _plain(self, text: str) -> bool:
+        if any(a in text for a in self.added):
+            return False
+        new = set() if text.isascii() else set(text) - self.assigned
+        if any(unicodedata.category(c) in ("Cn", "Cs") for c in new):
+            return False
+        self.assigned |= new
+        return True
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        found = self.library.encode_batch(words, add_special_tokens=False)
+        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found, strict=True)}
+
+    def __call__(self, text: str) -> np.ndarray:
+        """Ids as little-endian unsigned 32-bit numbers."""
+        if not self._plain(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        words = self.words.findall(text)
+        if new := set(words) - self.known.keys():
+            if len(self.known) + len(new) > KEPT:
+                self.known = {}
+                new = set(words)
+            made = self._learn(list(new))
+            self.known |= {w: ids for w, ids in made.items() if len(w) <= LONG}
+            if any(len(w) > LONG for w in made):  # too long to be remembered beyond this text
+                return np.frombuffer(b"".join([self.known.get(w) or made[w] for w in words]), "<u4")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
+
+
+def encoder(path: str) -> Encoder:
     if path not in _encoders:
-        import tiktoken
-
-        model = json.loads(open(path, encoding="utf-8").read())
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
-        special = {x["content"] for x in model["added_tokens"]}
-        ranks = {bytes(shown[c] for c in k): v for k, v in model["model"]["vocab"].items() if k not in special}
-        _encoders[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
@@ -55,12 +102,13 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 2, size: int = 1024) -> D
     """A row for each piece of each document: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-        encode = encoder(path).encode_to_numpy
+        encode = encoder(path)
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.append(encode(text.as_py() or "", disallowed_special=()), end_id).astype("<u4")
+                ids = np.append(encode(text.as_py() or ""), end_id).astype("<u4")
                 for k, (start, n) in enumerate(cut(len(ids), size)):
                     for col, x in zip(out, (doc, k, start, n, zlib.crc32(ids[start : start + n].tobytes())), strict=True):
                         col.append(x)
@@ -107,7 +155,8 @@ def _level(pieces: DataFrame, groups: int, level: int, size: int, last: bool) ->
         rows = rows.append_column("sequence_id", pa.array(ids, mask=~done)).append_column("offset", pa.array(offset))
         yield from rows.combine_chunks().to_batches(max_chunksize=20_000)
 
-    dealt = pieces.repartition(groups, F.xxhash64("doc_id", "piece", "ids_crc32"))
+    salted = pieces.withColumn("deal", F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))))
+    dealt = salted.repartition(groups, "deal").drop("deal")
     return dealt.mapInArrow(run, f"{PIECES}, sequence_id long, offset long")
 
 
