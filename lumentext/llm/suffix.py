@@ -8,10 +8,10 @@ suffixes, forwards and backwards from the anchor, by a mergesort whose compariso
 search over prefix polynomial hashes. Sorted neighbours tell how far windows can repeat; those are compared by hash and
 then byte by byte.
 
-Work is keyed by text, so copies of a text are worked on once (a text of LENGTH bytes or more that comes twice is removed
-as a whole). Defined results: null text is an empty text; shorter texts keep everything; rows with equal doc_id are judged
-each for itself, each as one more copy of its text; an empty table gives an empty result; other columns are kept by
-`cleaned` and not read elsewhere.
+Work is keyed by text (128 bits of its SHA-256), so copies of a text are worked on once (a text of LENGTH bytes or more that
+comes twice is removed as a whole). Defined results: null text is an empty text; shorter texts keep everything; rows with
+equal doc_id, and null ones, are judged each for itself, each as one more copy of its text; texts may be of any length; an
+empty table gives an empty result; other columns, whatever their names, are kept by `cleaned` and not read elsewhere.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import shuffle_partitions, stored
+from .scratch import discard, shuffle_partitions, stored, text_key
 
 LENGTH, K = 200, 64
 #: Window starts that an anchor can serve; bytes hashed at a time; contexts sorted at a time.
@@ -332,27 +332,30 @@ def covered(rows: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, *others: str) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(*others, text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit("second")).alias("h2"))
+    """The named columns, text, h1 and h2: the key of the text."""
+    rows = docs.select(*others, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), text_key(F.col("text")).alias("key"))
+    return rows.select(*others, "text", F.col("key.k1").alias("h1"), F.col("key.k2").alias("h2"))
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """h1, h2, text, copies, as a table bucketed by its key: it is joined twice, and the texts need no further shuffle."""
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, str]:
+    """h1, h2, text, copies, as a table bucketed by its key (it is joined twice, and the texts need no further shuffle), and its name."""
     spark = docs.sparkSession
-    found = _keyed(docs).groupBy("h1", "h2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    found = _keyed(docs.select("text")).groupBy("h1", "h2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     n = shuffle_partitions(spark)
     name = f"lumentext_texts_{uuid.uuid4().hex}"
     found.repartition(n, "h1", "h2").write.bucketBy(n, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
-def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The distinct texts, and h1, h2, spans: what repeats of each that is no copy as a whole."""
-    texts = distinct_texts(docs)
+def spans(texts: DataFrame) -> DataFrame:
+    """h1, h2, spans of what repeats of each of the distinct texts that is no copy as a whole, stored."""
     long = texts.where(F.octet_length("text") >= LENGTH)
     found = stored(repeated(anchor_rows(long)), "suffix-anchors")
     made = stored(covered(contexts(long, found)), "suffix-spans")
-    return texts, made.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    discard(found)
+    out = stored(made.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")), "suffix-spans-by-text")
+    discard(made)
+    return out
 
 
 def merge(spans_: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -365,14 +368,15 @@ def merge(spans_: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def cut(docs: DataFrame) -> DataFrame:
-    """h1, h2, kept (bytes), n_bytes, n_removed, n_spans of each distinct text."""
-    texts, found = spans(docs)
+def cut(docs: DataFrame, texts_too: bool) -> DataFrame:
+    """h1, h2, kept_sha256, n_bytes, n_removed, n_spans of each distinct text, stored, and if wanted the text that is left (of changed texts); what it was made from is removed."""
+    texts, name = distinct_texts(docs)
+    found = spans(texts)
     joined = texts.join(found, ["h1", "h2"], "left").select("h1", "h2", "text", "copies", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h1", "h2", "kept", "n_bytes", "n_removed", "n_spans"]
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["h1", "h2", "kept_sha256", "text", "n_bytes", "n_removed", "n_spans"]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 b, out = batch.slice(start, 500), []
@@ -385,23 +389,30 @@ def cut(docs: DataFrame) -> DataFrame:
                     else:
                         gone = []
                     edges = [0, *(x for g in gone for x in g), len(raw)]
-                    kept = b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)) if gone else raw
-                    out.append((h1, h2, kept, len(raw), len(raw) - len(kept), len(gone)))
+                    left = [raw[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)] if gone else [raw]
+                    kept = b"".join(left)
+                    # of a character that was cut in two, neither part is text
+                    text = "".join([x.decode("utf-8", "ignore") for x in left]) if texts_too and gone else None
+                    out.append((h1, h2, hashlib.sha256(kept).hexdigest(), text, len(raw), len(raw) - len(kept), len(gone)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return joined.mapInArrow(run, "h1 long, h2 long, kept binary, n_bytes long, n_removed long, n_spans long")
+    made = joined.mapInArrow(run, "h1 long, h2 long, kept_sha256 string, text string, n_bytes long, n_removed long, n_spans long")
+    out = stored(made.where("n_removed > 0").select("h1", "h2", "text") if texts_too else made.drop("text"), "suffix-cut")
+    discard(found)
+    docs.sparkSession.sql(f"DROP TABLE {name}")
+    return out
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
-    made = cut(docs).select("h1", "h2", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    return _keyed(docs, "doc_id").drop("text").join(made, ["h1", "h2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    made = cut(docs, False)
+    return _keyed(docs.select("doc_id", "text"), "doc_id").drop("text").join(made, ["h1", "h2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """docs without the repeated passages; a character cut in two goes as a whole, null texts stay null, documents without text left stay as empty ones."""
-    made = cut(docs).where("n_removed > 0").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.expr("try_validate_utf8(cast(kept as string))").alias("_kept"), F.col("kept").alias("_raw"))
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    joined = docs.join(made, (F.xxhash64(text) == F.col("_h1")) & (F.xxhash64(text, F.lit("second")) == F.col("_h2")), "left")
-    new = F.when(F.col("_h1").isNull() | docs["text"].isNull(), docs["text"]).otherwise(F.coalesce("_kept", F.regexp_replace(F.expr("make_valid_utf8(cast(_raw as string))"), "�", "")))
-    return joined.select(*[new.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    made = cut(docs, True)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text_key(docs["text"]).alias("key"))
+    joined = rows.join(made, (F.col("key.k1") == F.col("h1")) & (F.col("key.k2") == F.col("h2")), "left")
+    text = F.when(F.col("h1").isNull() | F.col("row")["text"].isNull(), F.col("row")["text"]).otherwise(F.col("text"))
+    return joined.select(*[(text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
