@@ -45,6 +45,11 @@ def parse(text: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
+def loss_mask(turns: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a rendered form that a model learns from: the texts of the assistant's turns. turns: role and place of each text."""
+    return [(start, end) for role, start, end in turns if role == "assistant"]
+
+
 def _holds(shown: str, role: str, text: str) -> bool:
     try:
         return [x[:2] for x in parse(shown)] == [(role, text)]
@@ -88,12 +93,13 @@ def read_back(turns: DataFrame) -> DataFrame:
                     if some:
                         out.append(row())
                     key, state, some = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0], True
-                for role, said, _, _ in parse(text):
+                for role, said, start, end in parse(text):
                     state[0] += 1
                     state[1].update(f"{role}\n{said}\n".encode())
-                    if role == "assistant":
-                        state[2] += len(said)
-                        state[3].update(said.encode())
+                    for a, z in loss_mask([(role, start, end)]):
+                        masked = unescape(text[a:z])
+                        state[2] += len(masked)
+                        state[3].update(masked.encode())
                 state[4] += len(text)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=names)
         if some:
