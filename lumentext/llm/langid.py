@@ -3,11 +3,14 @@
 A text is the vector of its letter n-grams (hashed), weighted by term and inverse document frequency and normalised; each
 language has several centroids, found by spherical k-means; the nearest centroid by cosine gives the language, and a text
 too far from all of them is rejected. How near is near enough follows from data: beginnings of several lengths of the sample
-are held against what the model must not know, texts of each other language and letters in random order. The model is fitted on a bounded sample: SAMPLE labelled texts a language, those of
-the smallest hashes; predictions see whole texts.
+are held against what the model must not know, texts of each other language and letters in random order. The model is
+fitted on a bounded sample: SAMPLE labelled texts a language, those of the smallest hashes; predictions see whole texts.
+Centroids are found where the sample lies; the driver holds them alone, CENTROIDS x WIDTH numbers a language.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and rejected; without labelled texts all are;
-rows with equal doc_id are predicted each for itself; an empty table gives an empty result; other columns are not read.
+rows with equal or null doc_id are predicted each for itself (in the sample each is one more text); an empty table gives an
+empty result; other columns are kept as they are, whatever their names (`recognised`), or may not be named like the results
+(`predict`).
 """
 
 from __future__ import annotations
@@ -22,11 +25,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .scratch import shuffle_partitions, stored
+from .scratch import shuffle_partitions, small, stored
 
 #: Labelled texts a language that the model is fitted on; hashed n-grams; centroids a language.
 SAMPLE, WIDTH, CENTROIDS, NGRAMS = 500, 1 << 13, 3, 3
-SALTS = 64
+#: So many times the sample is drawn by hash before the smallest hashes are taken exactly.
+DRAWN = 4
 #: Beginnings of so many letters, of so many sampled texts a language, set the bars between genuine and strange cosines.
 LETTERS, PROBES = tuple(2**k for k in range(3, 13)), 250
 #: Bars are set by the distinct n-grams of a text (one that repeats itself is no longer for that), in powers of two; each needs LEAST probes.
@@ -116,23 +120,12 @@ def probes(text: str) -> Iterator[tuple[str, str]]:
             yield "".join(begin), "".join(mixed)
 
 
-def bars(found: list[dict], languages: int) -> np.ndarray:
-    """The bar of each language at each knot. found: knot, language (or -1 for letters in random order) and cosines of each probe."""
-    genuine, strange = {}, {}
-    for r in found:
-        near = np.array(r["cosine"])
-        if r["own"] >= 0:
-            genuine.setdefault((r["own"], r["knot"]), []).append(near[r["own"]])
-            near[r["own"]] = -1  # to the others, its language is unknown
-        if (to := int(near.argmax())) != r["own"]:
-            strange.setdefault((to, r["knot"]), []).append(near[to])
+def bars(genuine: dict, strange: dict, languages: int) -> np.ndarray:
+    """The bar of each language at each knot. genuine: (language, knot) -> number and least cosine of its own probes; strange: -> the quantile of what came nearest to it though it is something else."""
     bar = np.zeros((languages, KNOTS))
     for i in range(languages):
-        known = [k for k in range(KNOTS) if len(genuine.get((i, k), [])) >= LEAST]
-        made = []
-        for k in known:
-            least, most = min(genuine[i, k]), np.quantile(strange.get((i, k), [0.0]), QUANTILE)
-            made.append(min((least + most) / 2, SLACK * least))
+        known = [k for k in range(KNOTS) if genuine.get((i, k), (0, 0))[0] >= LEAST]
+        made = [min((genuine[i, k][1] + strange.get((i, k), 0.0)) / 2, SLACK * genuine[i, k][1]) for k in known]
         if known:
             bar[i] = np.interp(range(KNOTS), known, made)
     return bar
@@ -151,15 +144,21 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
+def _numbers(lists: pa.Array) -> Iterator[np.ndarray]:
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return (values[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True))
+
+
 def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
-    """learn: which rows may be learnt from. Of those, the sample with the smallest hashes a language goes to the driver, as sparse counts."""
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # the smallest of each of SALTS parts of a language first, so that a common language lies in no single task
-    order = F.xxhash64("doc_id"), F.col("doc_id")
-    salted = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(SALTS)).alias("salt"))
-    some = salted.withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("n") <= sample).drop("n", "salt")
-    picked = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("n") <= sample).select(F.col("doc_id").alias("picked_id"), F.col("lang").alias("picked_lang"))
-    picked = stored(picked, "langid-sample")  # sample rows a language
+    """learn: which rows may be learnt from."""
+    spark = docs.sparkSession
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    # an even draw by hash, some times as large as the sample, so that a common language lies in no single task; the smallest hashes are all within it
+    size = stored(rows.groupBy("lang").agg(F.count("*").alias("n")), "langid-languages")
+    part = F.xxhash64("doc_id") / F.lit(2.0**64) + F.lit(0.5)
+    drawn = rows.join(small(size), "lang").where(part * F.col("n") < DRAWN * sample).drop("n")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    found = stored(drawn.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample), "langid-texts")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,41 +166,55 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, centroids: int = C
                 part = b.slice(at, 32)
                 counted, _ = counts(part.column(2).to_pylist())
                 at_, n = zip(*[(np.flatnonzero(c).astype(np.int32), c[c > 0].astype(np.int32)) for c in counted], strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(at_, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["doc_id", "lang", "at", "n"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(at_, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["lang", "n", "at", "count"])
+
+    grams = stored(found.select("lang", "n", "text").mapInArrow(sparse, "lang string, n int, at array<int>, count array<int>").where(F.size("at") > 0), "langid-grams")
+    total, have = grams.count(), np.zeros(WIDTH)
+    for r in grams.select(F.explode("at").alias("at")).groupBy("at").count().collect():  # WIDTH rows at most
+        have[r["at"]] = r["count"]
+    weights = (np.log((1 + total) / (1 + have)) + 1).astype(np.float32)
+    model = Model([], weights, np.zeros((0, WIDTH), np.float32), np.zeros(0, int), np.zeros((0, KNOTS)))
+
+    def centre(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("n").combine_chunks()
+        x = np.zeros((t.num_rows, WIDTH), np.float32)
+        for row, at, n in zip(x, _numbers(t["at"].chunk(0)), _numbers(t["count"].chunk(0)), strict=True):
+            row[at] = n
+        c = cluster(model.vectors(x), centroids).astype("<f4")
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(c), pa.string()), "centroid": pa.array([r.tobytes() for r in c], pa.binary())})
+
+    made = sorted((r.lang, i, r.centroid) for i, r in enumerate(grams.groupBy("lang").applyInArrow(centre, "lang string, centroid binary").collect()))
+    if made:
+        model.languages = sorted({r[0] for r in made})
+        model.centroids = np.stack([np.frombuffer(r[2], "<f4") for r in made])
+        model.owner = np.array([model.languages.index(r[0]) for r in made])
+        model.bar = _bars(found.where(F.col("n") <= PROBES).select("lang", "text"), model)
+    return model
+
+
+def _bars(texts: DataFrame, model: Model) -> np.ndarray:
+    """Bars from probes of sampled texts; what comes to the driver is a number for each language and knot."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(model)
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        number = {x: i for i, x in enumerate(model.languages)}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = model.languages.index(lang) if lang in model.languages else None
-                some = [] if own is None else [x for begin, mixed in probes(text) for x in ((own, begin), (-1, mixed))]
+                some = [] if lang not in number else [x for begin, mixed in probes(text) for x in ((number[lang], begin), (-1, mixed))]
                 if some:
+                    own = np.array([x[0] for x in some], np.int32)
                     knot, near = model.cosines([x[1] for x in some])
-                    yield pa.RecordBatch.from_arrays([pa.array(knot), pa.array([x[0] for x in some], pa.int32()), pa.array(near.astype(np.float64).tolist(), pa.list_(pa.float64()))], names=["knot", "own", "cosine"])
-
-    found = rows.select("doc_id", "lang", "text").join(F.broadcast(picked), (F.col("doc_id") == F.col("picked_id")) & (F.col("lang") == F.col("picked_lang"))).select("doc_id", "lang", "text")
-    found = stored(found, "langid-texts")
-    got = found.mapInArrow(sparse, "doc_id long, lang string, at array<int>, n array<int>").toArrow().to_pylist()
-    got = sorted((r for r in got if r["at"]), key=lambda r: (r["lang"], r["doc_id"], r["at"], r["n"]))
-    languages = sorted({r["lang"] for r in got})
-    x = np.zeros((len(got), WIDTH), np.float32)
-    for i, r in enumerate(got):
-        x[i, r["at"]] = r["n"]
-    weights = (np.log((1 + len(got)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    model = Model(languages, weights, np.zeros((0, WIDTH), np.float32), np.zeros(0, int), np.zeros((len(languages), KNOTS)))
-    owner, own, parts = np.array([languages.index(r["lang"]) for r in got], int), [], []
-    x = model.vectors(x)
-    for i in range(len(languages)):
-        c = cluster(x[owner == i], centroids)
-        parts.append(c)
-        own += [i] * len(c)
-    if parts:
-        model.centroids, model.owner = np.concatenate(parts).astype(np.float32), np.array(own)
-        shared = docs.sparkSession.sparkContext.broadcast(model)
-        some = found.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("n") <= PROBES).select("lang", "text")
-        made = some.repartition(shuffle_partitions(docs.sparkSession)).mapInArrow(probed, "knot int, own int, cosine array<double>").toArrow().to_pylist()
-        model.bar = bars(made, len(languages))
-    return model
+                    mine, row = near[np.arange(len(own)), own].astype(np.float64), np.flatnonzero(own >= 0)
+                    near[row, own[row]] = -1  # to the others, its language is unknown
+                    to = near.argmax(axis=1).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(knot), pa.array(own), pa.array(mine), pa.array(to), pa.array(near[np.arange(len(own)), to].astype(np.float64))], names=["knot", "own", "mine", "other", "near"])
+
+    made = stored(texts.repartition(shuffle_partitions(spark)).mapInArrow(probed, "knot int, own int, mine double, other int, near double"), "langid-probes")
+    genuine = {(r.own, r.knot): (r.n, r.least) for r in made.where("own >= 0").groupBy("own", "knot").agg(F.count("*").alias("n"), F.min("mine").alias("least")).collect()}
+    strange = {(r.other, r.knot): r.most for r in made.where("own != other").groupBy("other", "knot").agg(F.percentile("near", QUANTILE).alias("most")).collect()}
+    return bars(genuine, strange, len(model.languages))
 
 
 def predict(docs: DataFrame, model: Model, chunk: int = 32) -> DataFrame:
@@ -218,3 +231,17 @@ def predict(docs: DataFrame, model: Model, chunk: int = 32) -> DataFrame:
 
     schema = StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     return docs.mapInArrow(run, schema)
+
+
+def recognised(docs: DataFrame, model: Model, chunk: int = 32) -> DataFrame:
+    """The rows of docs that the model does not reject, with all their columns; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, chunk):
+                b = batch.slice(start, chunk)
+                yield b.filter(pa.array(~shared.value.predict(b.column(at).to_pylist())[2]))
+
+    return docs.mapInArrow(run, docs.schema)
