@@ -1,17 +1,24 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures, confirmed on full shingle sets.
 
-A document is the set of its 5-word shingles. The forest keeps TREES sorted orders of the signature; in each, documents that
-share a prefix of DEPTH values lie together. First every document is linked with its neighbour of the longest common prefix
-and with the first of its region; candidates are compared on full sets, and what is linked becomes a component. Then the
-depth is adapted to the region: where one still holds documents of several components, every pair of them whose whole
-signatures and sizes allow the similarity is compared as well (deeper prefixes alone would lose links), where the region
-lies and without giving out what is no link, so a pair is lost only if no tree brings it together: at the least similarity, with odds of (1 - 0.75**3)**32, about 2 in 10**8.
-
-Documents of equal sets are one node, so copies cost nothing, and a hot group is a star, never all of its pairs.
+A document is the set of its 5-word shingles, and documents of equal sets are one node, so copies cost nothing. The forest
+keeps TREES sorted orders of the signature: in each, nodes lie in the order of the values of one rotation of it. Nodes that
+share the first DEPTH values are a region (nodes of different regions have less in common than a link needs in one tree).
+First every node is compared with its neighbours in each order, which have the longest common prefix with it, and with the
+first of its region; what is similar on full sets is linked, and links make components.
+
+Then the depth is adapted to the region. Where one holds nodes of several components and few pairs across them, those whose
+sizes and signatures allow the similarity are compared on full sets, where the region lies; only links come out. A crowded
+region is itself a smaller forest: its members are sorted anew in BRANCHES orders of DEPTH further values each, and so on, up
+to LEVELS levels, after which a region is compared whatever its size. A pair of the least similarity misses all regions of
+the first level with odds of (1 - 0.75**3)**32, about 2 in 10**8, and those of a crowded one with (1 - 0.75**3)**16, about
+2 in 10**4, in each of the 13 trees or so where it lies.
 
 Defined results: null text, or text without a word, has an empty set and is linked with nothing; a text of fewer words than
-a shingle is one shingle; rows with equal doc_id are one node of the graph; a null doc_id gets the component of its set
-and is never kept; an empty table gives an empty result; other columns are not read.
+a shingle is one shingle; rows with equal doc_id are one node if their sets are equal, else several; a null doc_id never
+names a component unless all ids of it are null (component_id is null then) and is never `kept`; an empty table gives an
+empty result; other columns, whatever their names, are not read. `deduplicated` drops only members of a group that another
+row stands for: it keeps one row of each component, that of the smallest doc_id (nulls last), then of the smallest key of its
+text, and all rows without a word.
 """
 
 from __future__ import annotations
@@ -23,10 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small, stored
+from .scratch import discard, small, stored, text_key
 
 WORDS, PERCENT = 5, 75
 TREES, DEPTH = 32, 3
+#: Values of a signature beyond DEPTH that a region is sorted by.
+FURTHER = 5
+#: A region is crowded from so many members, or pairs across components, or characters of text on; its orders one level deeper; levels.
+CROWD, PAIRS, CHARACTERS, BRANCHES, LEVELS = 4000, 1 << 20, 1 << 26, 16, 3
 VALUES = TREES * DEPTH
 #: Of VALUES signature values so many must agree before a pair of a region is compared: 5.6 standard deviations below the mean at the least similarity.
 AGREE = VALUES // 2
@@ -110,11 +121,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, s1, s2 (a hash of the set), signature (VALUES unsigned 32-bit numbers, null for an empty set)."""
+    """doc_id, k1, k2 (the text's key), n_shingles, s1, s2 (a hash of the set), signature (VALUES unsigned 32-bit numbers, null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column = b.column(1).cast(pa.large_binary())
+            column = b.column(3).cast(pa.large_binary())
             _, offsets, raw = column.buffers()
             all_ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
             data = np.frombuffer(raw, np.uint8) if raw else np.zeros(0, np.uint8)
@@ -124,76 +135,114 @@ def sets(docs: DataFrame) -> DataFrame:
                 ends = all_ends[at : to + 1] - all_ends[at]
                 key, n = shingles(data[all_ends[at] : all_ends[to]], ends)
                 some, first = np.flatnonzero(n), np.r_[0, np.cumsum(n)[:-1]]
-                s1, s2, sig = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64), np.zeros((len(n), VALUES), "<u4")
+                s1, s2, sig = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64), np.zeros((len(n), VALUES), ">u4")
                 if len(key):
                     begin = first[some]
                     s1[some], s2[some] = np.add.reduceat(_mix(key), begin), np.add.reduceat(_mix(key * np.uint64(3)), begin)
                     for k in range(VALUES):
                         sig[some, k] = np.minimum.reduceat((key * _HASH[k]) >> np.uint64(32), begin)
                 shown = [s.tobytes() if m else None for s, m in zip(sig, n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array(n, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(shown, pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "signature"])
+                made = [*[b.column(i).slice(at, to - at) for i in range(3)], pa.array(n, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(shown, pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, names=["doc_id", "k1", "k2", "n_shingles", "s1", "s2", "signature"])
                 at = to
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, signature binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(docs["text"]).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.select("doc_id", "key.k1", "key.k2", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, n_shingles long, s1 long, s2 long, signature binary")
 
 
-def forest(nodes: DataFrame) -> DataFrame:
-    """bucket (tree and its first DEPTH values), deep (the next two values), id: a row for each node and tree."""
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), ">u4").reshape(-1, VALUES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, sig = b.column(0).to_numpy(), np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(-1, VALUES).astype(np.uint64)
-            for t in range(TREES):
-                value = lambda k, t=t: sig[:, (t * DEPTH + k) % VALUES]
-                key = np.full(len(ids), t + 1, np.uint64)
-                for k in range(DEPTH):
-                    key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + value(k))
-                deep = (value(DEPTH) << np.uint64(31)) | (value(DEPTH + 1) >> np.uint64(1))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(deep.view(np.int64)), pa.array(ids)], names=["bucket", "deep", "id"])
 
-    return nodes.select("id", "signature").mapInArrow(run, "bucket long, deep long, id long")
+def _order(level: int, branch: int) -> np.ndarray:
+    """The places of the signature's values in one order: a rotation for each tree of the first level, a shuffle for each deeper branch."""
+    if level == 0:
+        return (np.arange(VALUES) + branch * DEPTH) % VALUES
+    return np.random.default_rng((20240503, level, branch)).permutation(VALUES)
 
 
-def neighbours(rows: DataFrame) -> DataFrame:
-    """bucket, a, b with a < b: pairs of neighbours in a region and of its first and each other member (bucket null); and a = b = id for each member of a region of three or more."""
+def _region(parent: np.ndarray, level: int, branch: int, sig: np.ndarray) -> np.ndarray:
+    """The region of each node in one order: what lies above it, the order, and its first DEPTH values."""
+    key = parent * np.uint64(0xD6E8FEB86659FD93) + np.uint64(level * 64 + branch + 1)
+    for k in _order(level, branch)[:DEPTH]:
+        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, k].astype(np.uint64))
+    return key
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
 
-        def pairs(t: pa.Table) -> pa.RecordBatch:
-            key, ids = t.column(0).to_numpy(), t.column(2).to_numpy()
-            new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-            first = np.flatnonzero(new)
-            size = np.diff(np.r_[first, len(key)])
-            head, big = np.repeat(ids[first], size), np.repeat(size, size) > 2
-            rest = np.flatnonzero(~new)
-            far = rest[~new[rest - 1]]  # the second of a region has its first as neighbour
-            a, b = np.r_[ids[rest - 1], head[far]], np.r_[ids[rest], ids[far]]
-            a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
-            made = pa.array(np.r_[np.zeros(len(a), np.int64), key[big]], mask=np.r_[np.ones(len(a), bool), np.zeros(int(big.sum()), bool)])
-            return pa.RecordBatch.from_arrays([made, pa.array(np.r_[a, ids[big]]), pa.array(np.r_[b, ids[big]])], names=["bucket", "a", "b"])
+def forest(nodes: DataFrame) -> DataFrame:
+    """region, deeper (the values that follow in that order, as bytes that sort alike), id: a row for each node and tree."""
 
-        for b in batches:
-            held = pa.Table.from_batches([*(held.to_batches() if held else []), b])
-            key = held.column(0).to_numpy()
-            whole = int(np.searchsorted(key, key[-1])) if len(key) else 0  # rows of the open region wait
-            if whole:
-                yield pairs(held.slice(0, whole))
-                held = held.slice(whole)
-        if held is not None and held.num_rows:
-            yield pairs(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                b = batch.slice(at, 2000)
+                sig, none = _signatures(b.column(1)), np.zeros(b.num_rows, np.uint64)
+                for t in range(TREES):
+                    after = np.ascontiguousarray(sig[:, _order(0, t)[DEPTH : DEPTH + FURTHER]])
+                    deeper = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * FURTHER), len(after), [None, pa.py_buffer(after.tobytes())]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(_region(none, 0, t, sig).view(np.int64)), deeper, b.column(0)], names=["region", "deeper", "id"])
 
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "deep", "id")
-    return dealt.mapInArrow(run, "bucket long, a long, b long")
+    return nodes.select("id", "signature").mapInArrow(run, "region long, deeper binary, id long")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar on full sets. pairs: stored. Only texts that stand in a pair are shuffled."""
-    involved = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "neardup-involved")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(small(involved, 500_000), "doc_id", "left_semi")
+def neighbours(rows: DataFrame) -> DataFrame:
+    """region, a, b with a < b: pairs of neighbours in an order and of a region's first and each other member (region null); and a = b = id for each member of a region of three or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = before = None  # the first and the last member so far of the open region: (region, id), and how many it has
+        count, waiting = 0, []
+        for b in batches:
+            key, ids = b.column(0).to_numpy(), b.column(2).to_numpy()
+            if not len(key):
+                continue
+            a_, b_, region, member = [], [], [], []
+            new = np.r_[before is None or key[0] != head[0], key[1:] != key[:-1]]
+            first = np.flatnonzero(new)
+            # members of the open region, which began in an earlier batch
+            edges = [0, *(first[first > 0]).tolist(), len(key)]
+            for s, e in zip(edges, edges[1:], strict=False):
+                mine = ids[s:e]
+                if new[s]:
+                    head, count, waiting = (key[s], mine[0]), 0, []
+                    chain = mine
+                else:
+                    chain = np.r_[before, mine]
+                a_.append(chain[:-1])
+                b_.append(chain[1:])
+                far = mine[2 - min(count, 2) :] if count < 2 else mine
+                a_.append(np.full(len(far), head[1]))
+                b_.append(far)
+                count += len(mine)
+                if count > 2:
+                    shown = np.r_[np.array(waiting, np.int64), mine]
+                    waiting = []
+                    region.append(np.full(len(shown), head[0]))
+                    member.append(shown)
+                else:
+                    waiting += mine.tolist()
+                before = mine[-1]
+            a, c = np.concatenate(a_), np.concatenate(b_)
+            a, c = np.minimum(a, c)[a != c], np.maximum(a, c)[a != c]
+            some = np.concatenate(member) if member else np.zeros(0, np.int64)
+            key_ = np.concatenate(region) if region else np.zeros(0, np.int64)
+            made = pa.array(np.r_[np.zeros(len(a), np.int64), key_], mask=np.r_[np.ones(len(a), bool), np.zeros(len(key_), bool)])
+            yield pa.RecordBatch.from_arrays([made, pa.array(np.r_[a, some]), pa.array(np.r_[c, some])], names=["region", "a", "b"])
+
+    dealt = rows.repartition("region").sortWithinPartitions("region", "deeper", "id")
+    return dealt.mapInArrow(run, "region long, a long, b long")
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of the nodes among ids (stored): a node's text is that of its key, whichever row has it; only these texts are shuffled."""
+    wanted = stored(nodes.join(small(ids, 500_000), "id", "left_semi").select("id", "k1", "k2"), "neardup-wanted")
+    keyed = docs.select(text_key(docs["text"]).alias("key"), F.col("text").cast("string").alias("text")).select("key.k1", "key.k2", "text")
+    return keyed.join(small(wanted, 500_000), ["k1", "k2"]).groupBy("id").agg(F.first("text").alias("text"))
+
+
+def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar on full sets. pairs: stored."""
+    involved = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "neardup-involved")
+    texts = stored(texts_of(docs, nodes, involved), "neardup-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, None
@@ -202,16 +251,18 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 500):
                 b = batch.slice(at, 500)
                 for a, z, ta, tb in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                    if (key := (a, len(text := ta.as_py() or ""))) != last or text != said:
-                        last, said, known = key, text, shingles_of(text)
+                    if a != last:
+                        last, known = a, shingles_of(ta.as_py())
                     if similar(known, shingles_of(tb.as_py())):
                         out.append((a, z))
             made = zip(*out, strict=True) if out else ([], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in made], names=["a", "b"])
 
-    left = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a long, b long").distinct()
+    left = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    out = stored(both.mapInArrow(run, "a long, b long").distinct(), "neardup-edges")
+    discard(texts, involved)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -231,24 +282,25 @@ def components(edges: DataFrame) -> DataFrame:
         now = stored(star.where("u != v").distinct(), "star")
 
 
-def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first tree in which each row of b lies in a's region."""
-    return (b == a).reshape(-1, TREES, DEPTH).all(axis=2).argmax(axis=1)
+def _similar_sets(a: set, b: set) -> bool:
+    both = len(a & b)
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def _bucket(values: np.ndarray, tree: int) -> int:
-    key = np.full(1, tree + 1, np.uint64)
-    for v in values:
-        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + np.uint64(v))
-    return int(key.view(np.int64)[0])
+def _first_regions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The region of the first tree in which each row of b lies in a's region."""
+    tree = (b == a).reshape(-1, TREES, DEPTH).all(axis=2).argmax(axis=1)
+    every = {t: _region(np.zeros(1, np.uint64), 0, t, a[None, :])[0] for t in np.unique(tree).tolist()}
+    return np.array([every[t] for t in tree.tolist()], np.uint64)
 
 
-def links(bucket: int, comp: list[int], ids: list[int], size: np.ndarray, sig: np.ndarray, text: list[str]) -> Iterator[tuple[int, int]]:
-    """Links that join different components within one region. Each pair that sizes and signatures allow is compared on full sets, once over all regions."""
+def links(region: int | None, comp: np.ndarray, ids: np.ndarray, size: np.ndarray, sig: np.ndarray, text: list[str]) -> Iterator[tuple[int, int]]:
+    """Links that join different components within one region; each pair that sizes and signatures allow is compared on full sets, unless
+    other links have joined its components. If region is given, only pairs that meet here first: for them no other region has to be asked."""
     order = np.argsort(size, kind="stable")
-    size, sig = size[order], sig[order]
-    comp, ids, text = ([x[i] for i in order.tolist()] for x in (comp, ids, text))
-    part = {c: c for c in comp}
+    comp, ids, size, sig = comp[order], ids[order].tolist(), size[order], np.ascontiguousarray(sig[order]).astype(np.uint32)
+    text = [text[i] for i in order.tolist()]
+    part = {c: c for c in comp.tolist()}
     sets_: dict[int, set] = {}
 
     def find(c: int) -> int:
@@ -261,34 +313,46 @@ def links(bucket: int, comp: list[int], ids: list[int], size: np.ndarray, sig: n
             sets_[i] = set(shingles_of(text[i]).tolist())
         return sets_[i]
 
-    codes = np.array([hash(c) for c in comp])
-    here: dict[int, int] = {}
+    named = comp.tolist()
     for i in range(len(ids) - 1):
         to = int(np.searchsorted(size, size[i] * 100 // PERCENT, "right"))
-        other = i + 1 + np.flatnonzero(codes[i + 1 : to] != codes[i])
+        other = i + 1 + np.flatnonzero(comp[i + 1 : to] != comp[i])
         other = other[(sig[other] == sig[i]).sum(axis=1) >= AGREE]
-        if not len(other):
-            continue
-        tree = _first_shared(sig[i], sig[other])
-        for t in np.unique(tree).tolist():
-            here[t] = _bucket(sig[i, t * DEPTH : (t + 1) * DEPTH], t)
-        for j, t in zip(other.tolist(), tree.tolist(), strict=True):
-            if here[t] == bucket and (x := find(comp[i])) != (y := find(comp[j])):
-                both = len(full(i) & full(j))
-                if 100 * both >= PERCENT * (len(full(i)) + len(full(j)) - both):
-                    part[max(x, y)] = min(x, y)
-                    yield min(ids[i], ids[j]), max(ids[i], ids[j])
-
-
-def leftover(docs: DataFrame, members: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
-    """a, b: confirmed links between documents of one region but different components. No more rows than components come out."""
-    parts = parts.withColumnRenamed("id", "part_id")
-    named = members.join(parts, members["id"] == parts["part_id"], "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-    rows = stored(named.join(mixed, "bucket"), "neardup-mixed")
-    involved = stored(rows.select(F.col("id").alias("doc_id")).distinct(), "neardup-mixed-ids")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(small(involved, 500_000), "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
-    rows = rows.join(nodes.select("id", "n_shingles", "signature").join(texts, "id"), "id").select("bucket", "component", "id", "n_shingles", "signature", "text")
+        if region is not None and len(other):
+            other = other[_first_regions(sig[i], sig[other]) == region]
+        for j in other.tolist():
+            if (x := find(named[i])) != (y := find(named[j])) and _similar_sets(full(i), full(j)):
+                part[max(x, y)] = min(x, y)
+                yield min(ids[i], ids[j]), max(ids[i], ids[j])
+
+
+def mixed(members: DataFrame) -> DataFrame:
+    """region, crowded of the regions (region, id, component, chars) that hold several components."""
+    by = members.groupBy("region", "component").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    n, square = F.sum("n"), F.sum(F.col("n").cast("double") * F.col("n"))
+    sums = by.groupBy("region").agg(F.count("*").alias("parts"), n.alias("n"), ((n.cast("double") * n - square) / 2).alias("pairs"), F.sum("chars").alias("chars"))
+    return sums.where("parts > 1").select("region", ((F.col("n") > CROWD) | (F.col("pairs") > PAIRS) | (F.col("chars") > CHARACTERS)).alias("crowded"))
+
+
+def deepened(members: DataFrame, level: int) -> DataFrame:
+    """The members (region, id, component, signature) of crowded regions, each in BRANCHES regions one level deeper."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                b = batch.slice(at, 2000)
+                sig, parent = _signatures(b.column(3)), b.column(0).to_numpy().view(np.uint64)
+                for t in range(BRANCHES):
+                    yield pa.RecordBatch.from_arrays([pa.array(_region(parent, level, t, sig).view(np.int64)), b.column(1), b.column(2), b.column(4)], names=["region", "id", "component", "chars"])
+
+    return members.select("region", "id", "component", "signature", "chars").mapInArrow(run, "region long, id long, component long, chars long")
+
+
+def compared(docs: DataFrame, nodes: DataFrame, members: DataFrame, once: bool) -> DataFrame:
+    """a, b: links across components within the regions of members (region, id, component), stored. No more rows than components come out. once: members holds every region of the first level that a pair could meet in."""
+    involved = stored(members.select("id").distinct(), "neardup-mixed-ids")
+    texts = stored(texts_of(docs, nodes, involved), "neardup-mixed-texts")
+    rows = members.join(nodes.select("id", "n_shingles", "signature").join(texts, "id"), "id").select("region", "component", "id", "n_shingles", "signature", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -298,8 +362,7 @@ def leftover(docs: DataFrame, members: DataFrame, nodes: DataFrame, parts: DataF
             made: list[tuple[int, int]] = []
             if held:
                 t = pa.Table.from_batches(held).combine_chunks()
-                sig = np.frombuffer(b"".join(t.column(4).to_pylist()), "<u4").reshape(-1, VALUES)
-                made = list(links(int(open_), t.column(1).to_pylist(), t.column(2).to_pylist(), t.column(3).to_numpy(), sig, t.column(5).to_pylist()))
+                made = list(links(np.uint64(int(open_) % 2**64) if once else None, t["component"].to_numpy(), t["id"].to_numpy(), t["n_shingles"].to_numpy(), _signatures(t["signature"].chunk(0)), t["text"].to_pylist()))
                 held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*made, strict=True) if made else ([], []))], names=["a", "b"])
 
@@ -314,27 +377,75 @@ def leftover(docs: DataFrame, members: DataFrame, nodes: DataFrame, parts: DataF
                     held.append(b.slice(s, e - s))
         yield out()
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(run, "a long, b long").distinct()
+    made = stored(rows.repartition("region").sortWithinPartitions("region", "id").mapInArrow(run, "a long, b long").distinct(), "neardup-links")
+    discard(involved, texts)
+    return made
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row."""
+def leftover(docs: DataFrame, members: DataFrame, nodes: DataFrame, parts: DataFrame) -> list[DataFrame]:
+    """Tables of a, b: confirmed links between nodes of one region (members: region, id) but different components (parts: id, component), level by level."""
+    parts = parts.withColumnRenamed("id", "part_id")
+    size = nodes.select(F.col("id").alias("size_id"), "chars")
+    found: list[DataFrame] = []
+    now = members.join(size, members["id"] == size["size_id"]).join(parts, members["id"] == parts["part_id"], "left").select("region", "id", F.coalesce("component", "id").alias("component"), "chars")
+    for level in range(1, LEVELS + 1):
+        now = stored(now, f"neardup-members-{level}")
+        kind = stored(mixed(now), f"neardup-regions-{level}")
+        crowded = kind.where("crowded").select("region")
+        last = level == LEVELS or crowded.isEmpty()
+        simple = kind.where(F.lit(last) | ~F.col("crowded")).select("region")
+        found.append(compared(docs, nodes, stored(now.join(small(simple), "region", "left_semi"), f"neardup-simple-{level}"), last and level == 1))
+        if last:
+            discard(now)
+            return found
+        rest = now.join(small(crowded), "region", "left_semi").join(nodes.select("id", "signature"), "id")
+        now = deepened(rest, level)
+    return found
+
+
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets of each row (see sets), and s1, s2, component (any number), smallest (doc_id of it, null if all are null) of each set; both stored."""
     found = stored(sets(docs), "neardup-sets")
-    full = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = stored(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "neardup-nodes")
-    near = stored(neighbours(forest(nodes)), "neardup-regions")
-    first = stored(near.where("bucket IS NULL").select("a", "b").distinct(), "neardup-first")
-    edges = stored(confirmed(docs, first), "neardup-edges")
+    full = found.where("n_shingles > 0")
+    one = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("k1", "k2")).alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    nodes = stored(one.select(F.monotonically_increasing_id().alias("id"), "s1", "s2", "doc_id", "key.k1", "key.k2", "n_shingles", (F.col("n_shingles") * 8).alias("chars"), "signature"), "neardup-nodes")
+    near = stored(neighbours(forest(nodes)), "neardup-near")
+    first = stored(near.where("region IS NULL").select("a", "b").distinct(), "neardup-first")
+    edges = confirmed(docs, nodes, first)
+    parts = stored(components(edges), "neardup-parts")
+    extra = leftover(docs, near.where("region IS NOT NULL").select("region", F.col("a").alias("id")), nodes, parts)
+    for e in extra:
+        edges = edges.union(e)
     parts = stored(components(edges), "neardup-parts")
-    extra = stored(leftover(docs, near.where("bucket IS NOT NULL").select("bucket", F.col("a").alias("id")), nodes, parts), "neardup-extra")
-    parts = stored(components(edges.union(extra)), "neardup-parts")
-    ids = nodes.select("s1", "s2", "id").join(parts, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component"))
-    named = found.drop("signature").join(ids, ["s1", "s2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    named = nodes.join(parts, "id", "left").select("s1", "s2", "doc_id", F.coalesce("component", "id").alias("component"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    out = stored(named.join(least, "component").select("s1", "s2", "component", "smallest"), "neardup-classes")
+    discard(nodes, near, first)
+    return found, out
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row."""
+    found, by_set = classes(docs)
+    named = found.drop("signature").join(by_set, ["s1", "s2"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept: of each component the document with the smallest doc_id. Of repeated rows of one doc_id the first by text stays."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    """docs without the rows that another row of their component stands for."""
+    found, by_set = classes(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    one = found.where("n_shingles > 0").join(by_set, ["s1", "s2"]).select("component", place.alias("place"))
+    one = one.groupBy("component", "place").agg(F.count("*").alias("n")).groupBy("component").agg(F.min(F.struct("place", "n")).alias("best"))
+    empty = found.where("n_shingles = 0").select("doc_id", "k1", "k2").distinct().withColumn("n", F.lit(1))
+    stay = stored(one.select("best.place.doc_id", "best.place.k1", "best.place.k2", "best.n").unionByName(empty), "neardup-stay")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text_key(docs["text"]).alias("key"), docs["doc_id"].cast("long").alias("own"))
+
+    def those(wanted: DataFrame) -> DataFrame:
+        named = wanted.select(F.col("doc_id").alias("stay_id"), "k1", "k2")
+        return rows.join(named, F.col("own").eqNullSafe(F.col("stay_id")) & (F.col("key.k1") == F.col("k1")) & (F.col("key.k2") == F.col("k2")), "left_semi")
+
+    repeated = small(stay.where("n > 1"))
+    one = those(repeated).dropDuplicates(["own", "key"])
+    return those(stay.where("n = 1")).union(one).select("row.*")
