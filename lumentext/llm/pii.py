@@ -4,10 +4,14 @@ Base spans (email, ip, card, phone) come from regular expressions over the whole
 make lexical patterns. Patterns and the identifier-like strings in their slots form a graph, scored in rounds: a pattern by the
 share of all its occurrences in the corpus that hold a known identifier, an instance by the patterns that propose it (by
 those of one length together, and the best of the lengths counts, as the patterns of one place are no separate evidence).
-Instances of high confidence become spans of their own. DataFrame functions only.
+Instances of high confidence become seeds in their turn: the contexts of all their mentions make further patterns, until no
+instance is added or GENERATIONS are done. What was found becomes spans of its own. DataFrame functions only.
+
+Texts are searched once; what is found there (places, hashes of instances and contexts) is stored without the texts.
 
 Defined results: null text is an empty text; an empty table gives an empty result; rows with equal doc_id and text get
-equal results, each for itself; other columns of the input are not read. Offsets are code points, the end exclusive.
+equal results, each for itself; a null doc_id is one more id; other columns, whatever their names, are kept by `redact` and
+not read. Offsets are code points, the end exclusive; of a text of any length the whole is searched.
 
 Each expression is written so that it reads a run of its characters once, also in very long texts: a match starts at a
 run's first character or where the match before it has ended, and loops are possessive where what follows can't begin
@@ -21,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import let, small, stored
+from .scratch import discard, let, small, stored, text_key
 
 SPACE = r"\x20\x09-\x0D"
 KINDS = ("email", "ip", "card", "phone")
@@ -39,8 +43,8 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 CANDIDATE, DIGITS = r"(?<![0-9A-Za-z])(?=[A-Za-z]{0,16}[0-9])[0-9A-Za-z._:/-]{6,}+", 4
 #: Words before an identifier that make a pattern, at most; where fewer precede it, those do.
 WORDS = 3
-#: Rounds of scoring; distinct known instances that a pattern needs; confidence from which patterns and instances count.
-ROUNDS, SEEDS, CONFIDENCE = 3, 3, 0.5
+#: Rounds of scoring; distinct known instances that a pattern needs; confidence from which patterns and instances count; times that what was found seeds anew.
+ROUNDS, SEEDS, CONFIDENCE, GENERATIONS = 3, 3, 0.5, 4
 
 
 def _digits(x: Column) -> Column:
@@ -84,10 +88,10 @@ def _found(text: Column, regex: str, needs: str | None) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text, row (a struct of all columns as they were), and for each kind an array of its spans; no shuffle."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    found = rows.select("doc_id", "text", "row", *[_found(F.col("text"), FIND[k], NEEDS[k]).alias(k) for k in KINDS])
-    return found.select("doc_id", "text", "row", *[_valid(k).alias(k) for k in KINDS])
+    """doc_id, text, and for each kind an array of its spans; no shuffle."""
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = rows.select("doc_id", "text", *[_found(F.col("text"), FIND[k], NEEDS[k]).alias(k) for k in KINDS])
+    return found.select("doc_id", "text", *[_valid(k).alias(k) for k in KINDS])
 
 
 def _valid(kind: str) -> Column:
@@ -121,17 +125,23 @@ def _left(text: Column, start: Column) -> Column:
     return let(words, lambda w: F.filter(F.array(*[key(w, k) for k in range(1, WORDS + 1)]), lambda x: x.isNotNull()))
 
 
-def mentions(base: DataFrame) -> DataFrame:
-    """doc_id, text_key, start, end, kind, instance, k, pattern, a row for each number k of words: seeds (kind set) and unknown identifier-like strings (kind null)."""
+def searched(docs: DataFrame) -> DataFrame:
+    """doc_id, key (the text's), n_email ..., base (array of struct<k, start, end>) and slots of each row: slots are the seeds (kind set) and
+    unknown identifier-like strings (kind null), with instance (a hash of the string) and patterns, struct<k, pattern> for each number k of words before it."""
     every = _all([_tagged(k, F.lit(k)) for k in KINDS])
     unknown = lambda known: lambda x: (F.length(_digits(x["match"])) >= DIGITS) & ~F.exists(known, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
     both = lambda known: F.concat(known, _tagged(F.filter(_found(F.col("text"), CANDIDATE, None), unknown(known)), F.lit(None).cast("string")))
     slots = F.filter(let(every, both), lambda x: x["start"] > 0)
-    left = F.transform(slots, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lower(x["match"]).alias("instance"), _left(F.col("text"), x["start"]).alias("patterns")))
-    # the text itself stays behind before rows are made of its mentions
-    one = base.select("doc_id", F.xxhash64("text").alias("text_key"), left.alias("left")).select("doc_id", "text_key", F.explode("left").alias("x"))
-    out = one.select("doc_id", "text_key", "x.start", "x.end", "x.kind", "x.instance", F.explode("x.patterns").alias("p"))
-    return out.select("doc_id", "text_key", "start", "end", "kind", "instance", "p.k", "p.pattern")
+    left = F.transform(slots, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.xxhash64(F.lower(x["match"])).alias("instance"), _left(F.col("text"), x["start"]).alias("patterns")))
+    one = lambda i, k: F.transform(k, lambda x: F.struct(F.lit(i).alias("k"), x["start"].alias("start"), x["end"].alias("end")))
+    base = F.array_sort(_all([one(i, k) for i, k in enumerate(KINDS)]))
+    return base_spans(docs).select("doc_id", text_key(F.col("text")).alias("key"), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], base.alias("base"), left.alias("slots"))
+
+
+def edges_of(found: DataFrame) -> DataFrame:
+    """k, pattern, instance, n, kind of the graph of contexts and what stands in them. found: stored rows of `searched`."""
+    one = found.select(F.explode("slots").alias("x")).select("x.kind", "x.instance", F.explode("x.patterns").alias("p"))
+    return one.groupBy("p.k", "p.pattern", "instance").agg(F.count("*").alias("n"), F.max("kind").alias("kind"))
 
 
 def pattern_uses(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -148,48 +158,59 @@ def pattern_uses(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return counted.union(long)
 
 
-def bootstrap(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
-    """doc_id, text_key, start, end, kind of the identifiers that only their contexts give away. found: stored mentions."""
-    edges = found.groupBy("k", "pattern", "instance").agg(F.count("*").alias("n"), F.max("kind").alias("kind"))
-    known = edges.where("kind IS NOT NULL").groupBy("k", "pattern").agg(F.count("*").alias("n_seeds"), F.mode("kind", True).alias("kind"))
-    patterns = stored(known.where(F.col("n_seeds") >= seeds).select("k", "pattern", "kind"), "pii-patterns")
-    uses = pattern_uses(docs, patterns)
-    kinds = patterns.select("pattern", F.col("kind").alias("pattern_kind"))
-    graph = stored(edges.join(kinds, "pattern").join(uses, "pattern"), "pii-graph")
-    scores = graph.groupBy("instance").agg(F.max(F.col("kind").isNotNull().cast("double")).alias("score"))
-    for _ in range(rounds):
-        rated = graph.join(scores, "instance").groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / F.max("n_uses")).alias("pattern_score"))
-        rated = rated.withColumn("pattern_score", F.least("pattern_score", F.lit(0.999)))
-        either = F.when(F.max(F.col("kind").isNotNull()), 1.0).otherwise(1 - F.exp(F.sum(F.log1p(-F.col("pattern_score")))))
-        each = graph.join(rated, "pattern").groupBy("instance", "k").agg(either.alias("score"))
-        scores = stored(each.groupBy("instance").agg(F.max("score").alias("score")), "pii-scores")
-    sure = graph.join(rated.where(F.col("pattern_score") >= confidence), "pattern").join(scores.where(F.col("score") >= confidence), "instance").where("kind IS NULL")
-    sure = stored(sure.select("pattern", "instance", "pattern_kind", "pattern_score"), "pii-sure")
-    hits = found.where("kind IS NULL").drop("kind").join(small(sure), ["pattern", "instance"])
-    best = hits.groupBy("doc_id", "text_key", "start", "end").agg(F.max(F.struct("pattern_score", "k", "pattern_kind")).alias("best"))
-    return best.select("doc_id", "text_key", "start", "end", F.col("best.pattern_kind").alias("kind"))
+def bootstrap(docs: DataFrame, edges: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, confidence: float = CONFIDENCE, generations: int = GENERATIONS) -> DataFrame:
+    """pattern, instance, kind, score of the pairs that give identifiers away which no fixed pattern knows. edges: stored."""
+    known = stored(edges.where("kind IS NOT NULL").groupBy("instance").agg(F.min("kind").alias("known_kind")), "pii-known")
+    counted = sure = None
+    for generation in range(generations):
+        seeded = edges.select("k", "pattern", "instance").join(known, "instance")
+        rich = seeded.groupBy("k", "pattern").agg(F.countDistinct("instance").alias("n_seeds"), F.mode("known_kind", True).alias("pattern_kind")).where(F.col("n_seeds") >= seeds)
+        patterns = stored(rich.select("k", "pattern", "pattern_kind"), f"pii-patterns-{generation}")
+        # the corpus is read again only for patterns that no generation before has counted
+        new = patterns if counted is None else stored(patterns.join(counted, "pattern", "left_anti"), f"pii-new-patterns-{generation}")
+        if new.isEmpty():
+            break
+        uses = pattern_uses(docs, new)
+        counted = stored(uses if counted is None else counted.union(uses), f"pii-uses-{generation}")
+        named = known.withColumnRenamed("instance", "known")
+        graph = edges.join(patterns.drop("k"), "pattern").join(counted, "pattern").join(named, F.col("instance") == F.col("known"), "left").drop("known", "kind")
+        graph = stored(graph, f"pii-graph-{generation}")
+        scores = graph.groupBy("instance").agg(F.max(F.col("known_kind").isNotNull().cast("double")).alias("score"))
+        for _ in range(rounds):
+            rated = graph.join(scores, "instance").groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / F.max("n_uses")).alias("pattern_score"))
+            rated = rated.withColumn("pattern_score", F.least("pattern_score", F.lit(0.999)))
+            either = F.when(F.max(F.col("known_kind").isNotNull()), 1.0).otherwise(1 - F.exp(F.sum(F.log1p(-F.col("pattern_score")))))
+            each = graph.join(rated, "pattern").groupBy("instance", "k").agg(either.alias("score"))
+            scores = stored(each.groupBy("instance").agg(F.max("score").alias("score")), "pii-scores")
+        strong = graph.join(rated.where(F.col("pattern_score") >= confidence), "pattern").join(scores.where(F.col("score") >= confidence), "instance")
+        sure = stored(strong.select("pattern", "instance", F.col("pattern_kind").alias("kind"), F.col("pattern_score").alias("score"), "known_kind"), f"pii-sure-{generation}")
+        fresh = sure.where("known_kind IS NULL").groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("best")).select("instance", F.col("best.kind").alias("known_kind"))
+        fresh = stored(fresh, f"pii-fresh-{generation}")
+        discard(graph)
+        if fresh.isEmpty():
+            break
+        known = stored(known.union(fresh), "pii-known")
+    empty = docs.sparkSession.createDataFrame([], "pattern long, instance long, kind string, score double")
+    return empty if sure is None else sure.drop("known_kind")
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, text, row, text_key, base and spans for each row: arrays of struct<kind, start, end>, by kind as in KINDS and start."""
-    base = base_spans(docs)
-    found = stored(mentions(base), "pii-mentions")
+    """doc_id, key (the text's), n_email ..., base and spans for each row: arrays of struct<kind, start, end>, by kind as in KINDS and start."""
+    found = stored(searched(docs), "pii-found")
+    edges = stored(edges_of(found), "pii-edges")
+    sure = bootstrap(docs, edges)
     order = F.array(*map(F.lit, KINDS))
-    extra = bootstrap(docs, found).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct((F.array_position(order, F.col("kind")) - 1).cast("int").alias("k"), "start", "end")).alias("extra"))
-    one = lambda i, k: F.transform(k, lambda x: F.struct(F.lit(i).alias("k"), x["start"].alias("start"), x["end"].alias("end")))
-    rows = base.select("doc_id", "text", "row", F.xxhash64("text").alias("text_key"), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], _all([one(i, k) for i, k in enumerate(KINDS)]).alias("base"))
-    extra = extra.withColumnsRenamed({"doc_id": "extra_id", "text_key": "extra_key"})
-    rows = rows.join(small_by_rows(extra), F.col("doc_id").eqNullSafe(F.col("extra_id")) & (F.col("text_key") == F.col("extra_key")), "left").drop("extra_id", "extra_key")
+    slots = found.select("doc_id", "key", F.explode("slots").alias("x")).where("x.kind IS NULL").select("doc_id", "key", "x.start", "x.end", "x.instance", F.explode("x.patterns").alias("p"))
+    hits = slots.withColumn("pattern", F.col("p.pattern")).join(small(stored(sure, "pii-sure")), ["pattern", "instance"])
+    best = hits.groupBy("doc_id", "key", "start", "end").agg(F.max(F.struct("score", "p.k", "kind")).alias("best"))
+    number = (F.array_position(order, F.col("best.kind")) - 1).cast("int").alias("k")
+    extra = best.groupBy("doc_id", "key").agg(F.collect_set(F.struct(number, "start", "end")).alias("extra")).withColumnsRenamed({"doc_id": "extra_id", "key": "extra_key"})
+    rows = found.drop("slots").join(small(stored(extra, "pii-extra")), F.col("doc_id").eqNullSafe(F.col("extra_id")) & (F.col("key") == F.col("extra_key")), "left").drop("extra_id", "extra_key")
     named = lambda a: F.transform(F.array_sort(a), lambda x: F.struct(F.get(order, x["k"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     every = F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.concat("base", "extra"))
     return rows.withColumns({"base": named(F.col("base")), "spans": named(every)}).drop("extra")
 
 
-def small_by_rows(df: DataFrame) -> DataFrame:
-    """Stored, and broadcast if it is small: documents with found contexts are few, but nothing bounds them."""
-    return small(stored(df, "pii-extra"))
-
-
 def written(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
@@ -197,13 +218,18 @@ def written(spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of the text replaced by <kind>; overlapping spans are replaced as one, named after the first. Null texts stay null."""
+
     def step(acc: Column, x: Column) -> Column:
         fresh = x["start"] >= acc["at"]
         piece = F.concat(F.substring(acc["text"], acc["at"] + 1, x["start"] - acc["at"]), F.lit("<"), x["kind"], F.lit(">"))
         return F.struct(acc["text"].alias("text"), F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
+    # rows that have spans are the fewer ones; of equal rows one is enough
+    some = stored(detect(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("found_id"), F.col("key").alias("found_key"), "spans").dropDuplicates(["found_id", "found_key"]), "pii-spans")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("own"), text_key(docs["text"]).alias("key"))
+    rows = rows.join(small(some), F.col("own").eqNullSafe(F.col("found_id")) & (F.col("key") == F.col("found_key")), "left")
     by_start = F.array_sort("spans", lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["end"] > b["end"], -1).when(a["end"] < b["end"], 1).otherwise(0))
-    state = F.struct(F.col("text"), F.lit(0).alias("at"), F.lit("").alias("out"))
+    text = F.col("row")["text"]
+    state = F.struct(text.alias("text"), F.lit(0).alias("at"), F.lit("").alias("out"))
     done = F.aggregate(by_start, state, step, lambda acc: F.concat(acc["out"], F.substring(acc["text"], acc["at"] + 1, F.length(acc["text"]))))
-    text = F.when(F.size("spans") > 0, done).otherwise(F.col("row")["text"])
-    return detect(docs).select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    return rows.select(*[(F.when(F.col("spans").isNotNull(), done).otherwise(text) if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
