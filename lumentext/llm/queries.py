@@ -34,8 +34,10 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
-    model = langid.fit(docs, F.coalesce(~held_out, F.lit(False)))
+    # a null doc_id has no remainder: it is not held out, and nothing is learnt from it
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+    held_out = F.coalesce(remainder == 2, F.lit(False))
+    model = langid.fit(docs, F.coalesce(remainder != 2, F.lit(False)))
     found = langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model)
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
@@ -96,8 +98,9 @@ QUERIES = {
 
 SQL = {
     "op2_topk": """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+WITH one AS (SELECT vec_id, min(CAST(embedding AS DOUBLE[])) AS embedding FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x) AS BIGINT)) AS e FROM one),
 p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5

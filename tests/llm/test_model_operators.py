@@ -27,6 +27,12 @@ def test_top_k(spark, clashing):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_k_of_repeated_rows(spark, clashing):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [3.0, 0.0]), (1, [4.0, 1.0]), (1, [0.5, 1.0]), (1, [4.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0])]
+    got = topk.top_k(clashing(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), F.col("vec_id") == 0, slots=2).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 2, 3 * 65536), (0, 2, 1, int(2.5 * 65536))]
+
+
 def test_top_k_of_few_and_huge(spark):
     rows = [(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 1.0])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0).collect()
@@ -61,6 +67,20 @@ FOREIGN = [
 ]
 
 
+def test_language_of_held_out_documents_and_of_one_left_out(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = langid.fit(docs, ~held)
+    found = langid.predict(docs.where(held & F.col("lang").isNotNull()), model).where("lang_pred <> 'und'").collect()
+    assert len(found) > 200 and sum(r.lang_pred == r.lang for r in found) >= 0.99 * len(found)
+    fewer = langid.fit(docs, ~held & (F.col("lang") != "fr"))
+    assert "fr" not in fewer.languages and len(fewer.languages) == len(model.languages) - 1
+    rest = docs.where(held & F.col("lang").isNotNull() & (F.length("text") > 400)).withColumn("rejected", F.lit("clash"))
+    kept = {r.lang: r["count"] for r in langid.recognised(rest, fewer).groupBy("lang").count().collect()}
+    every = {r.lang: r["count"] for r in rest.groupBy("lang").count().collect()}
+    assert kept.get("fr", 0) <= 0.1 * every["fr"] and all(kept[x] >= 0.98 * n for x, n in every.items() if x != "fr")
+
+
 @pytest.mark.skipif(not Path(SF).is_dir(), reason="no tables here")
 def test_language_rejects_strange_texts_in_its_own_letters(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
@@ -143,6 +163,35 @@ def test_rewriting_with_repeated_and_null_ids(spark, tmp_path):
         assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
 
 
+def test_the_plan_moves_no_more_than_the_flow():
+    rng = np.random.default_rng(3)
+    for new in (2, 4, 5, 9):
+        sizes = {(o, b): int(rng.exponential(1000)) + 1 for o in range(4) for b in range(60 + 40 * o)}
+        place = sharding.plan(sizes, new)
+        supply = [sum(s for (o, _), s in sizes.items() if o == k) for k in range(4)]
+        total = sum(supply)
+        capacity = [total // new + (j < total % new) for j in range(new)]
+        flow = sharding.min_cost_flow(supply, capacity, lambda i, j: int(i != j))
+        least = sum(x for i, row in enumerate(flow) for j, x in enumerate(row) if i != j)
+        moved = sum(s for k, s in sizes.items() if place[k] != k[0])
+        have = [sum(s for k, s in sizes.items() if place[k] == j) for j in range(new)]
+        assert least - 200 <= moved <= least and max(have) - min(have) <= 200
+
+
+def test_fewer_shards_and_groups_across_old_ones(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.sha2((F.col("id") % 300).cast("string"), 256).alias("text"))
+    files = sharding.dealt(docs, F.col("doc_id") % 4, path)
+    placed = stored(sharding.reshard(files, 2, F.col("shard")), "placed")
+    assert placed.groupBy("text_crc32").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
+    moved = sharding.transfers(placed).agg(F.sum("n_rows")).first()[0]
+    assert moved == placed.where("old_shard != shard").count() and moved < 320
+    sharding.rewrite(files, placed, path, "shard")
+    again = spark.read.schema(files.schema).parquet(path)
+    assert again.count() == 400 and {r.shard for r in again.select("shard").distinct().collect()} == {0, 1}
+    assert sorted((r.doc_id, r.shard) for r in again.collect()) == sorted((r.doc_id, r.shard) for r in placed.collect())
+
+
 def test_sharding_query_reads_what_it_wrote(spark, docs, tmp_path):
     from lumentext.llm import queries
 
@@ -187,11 +236,52 @@ def test_encoder_gives_the_librarys_ids(texts):
     from tokenizers import Tokenizer
 
     path = tokenizers.path("byte_bpe_50k.json")
-    theirs = Tokenizer.from_file(path)
-    theirs.encode_special_tokens = True
-    mine = packing.encoder(path)
-    for t in [*(t or "" for t in texts), "it's 12  x\n\n y <|endoftext|> é日本😀\t\x00", "  a", "a  "]:
-        assert mine.encode_to_numpy(t, disallowed_special=()).tolist() == theirs.encode(t, add_special_tokens=False).ids
+    theirs, mine = Tokenizer.from_file(path), packing.Encoder(path)
+    hard = ["it's 12  x\n\n y <|endoftext|> é日本😀\t\x00", "a<|endoftext|>b", "  a", "a  ", "'s'S''ll", "\x1c\x1d \x85\u2028x\u00a0 y", "\u088f\U0003fc3f", " " * 5000 + "x", "w" * 3000, "\r\n" * 9]
+    for t in [*(t or "" for t in texts), *hard, *hard]:
+        assert mine(t).tolist() == theirs.encode(t, add_special_tokens=False).ids
+
+
+def test_every_character_is_split_as_the_library_splits():
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("byte_bpe_50k.json")
+    theirs, mine = Tokenizer.from_file(path), packing.Encoder(path)
+    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 512):
+        plain = [f"x{chr(c)}1{chr(c)}.{chr(c)} {chr(c)}" for c in points[at : at + 512] if mine._plain(chr(c))]
+        assert mine("".join(plain)).tolist() == theirs.encode("".join(plain), add_special_tokens=False).ids
+
+
+def test_long_white_space_and_repeated_rows_are_packed(spark, clashing):
+    path = tokenizers.path("byte_bpe_50k.json")
+    rows = [(1, " " * 1_000_000 + "x"), (2, "word " * 100_000), (3, None), (3, None), (None, "a")]
+    pieces = stored(packing.tokenize(clashing(spark.createDataFrame(rows, "doc_id long, text string")), path), "pieces")
+    made = packing.pack(pieces).collect()
+    total = sum(len(packing.encoder(path)(t or "")) + 1 for _, t in rows)
+    assert sum(r.length for r in made) == total and sum(r.doc_id == 3 for r in made) == 2 and sum(r.doc_id is None for r in made) == 1
+
+
+def test_the_rule_of_squares_against_trying_every_gap():
+    rng = np.random.default_rng(5)
+    lengths, size = rng.integers(1, 40, 300), 40
+    where, offset, gaps = packing.sum_of_squares(lengths, size)
+    have: list[int] = []
+    for s, b, o in zip(lengths.tolist(), where.tolist(), offset.tolist(), strict=True):
+        def after(g):  # the sum of squares over the open bins once s is in a bin with gap g
+            left = have.copy()
+            if g < size:
+                left.remove(g)
+            counts = np.bincount([x for x in [*left, g - s] if x], minlength=1)
+            return int((counts.astype(np.int64) ** 2).sum())
+        fits = sorted({g for g in have if g >= s})
+        gap = size - o
+        assert gap in fits if fits else gap == size
+        assert not fits or after(gap) == min(after(g) for g in fits)
+        if gap < size:
+            have.remove(gap)
+        have.append(gap - s)
+    assert sorted(have) == sorted(gaps.tolist())
 
 
 def test_packing(spark, docs, clashing, texts):
@@ -205,7 +295,7 @@ def test_packing(spark, docs, clashing, texts):
     assert sorted(by) == list(range(len(texts)))
     for doc, own in by.items():
         own.sort(key=lambda r: r.piece)
-        ids = np.append(packing.encoder(path).encode_to_numpy(texts[doc] or ""), 2).astype("<u4")
+        ids = np.append(packing.encoder(path)(texts[doc] or ""), 2).astype("<u4")
         assert [r.start for r in own] == [0, *np.cumsum([r.length for r in own])[:-1]] and sum(r.length for r in own) == len(ids)
         assert all(r.length == 1024 for r in own[1:]) and all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own)
     bins = {}

@@ -37,3 +37,25 @@ def test_empty(spark):
     for _, stage in C.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_nulls_repeats_and_clashing_names(spark, clashing):
+    """Each stage on rows that are hard: null ids and texts, repeated rows, further columns named like those used inside."""
+    import corpus_pipeline as C
+    from pyspark.sql import functions as F
+
+    prose = ["the ship lay in the harbour and the men went down to the water with ropes and lamps", "das schiff lag im hafen und die leute gingen mit lampen und seilen an das wasser hinunter"]
+    rows = [(i, f"{prose[i % 2]} number {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}", ("en", "de")[i % 2], "s", 1) for i in range(60)]
+    rows += [(3, rows[3][1], "de", "s", 1), (None, rows[3][1] + " und mehr", None, None, None), (None, "a clean text that stands alone in the whole table of documents here", "en", "s", 1), (70, None, "en", "s", 1), (71, "", None, "s", 0), (72, "12 34", "en", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = clashing(docs).withColumns({c: F.lit("clash") for c in ("rejected", "score", "lang_pred", "_h1", "_kept", "placed_id", "key", "row", "own", "k1", "n", "place")})
+    seen = {}
+    for name, stage in C.STAGES[:4]:
+        made = stage(spark, docs, "")
+        assert made.columns == docs.columns
+        seen[name] = made.collect()
+    assert all(r.text for r in seen["language"]) and len(seen["language"]) >= 60
+    near = seen["near_duplicates"]
+    assert sum(r.doc_id == 3 for r in near) <= 1 and any((r.text or "").startswith("a clean text") for r in near)
+    assert {r.doc_id for r in near} >= {70, 71} and len(seen["repeats"]) == len(seen["personal_data"]) == len(rows)
+    assert sum(r.length for r in C.pack(spark, docs, "").collect()) > len(rows)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumentext.llm import neardup, pii, quality, suffix
+from lumentext.llm.scratch import stored
 
 
 def test_pii_base_spans(spark, clashing):
@@ -14,10 +15,11 @@ def test_pii_base_spans(spark, clashing):
     ]
     rows = [*enumerate(hard), (2, hard[2]), (None, "me@home.org")]
     df = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = pii.detect(df).select("doc_id", "text", "n_ip", pii.written(F.col("base")).alias("b"), pii.written(F.col("spans")).alias("s")).collect()
+    got = pii.detect(df).select("doc_id", "n_ip", pii.written(F.col("base")).alias("b"), pii.written(F.col("spans")).alias("s")).collect()
     assert len(got) == len(rows)
+    by = dict(rows)
     for r in got:
-        assert r.b == ",".join(f"{k}:{s}:{e}" for k, s, e in brute.pii(r.text)) and r.s == r.b
+        assert r.b == ",".join(f"{k}:{s}:{e}" for k, s, e in brute.pii(by[r.doc_id])) and r.s == r.b
 
 
 def test_pii_bootstraps_contexts(spark):
@@ -43,6 +45,26 @@ def test_pii_contexts_of_fewer_words_and_long_tokens(spark):
     assert pii.redact(df).where("doc_id = 11").first().text == "other text acct: <card> end"
 
 
+def test_pii_found_identifiers_seed_further_contexts(spark):
+    cards = ["4111111111111111", "5500005555555559", "4929348385146306"]
+    codes = [f"zq{k}81{k}52" for k in range(7)]
+    rows = [(i, f"note {i}: the card number is {x} now") for i, x in enumerate([*cards, *codes[:6]])]
+    rows += [(20 + i, f"entry {i}; see the member code {x} too") for i, x in enumerate(codes)] + [(40, "a plain year 2024001 here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.s for r in pii.detect(df).select("doc_id", pii.written(F.col("spans")).alias("s")).collect()}
+    assert all(got[i] for i in range(9)) and all(got[20 + i] for i in range(7)) and not got[40]
+    first = stored(pii.edges_of(stored(pii.searched(df), "found")), "edges")
+    assert pii.bootstrap(df, first, generations=1).count() < pii.bootstrap(df, first).count()
+
+
+def test_pii_of_long_and_repeated_rows(spark, clashing):
+    long = "word " * 200_000 + "me@home.org" + " x" * 100_000
+    df = clashing(spark.createDataFrame([(1, long), (1, "me@home.org"), (1, "me@home.org"), (None, None)], "doc_id long, text string"))
+    made = pii.redact(df)
+    assert made.columns == df.columns
+    assert sorted((r.doc_id or 0, len(r.text or "")) for r in made.collect()) == [(0, 0), (1, 7), (1, 7), (1, len(long) - 4)]
+
+
 def test_quality(spark, docs, clashing):
     got = quality.judge(clashing(docs.union(docs.where("doc_id = 11")))).collect()
     by = {r.doc_id: r for r in docs.collect()}
