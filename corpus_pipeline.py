@@ -1,7 +1,9 @@
 """A corpus pipeline: language identification, near-duplicates, repeated passages, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents; where a stage changes a text, n_chars follows.
+one's docs. All but the last return the columns of documents, further ones included, whatever their names; where a stage
+changes a text, n_chars follows. An empty table gives an empty result in every stage; texts may be of any length; ties and
+repeated rows have the results that the operators' modules state, and so have nulls in a column other than those named below.
 """
 
 from __future__ import annotations
@@ -18,28 +20,28 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; texts without a letter or far from every known language go."""
+    """Documents whose language is recognised; null texts, those without a letter and those far from every known language go. A null lang is not learnt from, nothing else of it matters."""
     model = langid.fit(docs, F.lit(True))
-    return langid.predict(docs, model).where("NOT rejected").select(*docs.columns)
+    return langid.recognised(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the smallest doc_id, nulls last. Texts without a word, null ones too, all stay, and so does a null doc_id whose text has no near-duplicate."""
     return neardup.deduplicated(docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 200 bytes and more that repeat."""
+    """Texts without the passages of 200 bytes and more that repeat. Null texts stay null; no row goes; repeated rows are each other's copies."""
     return _measured(suffix.cleaned(docs))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind."""
+    """Texts with personal data replaced by its kind. Null texts stay null; no row goes."""
     return _measured(pii.redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece: its document, its tokens' digest, its sequence and place there."""
+    """A row for each piece: its document, its tokens' digest, its sequence and place there. A null text is an empty one; each row is packed for itself."""
     return packing.pack(stored(packing.tokenize(docs, queries.tokenizer("byte_bpe_50k.json")), "pieces"))
 
 
