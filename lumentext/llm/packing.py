@@ -67,7 +67,7 @@ class Encoder:
         return True
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        found = self.library.encode_batch(words, add_special_tokens=False)
+        found = self.library.encode_batch_fast(words, add_special_tokens=False)
         return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found, strict=True)}
 
     def __call__(self, text: str) -> np.ndarray:
@@ -75,7 +75,7 @@ class Encoder:
         if not self._plain(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
         words = self.words.findall(text)
-        if new := set(words) - self.known.keys():
+        if new := set(words).difference(self.known):
             if len(self.known) + len(new) > KEPT:
                 self.known = {}
                 new = set(words)
