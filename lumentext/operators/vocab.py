@@ -11,8 +11,9 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -28,12 +29,46 @@ def run_counts(docs: DataFrame, normalize: bool = True) -> DataFrame:
     return docs.where("text IS NOT NULL").select(F.explode(T.runs(text)).alias("run")).groupBy("run").agg(F.count("*").alias("mult"))
 
 
+def _counted(points: np.ndarray, ends: np.ndarray, weight: np.ndarray, l_max: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Pieces and their weighted counts, length by length. points: code points of runs one after another, which end at ends[1:]."""
+    letters, code = np.unique(points, return_inverse=True)
+    room = ends[1:].repeat(np.diff(ends)) - np.arange(len(points))  # characters from each place to its run's end
+    each = weight.repeat(np.diff(ends))
+    narrow = len(letters) < 256
+    for n in range(1, min(l_max, int(room.max(initial=0))) + 1):
+        at = np.flatnonzero(room >= n)
+        if narrow and n <= 8:  # a piece is one number
+            key = np.zeros(len(at), np.uint64)
+            for k in range(n):
+                key = (key << np.uint64(8)) | code[at + k].astype(np.uint64)
+        else:
+            key = np.ascontiguousarray(points[at[:, None] + np.arange(n)]).view(f"V{4 * n}").ravel()
+        order = np.argsort(key, kind="stable") if narrow and n <= 8 else np.lexsort([points[at + k] for k in range(n)])
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        shown = points[at[order[first]][:, None] + np.arange(n)]
+        text = shown.astype("<u4").tobytes().decode("utf-32-le")
+        yield [text[i : i + n] for i in range(0, len(text), n)], np.add.reduceat(each[at[order]], first)
+
+
 def substring_counts(runs: DataFrame, l_max: int = L_MAX) -> DataFrame:
-    """piece, freq of every substring of at most l_max characters, at every position."""
-    at = runs.select("run", "mult", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("i"))
-    most = F.least(F.lit(l_max), F.length("run") - F.col("i") + 1)
-    every = at.select("mult", F.explode(F.transform(F.sequence(F.lit(1), most), lambda n: F.substring("run", F.col("i"), n))).alias("piece"))
-    return every.groupBy("piece").agg(F.sum("mult").alias("freq"))
+    """piece, freq of every substring of at most l_max characters, at every position: counted batch by batch where the runs lie, summed afterwards."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            run, mult = b.column(0).to_pylist(), b.column(1).to_numpy()
+            size = np.cumsum([0, *map(len, run)])
+            at = 0
+            while at < len(run):
+                to = max(at + 1, int(np.searchsorted(size, size[at] + (1 << 18), "right")) - 1)
+                points = np.frombuffer("".join(run[at:to]).encode("utf-32-le"), np.uint32)
+                if len(points):
+                    for pieces, freq in _counted(points, size[at : to + 1] - size[at], mult[at:to], l_max):
+                        yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array(freq, pa.int64())], names=["piece", "freq"])
+                at = to
+
+    every = runs.select("run", F.col("mult").cast("long").alias("mult")).mapInArrow(work, "piece string, freq long")
+    return every.groupBy("piece").agg(F.sum("freq").alias("freq"))
 
 
 def candidates(counts: DataFrame, m: int = CANDIDATES) -> DataFrame:
@@ -85,8 +120,16 @@ def segmented(runs: DataFrame, probabilities: dict[str, float]) -> DataFrame:
     return runs.select("run", "mult").mapInArrow(work, "run string, mult long, pieces array<string>, score double")
 
 
+def guarded_perplexity(logs: Column, n_pieces: Column) -> Column:
+    """exp of the mean surprise: infinite without pieces, 1 for a mean of 0, 1e6 where the mean is over 500 or what comes out is not finite or over 1e100."""
+    mean = -logs / n_pieces
+    plain = F.exp(mean)
+    sane = F.when(mean == 0, 1.0).when((mean > 500) | F.isnan(plain) | (plain > 1e100), 1e6).otherwise(plain)
+    return F.when(F.coalesce(n_pieces, F.lit(0)) > 0, F.coalesce(sane, F.lit(1e6))).otherwise(float("inf"))
+
+
 def corpus_metrics(segments: DataFrame) -> DataFrame:
-    """perplexity, oov, coverage, n_pieces, n_chars in a single row. A run that can't be made is uncovered."""
+    """perplexity, oov, coverage, n_pieces, n_chars in a single row. A run that can't be made is uncovered; an empty corpus is covered as a whole."""
     good = F.col("pieces").isNotNull()
     sums = segments.agg(
         F.sum(F.when(good, F.col("mult") * F.col("score"))).alias("logs"),
@@ -94,8 +137,15 @@ def corpus_metrics(segments: DataFrame) -> DataFrame:
         F.sum(F.col("mult") * F.length("run")).alias("n_chars"),
         F.coalesce(F.sum(F.when(good, F.col("mult") * F.length("run"))), F.lit(0)).alias("covered"),
     )
-    perplexity = F.when(F.coalesce("n_pieces", F.lit(0)) > 0, F.exp(-F.col("logs") / F.col("n_pieces"))).otherwise(float("inf"))
-    return sums.select(perplexity.alias("perplexity"), (1 - F.col("covered") / F.col("n_chars")).alias("oov"), (F.col("covered") / F.col("n_chars")).alias("coverage"), "n_pieces", "n_chars")
+    coverage = F.coalesce(F.col("covered") / F.nullif("n_chars", F.lit(0)), F.lit(1.0))
+    return sums.select(guarded_perplexity(F.col("logs"), F.col("n_pieces")).alias("perplexity"), (1 - coverage).alias("oov"), coverage.alias("coverage"), "n_pieces", "n_chars")
+
+
+def covered_positions(segments: DataFrame) -> DataFrame:
+    """run, mult, covered: how many characters of each run its pieces cover, piece by piece up to the first that doesn't match."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(True).alias("on"))
+    step = lambda s, x: F.struct((s["at"] + F.when(s["on"] & (F.substring("run", s["at"] + 1, F.length(x)) == x), F.length(x)).otherwise(0)).alias("at"), (s["on"] & (F.substring("run", s["at"] + 1, F.length(x)) == x)).alias("on"))
+    return segments.select("run", "mult", F.coalesce(F.aggregate("pieces", start, step)["at"], F.lit(0)).alias("covered"))
 
 
 def em_step(segments: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -202,19 +252,32 @@ def induce(docs: DataFrame, l_max: int = L_MAX, m: int = CANDIDATES, iterations:
     return spark.createDataFrame(sorted(p.items(), key=lambda x: -x[1]), "piece string, prob double"), stats
 
 
+def _log_sum(terms: list[float]) -> float:
+    most = max(terms)
+    return most + math.log(sum([math.exp(t - most) for t in terms])) if len(terms) > 1 else most
+
+
 def soft_probabilities(run: str, p: dict[str, float], longest: int) -> tuple[float, list[tuple[int, str, float]]]:
-    """Probability of a run over all its segmentations, and (position, piece, share of segmentations by probability)."""
+    """Logarithm of a run's probability over all its segmentations (-inf if there is none), and (position, piece, share of segmentations by probability). Sums are kept as logarithms, so runs may be of any length."""
     n = len(run)
-    edges = [(i, j, run[i:j], p[run[i:j]]) for j in range(1, n + 1) for i in range(max(0, j - longest), j) if p.get(run[i:j], 0) > 0]
-    forward, backward = [0.0] * (n + 1), [0.0] * (n + 1)
-    forward[0] = backward[n] = 1.0
-    for i, j, _, q in edges:
-        forward[j] += forward[i] * q
-    for i, j, _, q in sorted(edges, key=lambda e: -e[0]):
-        backward[i] += q * backward[j]
-    if not forward[n]:
-        return 0.0, []
-    return forward[n], [(i, u, forward[i] * q * backward[j] / forward[n]) for i, j, u, q in edges]
+    into: list[list[tuple[int, str, float]]] = [[] for _ in range(n + 1)]
+    forward, backward = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+    forward[0] = backward[n] = 0.0
+    for j in range(1, n + 1):
+        into[j] = [(i, u, math.log(q)) for i in range(max(0, j - longest), j) if forward[i] > -math.inf and (q := p.get(u := run[i:j], 0)) > 0]
+        if into[j]:
+            forward[j] = _log_sum([forward[i] + log for i, _, log in into[j]])
+    if forward[n] == -math.inf:
+        return -math.inf, []
+    out: list[list[tuple[int, str, float]]] = [[] for _ in range(n + 1)]
+    for j in range(1, n + 1):
+        for i, u, log in into[j]:
+            out[i].append((j, u, log))
+    for i in range(n - 1, -1, -1):
+        if terms := [log + backward[j] for j, _, log in out[i] if backward[j] > -math.inf]:
+            backward[i] = _log_sum(terms)
+    total = forward[n]
+    return total, [(i, u, math.exp(forward[i] + log + backward[j] - total)) for j in range(1, n + 1) for i, u, log in into[j] if backward[j] > -math.inf]
 
 
 _RUN = re.compile(r"[ \t\n\r\x0b\f]+|[^ \t\n\r\x0b\f]+")
@@ -226,7 +289,7 @@ def soft_by_run(text: str, p: dict[str, float], longest: int) -> list[tuple[int,
 
 
 def forward_backward(runs: DataFrame, probabilities: dict[str, float]) -> DataFrame:
-    """run, mult, total, soft: array of struct<pos, piece, p>."""
+    """run, mult, log_total, soft: array of struct<pos, piece, p>."""
     shared, longest = runs.sparkSession.sparkContext.broadcast(probabilities), max(map(len, probabilities), default=0)
     kind = pa.list_(pa.struct([("pos", pa.int32()), ("piece", pa.string()), ("p", pa.float64())]))
 
@@ -234,9 +297,9 @@ def forward_backward(runs: DataFrame, probabilities: dict[str, float]) -> DataFr
         for b in batches:
             made = [soft_probabilities(r, shared.value, longest) for r in b.column(0).to_pylist()]
             soft = [[{"pos": i, "piece": u, "p": q} for i, u, q in m[1]] for m in made]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([m[0] for m in made]), pa.array(soft, kind)], names=["run", "mult", "total", "soft"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([m[0] for m in made]), pa.array(soft, kind)], names=["run", "mult", "log_total", "soft"])
 
-    return runs.select("run", "mult").mapInArrow(work, "run string, mult long, total double, soft array<struct<pos:int,piece:string,p:double>>")
+    return runs.select("run", "mult").mapInArrow(work, "run string, mult long, log_total double, soft array<struct<pos:int,piece:string,p:double>>")
 
 
 def validate_probabilities(vocab: DataFrame) -> DataFrame:
