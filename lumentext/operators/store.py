@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import delete, kept, small
+from ..sources.records import numbered
+
 SIZE = 100
 
 
@@ -20,14 +23,11 @@ def manifest(results: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def islands(ids: DataFrame, name: str = "seq_id") -> DataFrame:
-    """start_id, end_id, n of runs of consecutive ids. Runs are found within buckets of ids and joined where they touch."""
-    bucket = F.floor(F.col(name) / 10_000)
-    within = Window.partitionBy("b").orderBy(name)
-    parts = ids.select(name, bucket.alias("b")).withColumn("i", F.col(name) - F.row_number().over(within)).groupBy("b", "i").agg(F.min(name).alias("s"), F.max(name).alias("e"))
-    order = Window.orderBy("s")
-    joined = parts.withColumn("fresh", F.coalesce((F.lag("e").over(order) + 1 != F.col("s")).cast("int"), F.lit(1)))
-    runs = joined.withColumn("run", F.sum("fresh").over(order)).groupBy("run").agg(F.min("s").alias("start_id"), F.max("e").alias("end_id"))
-    return runs.select("start_id", "end_id", (F.col("end_id") - F.col("start_id") + 1).alias("n"))
+    """start_id, end_id, n of runs of consecutive ids (ids: kept). An id without its predecessor starts a run, one without its successor ends it; both are numbered alike and meet, so no window holds all of them."""
+    every = ids.select(F.col(name).alias("id")).distinct()
+    lone = lambda step: every.join(every.select((F.col("id") + step).alias("id")), "id", "left_anti")
+    starts, ends = numbered(lone(1), "id", "run").withColumnRenamed("id", "start_id"), numbered(lone(-1), "id", "run").withColumnRenamed("id", "end_id")
+    return starts.join(ends, "run").select("start_id", "end_id", (F.col("end_id") - F.col("start_id") + 1).alias("n"))
 
 
 def missing(every: DataFrame, done: DataFrame) -> DataFrame:
@@ -67,9 +67,7 @@ def repair(spark: SparkSession, path: str, sequences: DataFrame, process, size:
     gone = sequences.join(have.select("seq_id"), "seq_id", "left_anti")
     chunks = gone.select(chunk_id(size=size).alias("chunk_id")).distinct()
     fresh = process(gone)
-    old = have.join(F.broadcast(chunks), "chunk_id", "left_semi").drop("chunk_id")
-    from ..shared import kept
-
+    old = have.join(small(kept(chunks, "chunks")), "chunk_id", "left_semi").drop("chunk_id")
     write(kept(old.unionByName(fresh), "repaired"), path, size)
     return chunks
 
@@ -77,3 +75,38 @@ def repair(spark: SparkSession, path: str, sequences: DataFrame, process, size:
 def orphans(listing: DataFrame, declared: DataFrame) -> DataFrame:
     """Files of a listing (file, chunk_id) that the manifest doesn't know."""
     return listing.join(declared.select("chunk_id"), "chunk_id", "left_anti")
+
+
+def remove_orphans(spark: SparkSession, path: str, declared: DataFrame) -> list[int]:
+    """Deletes the chunks of a store that the manifest doesn't know; gives their ids. One entry a chunk is listed, no sequence is read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = [f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    listing = spark.createDataFrame([(f, int(f.split("=")[1])) for f in found if f.startswith("chunk_id=")], "file string, chunk_id long")
+    gone = sorted((r.chunk_id, r.file) for r in orphans(listing, declared).collect())
+    for _, file in gone:
+        delete(spark, f"{path}/{file}")
+    return [c for c, _ in gone]
+
+
+def size_estimates(declared: DataFrame, bytes_by_chunk: DataFrame) -> DataFrame:
+    """chunk_id, bytes_per_sequence, first and last sequence: the size of a chunk (chunk_id, bytes) shared among its sequences."""
+    return declared.join(bytes_by_chunk, "chunk_id", "left").select("chunk_id", "start_seq_id", "end_seq_id", F.round(F.coalesce("bytes", F.lit(0)) / F.col("sequence_count"), 6).alias("bytes_per_sequence"))
+
+
+def exported(results: DataFrame, vector: str = "context") -> DataFrame:
+    """seq_id, pos, n, vector: the vectors of all positions of all sequences as one table."""
+    return results.where(F.col(vector).isNotNull()).select("seq_id", "n", F.posexplode(vector).alias("pos", "vector")).select("seq_id", "pos", "n", "vector")
+
+
+def joined_results(metadata: DataFrame, components: dict[str, DataFrame], every: bool = False) -> DataFrame:
+    """metadata with a column for each component (seq_id, value): absent ones are null, or with every the sequence goes."""
+    for name, df in components.items():
+        metadata = metadata.join(df.select("seq_id", F.col("value").alias(name)), "seq_id", "inner" if every else "left")
+    return metadata
+
+
+def summary(results: DataFrame, lengths: DataFrame) -> DataFrame:
+    """seq_id, n, n_spans, density of each sequence, for a report. lengths: seq_id, n; results: seq_id, start, end."""
+    by = results.groupBy("seq_id").agg(F.count("*").alias("n_spans"))
+    n = F.coalesce("n_spans", F.lit(0))
+    return lengths.join(by, "seq_id", "left").select("seq_id", "n", n.alias("n_spans"), F.round(n / F.col("n"), 6).alias("density"))

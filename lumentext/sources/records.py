@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import kept, small
 
 MOST = 512
 SCHEMA = "raw STRING, type STRING, id STRUCT<id: STRING>, meta STRUCT<status: STRING, tags: ARRAY<STRING>, doc_language: STRING, extracted_by: STRING, confidence: DOUBLE, source_file: STRING, notes: STRING>"
@@ -22,9 +25,17 @@ SKIPPED_SUFFIXES = [
 ]
 CODE_SUFFIXES = [
     ".py", ".js", ".ts", ".java", ".cpp", ".c", ".h", ".rs", ".go", ".rb", ".php", ".cs", ".swift", ".kt", ".scala", ".clj",
-    ".hs", ".ml", ".r", ".sql", ".sh", ".bat", ".ps1", ".yaml", ".json", ".xml", ".md", ".rst", ".txt",
+    ".hs", ".ml", ".r", ".sql", ".sh", ".bat", ".ps1", ".yaml", ".yml", ".json", ".xml", ".md", ".rst", ".txt",
+]
+SKIPPED_FOLDERS = [
+    ".git", ".svn", ".hg", ".bzr", "__pycache__", ".pytest_cache", ".mypy_cache", ".tox", "node_modules", ".node_modules",
+    "bower_components", ".vscode", ".idea", ".vs", ".vscode-test", "build", "dist", "target", "out", "bin", "obj", "release",
+    "debug", ".next", ".nuxt", ".output", ".vercel", ".netlify", "coverage", ".nyc_output", ".coverage", "htmlcov", "venv",
+    "env", ".env", ".venv", "virtualenv", ".virtualenv", "logs", "log", "tmp", "temp", ".tmp", ".temp", "cache", ".cache",
+    "data", "dataset", "datasets", "models", "checkpoints", "vendor", "third_party", "external", "deps", "dependencies",
+    "test_data", "test_files", "fixtures", "samples", "examples", "docs", "documentation", ".docs", "doc", "assets",
+    "static", "public", "images", "img", "media",
 ]
-SKIPPED_FOLDERS = [".git", ".svn", ".hg", ".bzr", "__pycache__", "node_modules", "build", "dist", "target", "venv", "env", "vendor", "third_party"]
 
 
 def classify(text: Column, status: Column, most: int = MOST) -> Column:
@@ -32,9 +43,8 @@ def classify(text: Column, status: Column, most: int = MOST) -> Column:
     return F.when(status == "discard", "discarded").when(text.isNull() | T.is_blank(text), "invalid").when(F.length(T.strip(text)) > most, "too_long").otherwise("valid")
 
 
-def read_jsonl(spark: SparkSession, *paths: str, most: int = MOST, recursive: bool = True) -> DataFrame:
-    """line, class, text (stripped), record of each line; broken JSON and records without a string raw are invalid."""
-    lines = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.jsonl").text(list(paths))
+def classified_lines(lines: DataFrame, most: int = MOST) -> DataFrame:
+    """line, class, text (stripped), record of each line (value); broken JSON and records without a string raw are invalid."""
     parsed = lines.select("value", F.expr("try_parse_json(value)").alias("v"))
     kind = lambda path: F.expr(f"schema_of_variant(try_variant_get(v, '{path}', 'variant'))")
     typed = parsed.select("value", F.from_json("value", SCHEMA).alias("record"), kind("$.raw").alias("raw_kind"), kind("$.meta").alias("meta_kind"))
@@ -43,6 +53,12 @@ def read_jsonl(spark: SparkSession, *paths: str, most: int = MOST, recursive: bo
     return typed.select(F.col("value").alias("line"), shape.alias("class"), T.strip(F.col("record.raw")).alias("text"), "record")
 
 
+def read_jsonl(spark: SparkSession, *paths: str, most: int = MOST, recursive: bool = True) -> DataFrame:
+    """The classified lines of files, or of all such files below folders."""
+    files = [f for p in paths for f in discover(spark, p, ".jsonl", recursive)]
+    return classified_lines(spark.read.text(files), most)
+
+
 def scan_stats(classified: DataFrame) -> DataFrame:
     """class, n, chars, avg_len (cut to an integer), max_len, min_len."""
     n = F.length("text")
@@ -50,25 +66,73 @@ def scan_stats(classified: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, key: str, name: str = "seq_id") -> DataFrame:
-    """df with numbers 1, 2, ... by a numeric key: counts by bucket of keys are summed up, rows are numbered within their bucket."""
-    bucket = F.floor(F.col(key) / BUCKET)
-    counts = df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    """df with numbers 1, 2, ... by a numeric key: counts by bucket of keys are summed up in two levels, rows are numbered within their bucket, so no task holds all rows or all buckets."""
+    bucket, upper = F.floor(F.col(key) / BUCKET), F.floor(F.col("bucket") / BUCKET)
+    counts = df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).withColumn("upper", upper)
+    ahead = lambda part, order: F.coalesce(F.sum("n").over(Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    above = counts.groupBy("upper").agg(F.sum("n").alias("n")).withColumn("all", F.lit(0))
+    above = above.select("upper", ahead("all", "upper").alias("above"))  # one row for BUCKET x BUCKET keys
+    first = counts.withColumn("first", ahead("upper", "bucket")).join(above, "upper").select("bucket", (F.col("first") + F.col("above")).alias("first"))
     within = Window.partitionBy("bucket").orderBy(key)
-    joined = df.withColumn("bucket", bucket).join(F.broadcast(first), "bucket")
+    joined = df.withColumn("bucket", bucket).join(small(kept(first, "numbers")), "bucket")
     return joined.withColumn(name, F.col("first") + F.row_number().over(within)).drop("bucket", "first")
 
 
+def discover(spark: SparkSession, path: str, suffix: str = ".jsonl", recursive: bool = True) -> list[str]:
+    """Paths of a file or of the files below a folder, sorted. FileNotFoundError for a missing path or a folder without such files, ValueError for a file of another kind."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        raise FileNotFoundError(path)
+    if files.getFileStatus(at).isFile():
+        if not path.endswith(suffix):
+            raise ValueError(f"not a {suffix} file: {path}")
+        return [path]
+    found, listed = [], files.listFiles(at, recursive)
+    while listed.hasNext():
+        name = listed.next().getPath().toString()
+        if name.endswith(suffix):
+            found.append(name)
+    if not found:
+        raise FileNotFoundError(f"no {suffix} file in {path}")
+    return sorted(found)
+
+
 def read_segments(spark: SparkSession, path: str, column: str = "text", names: dict[str, str] | None = None) -> DataFrame:
-    """text, source_file of CSV files that have the column; nulls go, texts are stripped."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    if column not in df.columns:
-        return spark.createDataFrame([], "text string, source_file string")
+    """text, source_file of CSV files that have the column; nulls go, texts are stripped. Each file has its own header: files are read by groups of one header."""
+    groups: dict[str, list[str]] = {}
+    for file in discover(spark, path, ".csv"):
+        head = spark.read.text(file).limit(1).collect()
+        groups.setdefault(head[0][0] if head else "", []).append(file)
     file = F.col("_metadata.file_name")
     if names:
         file = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), file), file)
-    return df.where(F.col(column).isNotNull()).select(T.strip(F.col(column).cast("string")).alias("text"), file.alias("source_file"))
+    out = spark.createDataFrame([], "text string, source_file string")
+    for files in groups.values():
+        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(files)
+        if column in df.columns:
+            out = out.union(df.where(F.col(column).isNotNull()).select(T.strip(F.col(column).cast("string")).alias("text"), file.alias("source_file")))
+    return out
+
+
+def validate_lines(lines: DataFrame, most: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Counts (total, json, records) of lines of read_jsonl, and the first faults by line (line, fault), most of them at most."""
+    good = F.expr("try_parse_json(line) IS NOT NULL")
+    fault = F.when(~F.coalesce(good, F.lit(False)), "no JSON").when(F.col("class") == "invalid", "no record")
+    counts = lines.agg(F.count("*").alias("total"), F.count_if(good).alias("json"), F.count_if(fault.isNull()).alias("records"))
+    return counts, lines.select("line", fault.alias("fault")).where("fault IS NOT NULL").orderBy("line").limit(most)
+
+
+def processed(spark: SparkSession, path: str, force: bool = False) -> DataFrame | None:
+    """What write_split left below path, kept and discarded together; None if there is nothing, or if force asks to begin anew: then it is deleted."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return None
+    if force:
+        files.delete(at, True)
+        return None
+    return spark.read.json(path)
 
 
 def vocabulary(lines: DataFrame) -> DataFrame:
@@ -79,14 +143,19 @@ def vocabulary(lines: DataFrame) -> DataFrame:
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """ValueError if no piece is left."""
     lines = spark.read.schema("piece STRING, prob DOUBLE, probability DOUBLE").json(path).withColumn("line", F.monotonically_increasing_id())
-    return vocabulary(lines)
+    found = vocabulary(lines)
+    if found.isEmpty():
+        raise ValueError(f"no piece in {path}")
+    return found
 
 
 def read_code(spark: SparkSession, path: str, suffixes: list[str] | None = None, skipped: list[str] | None = None, most: int = 50_000) -> DataFrame:
     """content, file_path, language, size_chars of the code files below a folder: not binary, not blank, not too large."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    inner = F.split("path", "/")
+    root = path.rstrip("/").split("/")[-1]
+    inner = F.slice(F.split(F.element_at(F.split("path", f"/{re.escape(root)}/", 2), -1), "/"), 1, 1000)
     wanted = T.extension(F.col("path")).isin(suffixes or CODE_SUFFIXES) & ~T.extension(F.col("path")).isin(SKIPPED_SUFFIXES)
     wanted &= ~F.arrays_overlap(inner, F.array(*map(F.lit, skipped or SKIPPED_FOLDERS)))
     text = files.where(wanted & (F.col("length") <= 2 * most)).select(F.expr("replace(make_valid_utf8(cast(content as string)), '�', '')").alias("content"), F.col("path").alias("file_path"))
@@ -94,6 +163,12 @@ def read_code(spark: SparkSession, path: str, suffixes: list[str] | None = None,
     return good.select("content", "file_path", T.file_language(F.col("file_path")).alias("language"), F.length("content").alias("size_chars"))
 
 
+def page_counts(files: DataFrame) -> DataFrame:
+    """path, pages of PDF files (path, content): page objects that lie open in the file; -1 where there are none, as in compressed or broken files."""
+    n = F.regexp_count(F.decode("content", "ISO-8859-1"), F.lit(r"/Type\s*/Page(?![a-zA-Z])"))
+    return files.select("path", F.when(n > 0, n).otherwise(-1).alias("pages"))
+
+
 def page_ranges(files: DataFrame, batch: int = 200, least: int = 400) -> DataFrame:
     """path, first, last of the page batches of files (path, pages) with more pages than least; others are one batch."""
     starts = F.when(F.col("pages") > least, F.sequence(F.lit(0), F.col("pages") - 1, F.lit(batch))).otherwise(F.array(F.lit(0)))

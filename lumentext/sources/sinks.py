@@ -46,4 +46,24 @@ def frequency_lines(counts: DataFrame) -> DataFrame:
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows at most, the same for the same seed, without replacement."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))), key).limit(n)
+
+
+def write_json_array(df: DataFrame, path: str) -> None:
+    """df as one pretty-printed JSON array in a single file. For reports: the array is one value, as such a file is."""
+    one = df.select(F.to_json(F.struct(*df.columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
+    body = one.agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("value"), ",\n"), F.lit("\n]")).alias("value"))
+    body.write.mode("overwrite").option("compression", "none").text(path)
+
+
+def write_stats(stats: dict, spark, path: str) -> None:
+    spark.createDataFrame([stats]).coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_stats(spark, path: str) -> dict:
+    return spark.read.json(path).first().asDict()
+
+
+def batches_in_order(batches: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of several extractions (batch, row, ...) one after another, with the columns of the first."""
+    return batches.orderBy("batch", "row").select(*columns)
