@@ -19,12 +19,12 @@ def filtered(text: Column) -> Column:
 
 
 def parse(reply: Column) -> Column:
-    """struct<score, status, type, reason> of a judge's reply; what can't be read is discarded with score 0.5."""
+    """struct<score, status, type, reason> of a judge's reply; what can't be read is discarded with score 0.5; a score alone that is no number counts as 0.5."""
     part = lambda k: F.regexp_extract(reply, REPLY, k)
     status, kind = F.lower(part(2)), F.lower(part(3))
     found = reply.rlike(REPLY)
     return F.struct(
-        F.when(found, F.expr("try_cast(0 as double)") + part(1).try_cast("double")).otherwise(0.5).alias("score"),
+        F.when(found, F.coalesce(part(1).try_cast("double"), F.lit(0.5))).otherwise(0.5).alias("score"),
         F.when(found & status.isin("keep", "discard"), status).otherwise("discard").alias("status"),
         F.when(found & kind.isin("natural", "code", "mixed"), kind).otherwise("natural").alias("type"),
         F.when(found, T.strip(part(4))).otherwise("unparseable").alias("reason"),
@@ -75,3 +75,24 @@ def heuristic_judge(texts: list[str], judge: int) -> list[dict]:
         share = sum(c.isalpha() or c.isspace() for c in t) / max(1, len(t))
         out.append({"score": round(share, 3), "status": "keep" if share >= THRESHOLD else "discard", "type": "natural" if share > 0.9 else "mixed", "reason": f"letters {share:.2f}"})
     return out
+
+
+def judge_all(segments: DataFrame, key: str, judge, judges: int = 5, retries: int = 3, below: float = DISCARD_BELOW, threshold: float = THRESHOLD) -> DataFrame:
+    """key, score, type, status, reason of each segment (key, text): filtered ones are discarded with 0.1 unseen; the others get their votes,
+    a batch that fails is asked again; low votes are discards; votes make a consensus. What keeps failing is a vote of 0 that tells its error."""
+
+    def stubborn(texts: list[str], number: int) -> list[dict]:
+        fault: Exception | None = None
+        for _ in range(retries):
+            try:
+                return judge(texts, number)
+            except Exception as e:  # asked again
+                fault = e
+        if len(texts) > 1:  # one text's fault is not its neighbours'
+            return [v for t in texts for v in stubborn([t], number)]
+        return [{"score": 0.0, "status": "discard", "type": "natural", "reason": f"error: {fault}"}]
+
+    rows = segments.select(key, "text").where("text IS NOT NULL")
+    out = rows.where(filtered(F.col("text"))).select(key, F.lit(0.1).alias("score"), F.lit("natural").alias("type"), F.lit("discard").alias("status"), F.lit("filtered").alias("reason"))
+    votes = thresholded(judged(rows.where(~filtered(F.col("text"))), stubborn, judges), below)
+    return consensus(votes, key, threshold).unionByName(out)

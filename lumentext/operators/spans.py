@@ -124,3 +124,72 @@ def overlaps(spans: DataFrame) -> DataFrame:
     n, size = F.col("a.mult") * F.col("b.mult"), F.col("a.end") - F.col("b.start")
     by = a.join(b, crossing).groupBy(F.col("a.seq_id").alias("seq_id")).agg((2 * F.sum(n)).alias("pairs"), (2 * F.sum(n * size)).alias("total_len"))
     return by.select("seq_id", "pairs", "total_len", F.round(F.col("total_len") / F.col("pairs"), 6).alias("mean_len"))
+
+
+def length_counts(spans: DataFrame) -> DataFrame:
+    """seq_id, length, n."""
+    return spans.groupBy("seq_id", (F.col("end") - F.col("start")).alias("length")).agg(F.count("*").alias("n"))
+
+
+def common_lengths(spans: DataFrame, n: int = 10) -> DataFrame:
+    """length, n of the most frequent lengths of all sequences, ties to the shorter."""
+    return spans.groupBy((F.col("end") - F.col("start")).alias("length")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "length").limit(n)
+
+
+def position_counts(spans: DataFrame) -> DataFrame:
+    """seq_id, pos, starts, ends: how many spans start at each position, and have their last character there. Positions without any are left out."""
+    marks = spans.select("seq_id", F.col("start").alias("pos"), F.lit(1).alias("s"), F.lit(0).alias("e")).union(spans.select("seq_id", (F.col("end") - 1).alias("pos"), F.lit(0).alias("s"), F.lit(1).alias("e")))
+    return marks.groupBy("seq_id", "pos").agg(F.sum("s").alias("starts"), F.sum("e").alias("ends"))
+
+
+def depth_counts(spans: DataFrame, lengths: DataFrame) -> DataFrame:
+    """seq_id, depth, n: how many positions of a sequence lie in so many spans."""
+    return depth(spans, lengths).groupBy("seq_id", "depth").agg(F.count("*").alias("n"))
+
+
+def overlap_regions(spans: DataFrame) -> DataFrame:
+    """seq_id, start, end, n of the regions that two spans share without one holding the other; n counts the pairs."""
+    a, b = spans.select("seq_id", F.col("start").alias("s"), F.col("end").alias("e")).alias("a"), spans.select("seq_id", F.col("start").alias("t"), F.col("end").alias("z")).alias("b")
+    inside = (F.col("a.seq_id") == F.col("b.seq_id")) & (F.col("s") < F.col("t")) & (F.col("t") < F.col("e")) & (F.col("e") < F.col("z"))
+    return a.join(b, inside).groupBy(F.col("a.seq_id").alias("seq_id"), F.col("t").alias("start"), F.col("e").alias("end")).agg(F.count("*").alias("n"))
+
+
+def heat_rows(spans: DataFrame) -> DataFrame:
+    """seq_id, row, start, end: the rows of a span-by-position picture, shorter spans first, then by start. A sequence is of bounded length, so its spans fit a window."""
+    order = Window.partitionBy("seq_id").orderBy(F.col("end") - F.col("start"), "start")
+    return spans.select("seq_id", (F.row_number().over(order) - 1).alias("row"), "start", "end")
+
+
+def texts(spans: DataFrame, sequences: DataFrame) -> DataFrame:
+    """seq_id, start, end, span: what each span says."""
+    return spans.join(sequences.select("seq_id", "text"), "seq_id").select("seq_id", "start", "end", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("span"))
+
+
+def report(spans: DataFrame, lengths: DataFrame) -> DataFrame:
+    """All measures of each sequence in one row; a sequence without spans has nulls where there is nothing to measure."""
+    out = lengths.select("seq_id", "n").join(coverage(spans, lengths), "seq_id", "left")
+    gap = gaps(spans, lengths).groupBy("seq_id").agg(F.count("*").alias("n_gaps"))
+    crossing = overlaps(spans).select("seq_id", F.col("pairs").alias("overlap_pairs"), F.col("total_len").alias("overlap_len"))
+    nested = hierarchy(spans).select("seq_id", F.col("pairs").alias("nested_pairs"), F.col("max_depth").alias("max_nesting"), F.col("mean_depth").alias("mean_nesting"), "roots", "leaves")
+    for part in (gap, lengths_stats(spans).withColumnRenamed("n", "n_spans"), position_stats(spans), crossing, nested):
+        out = out.join(part, "seq_id", "left")
+    return out.fillna(0, ["n_gaps", "n_spans", "overlap_pairs", "overlap_len", "nested_pairs", "roots", "leaves"])
+
+
+def statistics(spans: DataFrame, lengths: DataFrame) -> DataFrame:
+    """One row over all sequences, those without spans included; density is all spans over all characters."""
+    cover = depth(spans, lengths).groupBy("seq_id").agg((F.count_if(F.col("depth") > 0) / F.count("*")).alias("coverage"), F.avg("depth").alias("avg_depth"))
+    gap = gaps(spans, lengths).groupBy("seq_id").agg(F.count("*").alias("n_gaps"))
+    k = F.col("end") - F.col("start")
+    size = spans.groupBy("seq_id").agg(F.count("*").alias("m"), F.avg(k).alias("k"), F.stddev_pop(k).alias("dev"))
+    nested = hierarchy(spans).select("seq_id", "max_depth", "roots", "leaves")
+    rows = lengths.select("seq_id", "n")
+    for part in (cover, gap, size, nested):
+        rows = rows.join(part, "seq_id", "left")
+    mean = lambda c, name: F.round(F.avg(c), 6).alias(name)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return rows.agg(
+        F.count("*").alias("n_sequences"), F.sum(zero("m")).alias("total_spans"), F.sum("n").alias("total_length"), F.round(F.sum(zero("m")) / F.sum("n"), 6).alias("span_density"),
+        mean(F.col("coverage"), "mean_coverage"), mean(F.col("avg_depth"), "mean_depth"), mean(zero("n_gaps"), "mean_gaps"), mean(zero("max_depth"), "mean_nesting"),
+        mean(zero("roots"), "mean_roots"), mean(zero("leaves"), "mean_leaves"), mean(F.col("k"), "mean_length"), mean(F.col("dev"), "mean_std"),
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import embed, judge, segments, spans, store, vocab
-from ..shared import kept
+from ..shared import fresh_path, kept, small
 from ..sources import records, sinks
 
 QUERIES: dict = {}
@@ -31,16 +31,16 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---- vocabulary -----------------------------------------------------------------------------------------------------
 
 _SPACE = r"[ \t\n\r\x0B\f]+|[^ \t\n\r\x0B\f]+"
-_RUNS = rf"""runs AS (SELECT run, CAST(count(*) AS BIGINT) AS mult FROM (SELECT unnest(regexp_extract_all(lower(text), '{_SPACE}')) AS run FROM documents WHERE text IS NOT NULL) GROUP BY run)"""
+_RUNS = rf"""runs AS MATERIALIZED (SELECT run, CAST(count(*) AS BIGINT) AS mult FROM (SELECT unnest(regexp_extract_all(lower(text), '{_SPACE}')) AS run FROM documents WHERE text IS NOT NULL) GROUP BY run)"""
 _COUNTS = f"""{_RUNS},
-counts AS (SELECT piece, CAST(sum(mult) AS BIGINT) AS freq FROM (SELECT mult, substring(run, i, n) AS piece FROM
+counts AS MATERIALIZED (SELECT piece, CAST(sum(mult) AS BIGINT) AS freq FROM (SELECT mult, substring(run, i, n) AS piece FROM
   (SELECT run, mult, i, unnest(range(1, least(8, length(run) - i + 1) + 1)) AS n FROM (SELECT run, mult, unnest(range(1, length(run) + 1)) AS i FROM runs))) GROUP BY piece)"""
 _VOCAB = f"""{_COUNTS},
-vocab AS ((SELECT piece, freq FROM counts WHERE length(piece) > 1 ORDER BY freq DESC, piece LIMIT 50000) UNION ALL (SELECT piece, freq FROM counts WHERE length(piece) = 1)),
-probs AS (SELECT piece, freq, freq / (SELECT sum(freq) FROM vocab) AS prob FROM vocab)"""
+vocab AS MATERIALIZED ((SELECT piece, freq FROM counts WHERE length(piece) > 1 ORDER BY freq DESC, piece LIMIT 50000) UNION ALL (SELECT piece, freq FROM counts WHERE length(piece) = 1)),
+probs AS MATERIALIZED (SELECT piece, freq, freq / (SELECT sum(freq) FROM vocab) AS prob FROM vocab)"""
 # the fold: state[j] is best[j-1]; edges come by end and start
 _EDGES = f"""{_VOCAB},
-edges AS (SELECT run, mult, list([CAST(i - 1 AS DOUBLE), CAST(i + n - 1 AS DOUBLE), ln(prob), prob] ORDER BY i + n, i) AS e FROM
+edges AS MATERIALIZED (SELECT run, mult, list([CAST(i - 1 AS DOUBLE), CAST(i + n - 1 AS DOUBLE), ln(prob), prob] ORDER BY i + n, i) AS e FROM
   (SELECT run, mult, i, unnest(range(1, least(8, length(run) - i + 1) + 1)) AS n FROM (SELECT run, mult, unnest(range(1, length(run) + 1)) AS i FROM runs))
   JOIN probs ON piece = substring(run, i, n) GROUP BY run, mult)"""
 _VITERBI = f"""{_EDGES},
@@ -51,6 +51,24 @@ folded AS (SELECT run, mult, list_reduce(e, lambda s, x: list_transform(range(1,
 best AS (SELECT run, mult, s[len(s) - 1] AS score, CAST(s[len(s)] AS BIGINT) AS n_pieces FROM folded)"""
 
 
+_BACK = f"""{_EDGES},
+traced AS (SELECT run, mult, list_reduce(e, lambda s, x: list_transform(range(1, len(s) + 1), lambda k: CASE
+    WHEN (k + 1) // 2 = x[2] + 1 AND s[CAST(2 * x[1] + 1 AS BIGINT)] + x[3] > s[CAST(2 * x[2] + 1 AS BIGINT)]
+    THEN CASE WHEN k % 2 = 1 THEN s[CAST(2 * x[1] + 1 AS BIGINT)] + x[3] ELSE x[1] END ELSE s[k] END),
+    list_transform(range(1, 2 * length(run) + 3), lambda k: CASE WHEN k > 2 AND k % 2 = 1 THEN CAST('-Infinity' AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)) AS s FROM edges),
+steps AS (SELECT run, mult, s, CAST(length(run) AS BIGINT) AS z FROM traced UNION ALL SELECT run, mult, s, CAST(s[2 * z + 2] AS BIGINT) FROM steps WHERE z > 0),
+made AS MATERIALIZED (SELECT run, mult, z, substring(run, CAST(s[2 * z + 2] AS BIGINT) + 1, z - CAST(s[2 * z + 2] AS BIGINT)) AS piece FROM steps WHERE z > 0)"""
+_ADD = "CASE WHEN {0} = CAST('-Infinity' AS DOUBLE) THEN {1} WHEN {1} = CAST('-Infinity' AS DOUBLE) THEN {0} ELSE greatest({0}, {1}) + ln(1 + exp(-abs({0} - {1}))) END"
+_FORWARD = f"""list_reduce(e, lambda s, x: list_transform(range(1, len(s) + 1), lambda k: CASE WHEN k = x[2] + 1 THEN {_ADD.format("s[k]", "(s[CAST(x[1] + 1 AS BIGINT)] + x[3])")} ELSE s[k] END),
+  list_transform(range(1, length(run) + 2), lambda k: CASE WHEN k = 1 THEN CAST(0 AS DOUBLE) ELSE CAST('-Infinity' AS DOUBLE) END))"""
+_BACKWARD = f"""list_reduce(list_transform(list_sort(list_transform(e, lambda x: [-x[1], x[2], x[3], x[4]])), lambda x: [-x[1], x[2], x[3], x[4]]), lambda s, x: list_transform(range(1, len(s) + 1), lambda k: CASE WHEN k = x[1] + 1 THEN {_ADD.format("s[k]", "(s[CAST(x[2] + 1 AS BIGINT)] + x[3])")} ELSE s[k] END),
+  list_transform(range(1, length(run) + 2), lambda k: CASE WHEN k = length(run) + 1 THEN CAST(0 AS DOUBLE) ELSE CAST('-Infinity' AS DOUBLE) END))"""
+_SOFT = f"""{_EDGES},
+both_ways AS MATERIALIZED (SELECT run, mult, e, {_FORWARD} AS f, {_BACKWARD} AS b FROM edges),
+each AS (SELECT run, mult, f, b, unnest(e) AS x FROM both_ways),
+soft AS MATERIALIZED (SELECT run, mult, CAST(x[1] AS BIGINT) AS pos, substring(run, CAST(x[1] AS BIGINT) + 1, CAST(x[2] - x[1] AS BIGINT)) AS piece, exp(f[CAST(x[1] + 1 AS BIGINT)] + x[3] + b[CAST(x[2] + 1 AS BIGINT)] - f[len(f)]) AS p FROM each)"""
+
+
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocab.run_counts(_read(spark, sf_dir, "documents"))
 
@@ -128,19 +146,21 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocab.segmented(runs, vocab.as_dict(vocab.initial_probabilities(vocab.candidates(vocab.substring_counts(runs)))))
 
 
-@query()
+@query(f"WITH RECURSIVE {_BACK}, joined AS (SELECT run, mult, string_agg(piece, '|' ORDER BY z) AS pieces, string_agg(piece, '' ORDER BY z) AS whole FROM made GROUP BY run, mult) SELECT run, mult, pieces, whole = run AS restored FROM joined")
 def viterbi_segments(spark, sf_dir):
     found = _segments(spark, sf_dir)
-    return found.select("run", "mult", "pieces", (F.array_join("pieces", "") == F.col("run")).alias("restored"))
+    return found.select("run", "mult", F.array_join("pieces", "|").alias("pieces"), (F.array_join("pieces", "") == F.col("run")).alias("restored"))
 
 
-@query(f"""WITH {_VITERBI} SELECT round(exp(-sum(mult * score) / sum(mult * n_pieces)), 6) AS perplexity, CAST(0 AS DOUBLE) AS oov, CAST(1 AS DOUBLE) AS coverage,
+@query(f"""WITH {_VITERBI} SELECT round(exp(-sum(mult * score) FILTER (WHERE score > CAST('-Infinity' AS DOUBLE)) / sum(mult * n_pieces) FILTER (WHERE score > CAST('-Infinity' AS DOUBLE))), 6) AS perplexity,
+coalesce(sum(mult * length(run)) FILTER (WHERE NOT score > CAST('-Infinity' AS DOUBLE)), 0) / sum(mult * length(run)) AS oov, coalesce(sum(mult * length(run)) FILTER (WHERE score > CAST('-Infinity' AS DOUBLE)), 0) / sum(mult * length(run)) AS coverage,
 CAST(sum(mult * n_pieces) AS BIGINT) AS n_pieces, CAST(sum(mult * length(run)) AS BIGINT) AS n_chars FROM best""")
 def baseline_ppl_oov(spark, sf_dir):
     return vocab.corpus_metrics(_segments(spark, sf_dir)).withColumn("perplexity", F.round("perplexity", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BACK}, used AS (SELECT piece, CAST(sum(mult) AS BIGINT) AS n FROM made GROUP BY piece)
+SELECT probs.piece, coalesce(n, 0) AS count, coalesce(n, 0) / (SELECT sum(n) FROM used) AS prob FROM probs LEFT JOIN used ON probs.piece = used.piece""")
 def em_step(spark, sf_dir):
     runs = kept(_runs(spark, sf_dir), "runs")
     table = kept(vocab.initial_probabilities(vocab.candidates(vocab.substring_counts(runs))), "vocab")
@@ -152,15 +172,13 @@ def induce_vocab(spark, sf_dir):
     return vocab.induce(_read(spark, sf_dir, "documents"), m=vocab.CANDIDATES, iterations=vocab.ITERATIONS)[0]
 
 
-@query(f"""WITH {_EDGES},
-forward AS (SELECT run, mult, list_reduce(e, lambda s, x: list_transform(range(1, len(s) + 1), lambda k: CASE WHEN k = x[2] + 1 THEN s[k] + s[CAST(x[1] + 1 AS BIGINT)] * x[4] ELSE s[k] END),
-  list_transform(range(1, length(run) + 2), lambda k: CASE WHEN k = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)) AS s, len(e) AS n_edges FROM edges)
-SELECT run, mult, round(ln(s[len(s)]), 6) AS log_total, CAST(n_edges AS INTEGER) AS n_edges, CAST(length(run) AS DOUBLE) AS covered FROM forward""")
+@query(f"""WITH {_EDGES}, forward AS (SELECT run, mult, {_FORWARD} AS s, len(e) AS n_edges FROM edges)
+SELECT run, mult, round(s[len(s)], 6) AS log_total, CAST(n_edges AS INTEGER) AS n_edges, CAST(length(run) AS DOUBLE) AS covered FROM forward""")
 def forward_backward(spark, sf_dir):
     """The shares of all pieces that cover a position add up to 1, so weighted by length they add up to the run's length."""
     soft = _soft(spark, sf_dir)
     covered = F.aggregate("soft", F.lit(0.0), lambda s, x: s + x["p"] * F.length(x["piece"]))
-    return soft.select("run", "mult", F.round(F.ln("total"), 6).alias("log_total"), F.size("soft").alias("n_edges"), F.round(covered, 6).alias("covered"))
+    return soft.select("run", "mult", F.round("log_total", 6).alias("log_total"), F.size("soft").alias("n_edges"), F.round(covered, 6).alias("covered"))
 
 
 def _soft(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,13 +186,14 @@ def _soft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocab.forward_backward(runs, vocab.as_dict(vocab.initial_probabilities(vocab.candidates(vocab.substring_counts(runs)))))
 
 
-@query()
+@query(f"WITH {_SOFT} SELECT piece, round(sum(mult * p), 3) AS mass FROM soft GROUP BY piece ORDER BY mass DESC, piece LIMIT 100")
 def piece_mass_topk(spark, sf_dir):
-    cells = _soft(spark, sf_dir).select("mult", F.explode("soft").alias("x")).groupBy("x.piece").agg(F.round(F.sum(F.col("mult") * F.col("x.p")), 6).alias("mass"))
+    cells = _soft(spark, sf_dir).select("mult", F.explode("soft").alias("x")).groupBy("x.piece").agg(F.round(F.sum(F.col("mult") * F.col("x.p")), 3).alias("mass"))
     return cells.orderBy(F.desc("mass"), "piece").limit(100)
 
 
-@query()
+@query(f"""WITH {_SOFT}, best AS (SELECT run, mult, pos, max(p) AS p FROM soft GROUP BY run, mult, pos)
+SELECT round(sum(mult * p) / sum(mult), 6) AS mean_max_prob, round(coalesce(sum(mult) FILTER (WHERE p < 0.1), 0) / sum(mult), 6) AS low_confidence, round(coalesce(sum(mult) FILTER (WHERE p > 0.8), 0) / sum(mult), 6) AS high_confidence FROM best""")
 def prob_health(spark, sf_dir):
     best = _soft(spark, sf_dir).select("run", "mult", F.explode("soft").alias("x")).groupBy("run", "mult", F.col("x.pos").alias("pos")).agg(F.max("x.p").alias("p"))
     share = lambda c: F.round(F.sum(F.when(c, F.col("mult")).otherwise(0)) / F.sum("mult"), 6)
@@ -192,7 +211,7 @@ _STRIP = r"^[\x09-\x0D\x1C-\x20\x{85}\p{Z}]+|[\x09-\x0D\x1C-\x20\x{85}\p{Z}]+$"
 _CLASSES = rf"""rec AS (SELECT d.doc_id, d.text, d.source, d.lang, CASE WHEN l.quality = 0 THEN 'discard' ELSE 'keep' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 stripped AS (SELECT *, regexp_replace(text, '{_STRIP}', '', 'g') AS st FROM rec),
 cls AS (SELECT *, CASE WHEN status = 'discard' THEN 'discarded' WHEN text IS NULL OR st = '' THEN 'invalid' WHEN length(st) > 512 THEN 'too_long' ELSE 'valid' END AS class FROM stripped),
-seqs AS (SELECT CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS seq_id, doc_id, st AS text, CAST(length(st) AS BIGINT) AS n FROM cls WHERE class = 'valid')"""
+seqs AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS seq_id, doc_id, st AS text, CAST(length(st) AS BIGINT) AS n FROM cls WHERE class = 'valid')"""
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,10 +254,14 @@ def _w_max(sequences: DataFrame, most: int = records.MOST) -> DataFrame:
     return words.agg(F.least(F.max(F.length("w")), F.lit(most // 2)).alias("w_max"))
 
 
-@query(f"""WITH {_CLASSES} SELECT (seq_id - 1) // 100 + 1 AS chunk_id, min(seq_id) AS start_seq_id, max(seq_id) AS end_seq_id, count(*) AS sequence_count, CAST(0 AS BIGINT) AS total_candidates,
+_WORDS = r"CAST(len(regexp_split_to_array({0}, '[\x09-\x0D\x1C-\x20\x{{85}}\p{{Z}}]+')) AS BIGINT)"
+
+
+@query(f"""WITH {_CLASSES} SELECT (seq_id - 1) // 100 + 1 AS chunk_id, min(seq_id) AS start_seq_id, max(seq_id) AS end_seq_id, count(*) AS sequence_count, CAST(sum({_WORDS.format("text")}) AS BIGINT) AS total_candidates,
 min(n) AS min_length, max(n) AS max_length, round(avg(n), 6) AS mean_length FROM seqs GROUP BY 1""")
 def chunk_manifest(spark, sf_dir):
-    return store.manifest(_sequences(spark, sf_dir))
+    """Words stand for the candidates of a sequence."""
+    return store.manifest(_sequences(spark, sf_dir).withColumn("n_candidates", F.size(F.split("text", f"[{T.STRIP}]+"))))
 
 
 def _all_and_done(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -300,7 +323,13 @@ def truncate_display(spark, sf_dir):
 
 @query(f"WITH {_CLASSES} SELECT status, count(*) AS n FROM cls GROUP BY status")
 def keep_discard_split(spark, sf_dir):
-    return _classified(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+    """Half of the records are written to the two outputs, the rest after a resume that skips what is there; counts of what the outputs hold."""
+    path = fresh_path(spark, "split")
+    rows = _classified(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("raw"), "status")
+    sinks.write_split(rows.where("doc_id % 2 = 0"), path)
+    done = kept(records.processed(spark, path).select("doc_id"), "done")
+    sinks.write_split(rows.join(done, "doc_id", "left_anti"), path)
+    return records.processed(spark, path).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(*) AS n FROM documents WHERE text IS NOT NULL AND text NOT IN (SELECT d.text FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.text IS NOT NULL)")
@@ -310,7 +339,7 @@ def resume_skip(spark, sf_dir):
     return sinks.unprocessed(docs.where("text IS NOT NULL").select("text"), done).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT doc_id, lang FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR) || '-42'), doc_id LIMIT 100")
 def seeded_sample(spark, sf_dir):
     return sinks.sample(_read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 100)
 
@@ -344,7 +373,7 @@ def judge_regex_filter(spark, sf_dir):
     return _read(spark, sf_dir, "conversations").select("conv_id", "turn", judge.filtered(F.col("text")).alias("filtered"))
 
 
-_REPLY = r"(?is)(?:\*\*score:\*\*|score:)\s*([0-9.]+)\s*(?:\*\*status:\*\*|status:)\s*(\w+)\s*(?:\*\*type:\*\*|type:)\s*(\w+)\s*(?:\*\*reason:\*\*|reason:)\s*(.+)"
+_REPLY = judge.REPLY
 
 
 @query(rf"""WITH r AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN text ELSE 'Score: 0.' || (conv_id % 10) || ' **Status:** ' || CASE WHEN conv_id % 4 = 0 THEN 'KEEP' WHEN conv_id % 4 = 1 THEN 'maybe' ELSE 'discard' END || ' Type: ' || role || chr(10) || ' reason: ' || text END AS reply FROM conversations),
@@ -398,7 +427,7 @@ def top_reasons(spark, sf_dir):
 
 _ALIGNED = f"""{_CLASSES}, {_VOCAB}, good AS (SELECT piece FROM probs WHERE prob >= 1e-4),
 places AS (SELECT seq_id, lower(text) AS text, n, unnest(range(0, n)) AS s FROM seqs),
-sp AS (SELECT seq_id, CAST(s AS INTEGER) AS "start", CAST(s + k AS INTEGER) AS "end" FROM (SELECT *, unnest(range(1, least(8, n - s) + 1)) AS k FROM places) WHERE substring(text, s + 1, k) IN (SELECT piece FROM good))"""
+sp AS MATERIALIZED (SELECT seq_id, CAST(s AS INTEGER) AS "start", CAST(s + k AS INTEGER) AS "end" FROM (SELECT *, unnest(range(1, least(8, n - s) + 1)) AS k FROM places) WHERE substring(text, s + 1, k) IN (SELECT piece FROM good))"""
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -470,12 +499,17 @@ def span_overlaps(spark, sf_dir):
     return spans.overlaps(_aligned(spark, sf_dir)[0])
 
 
-@query(f"""WITH {_DEPTH}, c AS (SELECT seq_id, count(*) FILTER (WHERE d > 0) / count(*) AS density FROM depth GROUP BY seq_id), l AS (SELECT seq_id, count(*) AS n, avg("end" - "start") AS k FROM sp GROUP BY seq_id)
-SELECT count(*) AS n_sequences, round(avg(round(density, 6)), 6) AS mean_density, round(avg(round(k, 6)), 6) AS mean_len, round(avg(l.n / q.n), 6) AS spans_per_char FROM c JOIN l ON c.seq_id = l.seq_id JOIN seqs q ON c.seq_id = q.seq_id""")
+@query(f"""WITH {_DEPTH}, num AS (SELECT *, row_number() OVER () AS i FROM sp), pairs AS (SELECT a.seq_id, a.i AS a, b.i AS b FROM num a JOIN num b ON a.seq_id = b.seq_id AND a.i <> b.i AND b."start" <= a."start" AND a."end" <= b."end"),
+d AS (SELECT n.seq_id, coalesce(u.c, 0) AS depth, coalesce(w.c, 0) AS children FROM num n LEFT JOIN (SELECT a, count(*) AS c FROM pairs GROUP BY a) u ON n.i = u.a LEFT JOIN (SELECT b, count(*) AS c FROM pairs GROUP BY b) w ON n.i = w.b),
+h AS (SELECT seq_id, max(depth) AS nesting, count(*) FILTER (WHERE depth = 0) AS roots, count(*) FILTER (WHERE children = 0) AS leaves FROM d GROUP BY seq_id),
+c AS (SELECT seq_id, count(*) FILTER (WHERE d > 0) / count(*) AS density, avg(d) AS depth FROM depth GROUP BY seq_id),
+g AS (SELECT seq_id, count(DISTINCT i) AS gaps FROM (SELECT seq_id, p - row_number() OVER (PARTITION BY seq_id ORDER BY p) AS i FROM depth WHERE d = 0) GROUP BY seq_id),
+l AS (SELECT seq_id, count(*) AS m, avg("end" - "start") AS k, stddev_pop("end" - "start") AS dev FROM sp GROUP BY seq_id)
+SELECT count(*) AS n_sequences, CAST(sum(coalesce(m, 0)) AS BIGINT) AS total_spans, CAST(sum(n) AS BIGINT) AS total_length, round(sum(coalesce(m, 0)) / sum(n), 6) AS span_density, round(avg(density), 6) AS mean_coverage, round(avg(c.depth), 6) AS mean_depth,
+round(avg(coalesce(gaps, 0)), 6) AS mean_gaps, round(avg(coalesce(nesting, 0)), 6) AS mean_nesting, round(avg(coalesce(roots, 0)), 6) AS mean_roots, round(avg(coalesce(leaves, 0)), 6) AS mean_leaves, round(avg(k), 6) AS mean_length, round(avg(dev), 6) AS mean_std
+FROM seqs q LEFT JOIN c ON q.seq_id = c.seq_id LEFT JOIN l ON q.seq_id = l.seq_id LEFT JOIN h ON q.seq_id = h.seq_id LEFT JOIN g ON q.seq_id = g.seq_id""")
 def span_report_agg(spark, sf_dir):
-    found, lengths = _aligned(spark, sf_dir)
-    joined = spans.coverage(found, lengths).join(spans.lengths_stats(found).withColumnRenamed("n", "m"), "seq_id").join(lengths, "seq_id")
-    return joined.agg(F.count("*").alias("n_sequences"), F.round(F.avg("density"), 6).alias("mean_density"), F.round(F.avg("mean_len"), 6).alias("mean_len"), F.round(F.avg(F.col("m") / F.col("n")), 6).alias("spans_per_char"))
+    return spans.statistics(*_aligned(spark, sf_dir))
 
 
 # ---- embeddings -----------------------------------------------------------------------------------------------------
@@ -509,8 +543,7 @@ def _similarity(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     """Every vector against the mean of every group; groups are counted before they are broadcast."""
     vectors = _vectors(spark, sf_dir)
     centres = kept(embed.group_means(vectors, "label").withColumnRenamed("label", "centre_label"), "centres")
-    centres = F.broadcast(centres) if centres.count() <= 10_000 else centres
-    return vectors.join(centres).select("vec_id", "centre_label", F.round(embed.similarity(F.col("embedding"), F.col("centre"), method), 6).alias("similarity"))
+    return vectors.join(small(centres, 10_000)).select("vec_id", "centre_label", F.round(embed.similarity(F.col("embedding"), F.col("centre"), method), 6).alias("similarity"))
 
 
 _NORM = "sqrt(list_inner_product({0}, {0}))"
@@ -593,15 +626,15 @@ def chunk_repair(spark, sf_dir):
 
     import uuid
 
-    rows = _read(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("seq_id"), F.length("text").alias("n"))
+    rows = _read(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("seq_id"), F.length("text").alias("n"), (F.col("doc_id") % 7).alias("n_candidates"))
     done = _read(spark, sf_dir, "labels").select((F.col("doc_id") + 1).alias("seq_id"))
     path = f"{shared_dir(spark)}/lumentext/store-{uuid.uuid4().hex}"
     store.write(rows.join(done, "seq_id", "left_anti"), path)
     store.repair(spark, path, rows, lambda gone: gone)
-    return store.manifest(spark.read.parquet(path).select("seq_id", "n"))
+    return store.manifest(spark.read.parquet(path).select("seq_id", "n", "n_candidates"))
 
 
-SQL["chunk_repair"] = """SELECT doc_id // 100 + 1 AS chunk_id, min(doc_id) + 1 AS start_seq_id, max(doc_id) + 1 AS end_seq_id, count(*) AS sequence_count, CAST(0 AS BIGINT) AS total_candidates,
+SQL["chunk_repair"] = """SELECT doc_id // 100 + 1 AS chunk_id, min(doc_id) + 1 AS start_seq_id, max(doc_id) + 1 AS end_seq_id, count(*) AS sequence_count, CAST(sum(doc_id % 7) AS BIGINT) AS total_candidates,
 CAST(min(length(text)) AS INTEGER) AS min_length, CAST(max(length(text)) AS INTEGER) AS max_length, round(avg(length(text)), 6) AS mean_length FROM documents GROUP BY 1"""
 
 
