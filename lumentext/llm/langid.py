@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -38,6 +39,8 @@ KNOTS, LEAST = 14, 8
 #: This share of the strange ones lies below a bar where the genuine ones allow it; a bar is at most this part of the least genuine cosine.
 QUANTILE, SLACK = 0.99, 0.95
 UNKNOWN = "und"
+#: Bytes of text that are counted together.
+TOGETHER = 1 << 19
 _letters = np.zeros(0, bool)
 
 
@@ -74,6 +77,16 @@ def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return total.reshape(len(texts), WIDTH), letters
 
 
+def _parts(batch: pa.RecordBatch, at: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of so many rows, or of one long text, at most: what counting needs is some dozen bytes a character."""
+    size = np.cumsum(np.r_[0, pc.binary_length(batch.column(at)).fill_null(0).to_numpy()])
+    start = 0
+    while start < batch.num_rows:
+        stop = min(start + rows, max(start + 1, int(np.searchsorted(size, size[start] + TOGETHER, "right")) - 1))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -109,8 +122,13 @@ class Model:
 
 def probes(text: str) -> Iterator[tuple[str, str]]:
     """Of each length in LETTERS that text has: text's beginning of so many letters, and the same with its letters in random order."""
-    points = np.array(list(text.lower()))
-    at = np.flatnonzero([c.isalpha() for c in points])
+    reach = 2 * LETTERS[-1]
+    while True:  # no more of the text than holds the longest beginning
+        points = np.array(list(text[:reach].lower()))
+        at = np.flatnonzero([c.isalpha() for c in points])
+        if len(at) >= LETTERS[-1] or reach >= len(text):
+            break
+        reach *= 4
     rng = np.random.default_rng(zlib.crc32(text.encode()))
     for n in LETTERS:
         if len(at) >= n:
@@ -162,8 +180,7 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, centroids: int = C
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 32):
-                part = b.slice(at, 32)
+            for part in _parts(b, 2, 32):
                 counted, _ = counts(part.column(2).to_pylist())
                 at_, n = zip(*[(np.flatnonzero(c).astype(np.int32), c[c > 0].astype(np.int32)) for c in counted], strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(at_, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["lang", "n", "at", "count"])
@@ -224,8 +241,7 @@ def predict(docs: DataFrame, model: Model, chunk: int = 32) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, chunk):
-                b = batch.slice(start, chunk)
+            for b in _parts(batch, at, chunk):
                 names, score, rejected = shared.value.predict(b.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names), pa.array(score), pa.array(rejected)], names=[*b.schema.names, "lang_pred", "score", "rejected"])
 
@@ -240,8 +256,7 @@ def recognised(docs: DataFrame, model: Model, chunk: int = 32) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, chunk):
-                b = batch.slice(start, chunk)
+            for b in _parts(batch, at, chunk):
                 yield b.filter(pa.array(~shared.value.predict(b.column(at).to_pylist())[2]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -30,7 +30,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces that one task packs at most (about); a bin with a larger gap than this is dissolved while there is a next level; parts that equal rows of one input task are dealt in.
 GROUP, GAP, FEWER, SALTS = 100_000, 16, 64, 64
 #: Distinct words whose ids a worker remembers, and the longest it remembers.
-KEPT, LONG = 400_000, 64
+KEPT, LONG = 150_000, 64
 
 # Fixed value: the split of byte-level BPE into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
