@@ -61,7 +61,7 @@ def test_uncovered_characters_count(spark):
 
 def test_soft_probabilities():
     total, soft = vocab.soft_probabilities("aba", P, 2)
-    assert total == pytest.approx(0.168)
+    assert total == pytest.approx(math.log(0.168))
     assert {(i, u): round(q, 6) for i, u, q in soft} == {(0, "a"): 0.52381, (0, "ab"): 0.47619, (1, "b"): 0.285714, (1, "ba"): 0.238095, (2, "a"): 0.761905}
     assert sum(q * len(u) for _, u, q in soft) == pytest.approx(3)
 
@@ -97,3 +97,26 @@ def test_validation(spark):
     assert not vocab.validate_probabilities(good.limit(0)).first().valid
     row = vocab.structure(good).first()
     assert (row.total, row.single, row.multi, row.avg_length) == (2, 1, 1, 3.0)
+
+
+def test_long_runs_and_guards(spark):
+    p = {c: 1 / 2000 for c in "abcd"}
+    total, cells = vocab.soft_probabilities("abcd" * 1250, p, 1)
+    assert total == pytest.approx(5000 * math.log(1 / 2000)) and len(cells) == 5000 and all(q == pytest.approx(1) for _, _, q in cells)
+    assert vocab.soft_probabilities("abx", p, 1) == (-math.inf, [])
+    rows = spark.createDataFrame([("a", 1, ["a"], -600.0)], "run string, mult long, pieces array<string>, score double")
+    assert vocab.corpus_metrics(rows).first().perplexity == 1e6
+    assert vocab.corpus_metrics(rows.limit(0)).first().perplexity == math.inf
+
+
+def test_substring_counts_in_wide_alphabets(spark):
+    from collections import Counter
+
+    runs = [("".join(chr(0x4E00 + i) for i in range(400)), 2), ("aab", 3), ("日本日本", 1)]
+    expected = Counter()
+    for run, mult in runs:
+        for i in range(len(run)):
+            for n in range(1, min(8, len(run) - i) + 1):
+                expected[run[i : i + n]] += mult
+    got = vocab.substring_counts(spark.createDataFrame(runs, "run string, mult long").coalesce(1)).collect()
+    assert {r.piece: r.freq for r in got} == expected and len(got) == len(expected)
