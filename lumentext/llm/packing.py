@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,20 +30,36 @@ from .scratch import stored
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces that one task packs at most (about); a bin with a larger gap than this is dissolved while there is a next level; parts that equal rows of one input task are dealt in.
 GROUP, GAP, FEWER, SALTS = 100_000, 16, 64, 64
-#: Distinct words whose ids a worker remembers, and the longest it remembers.
-KEPT, LONG = 150_000, 64
+#: Distinct words of one generation a worker remembers (it has two), and the longest it remembers.
+KEPT, LONG = 120_000, 64
 
 # Fixed value: the split of byte-level BPE into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _encoders: dict = {}
 
 
+def _ranges(belongs: Callable[[str], bool]) -> str:
+    """What stands in the brackets of a character class for all of the first 65,536 code points that belong."""
+    hits = np.flatnonzero([belongs(chr(c)) for c in range(1 << 16)])
+    runs = np.split(hits, np.flatnonzero(np.diff(hits) > 1) + 1)
+    return "".join(f"\\u{r[0]:04x}-\\u{r[-1]:04x}" for r in runs)
+
+
+def narrow_pattern() -> re.Pattern:
+    """PATTERN for texts of the first 65,536 code points, in the standard library's faster matcher."""
+    letter, number = (_ranges(lambda c, k=k: unicodedata.category(c)[0] == k) for k in "LN")
+    space = _ranges(lambda c: c.isspace() and not "\x1c" <= c <= "\x1f")
+    rest = f" ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
+    return re.compile(f" ?[{letter}]+|'(?:[stmd]|re|ve|ll)|{rest}")
+
+
 class Encoder:
     """Ids of a byte-level BPE file, all of them from the tokenizers library's default call.
 
     The library's ids of a text are those of its words, one after another, so each distinct word is given to the library
-    once and remembered. Texts that hold an added token (found in whole texts) or a character that Unicode tables of
-    different age see differently go to the library as they are.
+    once and remembered. When a generation of words is full, the one before it is forgotten, so words in use stay.
+    Texts that hold an added token (found in whole texts) or a character that Unicode tables of different age see
+    differently go to the library as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,7 +72,11 @@ class Encoder:
         if made["normalizer"] or split["type"] != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"]:
             raise ValueError("not a plain byte-level BPE file: words would depend on each other")
         self.added = [t["content"] for t in made["added_tokens"]]
-        self.words, self.known, self.assigned = regex.compile(PATTERN, regex.V1), {}, set()
+        self.words, self.narrow, self.wide = regex.compile(PATTERN, regex.V1), narrow_pattern(), re.compile("[\U00010000-\U0010ffff]")
+        self.known, self.older, self.assigned = {}, {}, set()
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # bytes of an id: its token has a character for each
+        self.width[list(vocabulary.values())] = [len(token) for token in vocabulary]
 
     def _plain(self, text: str) -> bool:
         if any(a in text for a in self.added):
@@ -66,22 +87,42 @@ class Encoder:
         self.assigned |= new
         return True
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
+    def _each(self, words: list[str]) -> dict[str, bytes]:
         found = self.library.encode_batch_fast(words, add_special_tokens=False)
         return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found, strict=True)}
 
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word; words of a space and letters, which stay apart side by side, are encoded as one text."""
+        apart = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        text = "".join(apart)
+        if not apart or any(a in text for a in self.added):
+            return self._each(words)
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(w.encode()) for w in apart])
+        reached = np.cumsum(self.width[ids])
+        at = np.searchsorted(reached, ends)
+        if at[-1] >= len(ids) or (reached[at] != ends).any():
+            return self._each(words)
+        stops, data = ((at + 1) * 4).tolist(), ids.tobytes()
+        made = {w: data[i:j] for w, i, j in zip(apart, [0, *stops], stops, strict=False)}
+        if len(made) < len(words):
+            made |= self._each([w for w in words if w not in made])
+        return made
+
     def __call__(self, text: str) -> np.ndarray:
         """Ids as little-endian unsigned 32-bit numbers."""
         if not self._plain(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        words = self.words.findall(text)
+        words = (self.words if self.wide.search(text) else self.narrow).findall(text)
         if new := set(words).difference(self.known):
             if len(self.known) + len(new) > KEPT:
-                self.known = {}
+                self.older, self.known = self.known, {}
                 new = set(words)
-            made = self._learn(list(new))
+            made = {w: self.older[w] for w in new if w in self.older}
+            if len(made) < len(new):
+                made |= self._learn(list(new.difference(made)))
             self.known |= {w: ids for w, ids in made.items() if len(w) <= LONG}
-            if any(len(w) > LONG for w in made):  # too long to be remembered beyond this text
+            if max(map(len, made)) > LONG:  # too long to be remembered beyond this text
                 return np.frombuffer(b"".join([self.known.get(w) or made[w] for w in words]), "<u4")
         return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
 

@@ -253,6 +253,20 @@ def test_every_character_is_split_as_the_library_splits():
         assert mine("".join(plain)).tolist() == theirs.encode("".join(plain), add_special_tokens=False).ids
 
 
+def test_forgotten_words_are_learnt_again(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "KEPT", 4)
+    path = tokenizers.path("byte_bpe_50k.json")
+    theirs, mine = Tokenizer.from_file(path), packing.Encoder(path)
+    words = ["alpha", " beta", " gamma", " Ünïcode", " 12", "…", " zeta", " ﬁn", " a😀b"]
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        text = "".join(rng.choice(words, rng.integers(1, 7)))
+        assert mine(text).tolist() == theirs.encode(text, add_special_tokens=False).ids
+    assert mine.older and len(mine.known) <= 12
+
+
 def test_long_white_space_and_repeated_rows_are_packed(spark, clashing):
     path = tokenizers.path("byte_bpe_50k.json")
     rows = [(1, " " * 1_000_000 + "x"), (2, "word " * 100_000), (3, None), (3, None), (None, "a")]
