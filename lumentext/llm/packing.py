@@ -31,7 +31,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces that one task packs at most (about); a bin with a larger gap than this is dissolved while there is a next level; parts that equal rows of one input task are dealt in.
 GROUP, GAP, FEWER, SALTS = 100_000, 16, 64, 64
 #: Distinct words of one generation a worker remembers (it has two), and the longest it remembers.
-KEPT, LONG = 120_000, 64
+KEPT, LONG = 200_000, 64
 
 # Fixed value: the split of byte-level BPE into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -92,8 +92,13 @@ class Encoder:
         return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found, strict=True)}
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each word; words of a space and letters, which stay apart side by side, are encoded as one text."""
-        apart = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        """Ids of each word; words of letters stay apart behind a space or line break, so they are encoded as one text."""
+        apart = []
+        for w in words:
+            if w[0] == " " and w[1:].isalpha():
+                apart.append(w)
+            elif w.isalpha():
+                apart += "\n", w
         text = "".join(apart)
         if not apart or any(a in text for a in self.added):
             return self._each(words)
@@ -105,8 +110,8 @@ class Encoder:
             return self._each(words)
         stops, data = ((at + 1) * 4).tolist(), ids.tobytes()
         made = {w: data[i:j] for w, i, j in zip(apart, [0, *stops], stops, strict=False)}
-        if len(made) < len(words):
-            made |= self._each([w for w in words if w not in made])
+        if rest := [w for w in words if w not in made]:
+            made |= self._each(rest)
         return made
 
     def __call__(self, text: str) -> np.ndarray:
