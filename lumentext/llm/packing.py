@@ -118,7 +118,7 @@ class Encoder:
         """Ids as little-endian unsigned 32-bit numbers."""
         if not self._plain(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        words = (self.words if self.wide.search(text) else self.narrow).findall(text)
+        words = (self.words if not text.isascii() and self.wide.search(text) else self.narrow).findall(text)
         if new := set(words).difference(self.known):
             if len(self.known) + len(new) > KEPT:
                 self.older, self.known = self.known, {}
@@ -126,9 +126,10 @@ class Encoder:
             made = {w: self.older[w] for w in new if w in self.older}
             if len(made) < len(new):
                 made |= self._learn(list(new.difference(made)))
-            self.known |= {w: ids for w, ids in made.items() if len(w) <= LONG}
             if max(map(len, made)) > LONG:  # too long to be remembered beyond this text
+                self.known |= {w: ids for w, ids in made.items() if len(w) <= LONG}
                 return np.frombuffer(b"".join([self.known.get(w) or made[w] for w in words]), "<u4")
+            self.known |= made
         return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
 
 
@@ -150,14 +151,17 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 2, size: int = 1024) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-        encode = encoder(path)
+        encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.append(encode(text.as_py() or ""), end_id).astype("<u4")
-                for k, (start, n) in enumerate(cut(len(ids), size)):
-                    for col, x in zip(out, (doc, k, start, n, zlib.crc32(ids[start : start + n].tobytes())), strict=True):
-                        col.append(x)
+                ids = memoryview(encode(text.as_py() or "").tobytes() + end)
+                spans = cut(len(ids) // 4, size)
+                out[0] += [doc] * len(spans)
+                out[1] += range(len(spans))
+                out[2] += [start for start, _ in spans]
+                out[3] += [n for _, n in spans]
+                out[4] += [zlib.crc32(ids[4 * start : 4 * (start + n)]) for start, n in spans]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
