@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .scratch import shuffle_partitions, small, stored
+from .scratch import shuffle_partitions, small, stored, turn
 
 #: Labelled texts a language that the model is fitted on; hashed n-grams; centroids a language.
 SAMPLE, WIDTH, CENTROIDS, NGRAMS = 500, 1 << 13, 3, 3
@@ -179,6 +179,7 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, centroids: int = C
     found = stored(drawn.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample), "langid-texts")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("langid")
         for b in batches:
             for part in _parts(b, 2, 32):
                 counted, _ = counts(part.column(2).to_pylist())
@@ -193,6 +194,7 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, centroids: int = C
     model = Model([], weights, np.zeros((0, WIDTH), np.float32), np.zeros(0, int), np.zeros((0, KNOTS)))
 
     def centre(key: tuple, t: pa.Table) -> pa.Table:
+        turn("langid")
         t = t.sort_by("n").combine_chunks()
         x = np.zeros((t.num_rows, WIDTH), np.float32)
         for row, at, n in zip(x, _numbers(t["at"].chunk(0)), _numbers(t["count"].chunk(0)), strict=True):
@@ -215,6 +217,7 @@ def _bars(texts: DataFrame, model: Model) -> np.ndarray:
     shared = spark.sparkContext.broadcast(model)
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("langid")
         model = shared.value
         number = {x: i for i, x in enumerate(model.languages)}
         for b in batches:
@@ -240,6 +243,7 @@ def predict(docs: DataFrame, model: Model, chunk: int = 32) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("langid")
         for batch in batches:
             for b in _parts(batch, at, chunk):
                 names, score, rejected = shared.value.predict(b.column(at).to_pylist())
@@ -255,6 +259,7 @@ def recognised(docs: DataFrame, model: Model, chunk: int = 32) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("langid")
         for batch in batches:
             for b in _parts(batch, at, chunk):
                 yield b.filter(pa.array(~shared.value.predict(b.column(at).to_pylist())[2]))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import discard, small, stored, text_key
+from .scratch import discard, small, stored, text_key, turn
 
 WORDS, PERCENT = 5, 75
 TREES, DEPTH = 32, 3
@@ -124,6 +124,7 @@ def sets(docs: DataFrame) -> DataFrame:
     """doc_id, k1, k2 (the text's key), n_shingles, s1, s2 (a hash of the set), signature (VALUES unsigned 32-bit numbers, null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("neardup")
         for b in batches:
             column = b.column(3).cast(pa.large_binary())
             _, offsets, raw = column.buffers()
@@ -173,6 +174,7 @@ def forest(nodes: DataFrame) -> DataFrame:
     """region, deeper (the values that follow in that order, as bytes that sort alike), id: a row for each node and tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("neardup")
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 b = batch.slice(at, 2000)
@@ -189,6 +191,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
     """region, a, b with a < b: pairs of neighbours in an order and of a region's first and each other member (region null); and a = b = id for each member of a region of three or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("neardup")
         head = before = None  # the first and the last member so far of the open region: (region, id), and how many it has
         count, waiting = 0, []
         for b in batches:
@@ -245,6 +248,7 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = stored(texts_of(docs, nodes, involved), "neardup-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("neardup")
         last, known = None, None
         for batch in batches:
             out: list[tuple[int, int]] = []
@@ -338,6 +342,7 @@ def deepened(members: DataFrame, level: int) -> DataFrame:
     """The members (region, id, component, signature) of crowded regions, each in BRANCHES regions one level deeper."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("neardup")
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 b = batch.slice(at, 2000)
@@ -355,6 +360,7 @@ def compared(docs: DataFrame, nodes: DataFrame, members: DataFrame, once: bool)
     rows = members.join(nodes.select("id", "n_shingles", "signature").join(texts, "id"), "id").select("region", "component", "id", "n_shingles", "signature", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("neardup")
         held: list[pa.RecordBatch] = []
         open_ = None
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import stored, turn
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces that one task packs at most (about); a bin with a larger gap than this is dissolved while there is a next level; parts that equal rows of one input task are dealt in.
@@ -133,6 +133,10 @@ class Encoder:
         return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
 
 
+def forget() -> None:
+    _encoders.clear()
+
+
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
@@ -149,6 +153,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 2, size: int = 1024) -> D
     """A row for each piece of each document: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("packing", forget)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
@@ -193,6 +198,7 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
 
 def _level(pieces: DataFrame, groups: int, level: int, size: int, last: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("packing", forget)
         from pyspark import TaskContext
 
         rows = pa.Table.from_batches(batches) if (batches := list(batches)) else None

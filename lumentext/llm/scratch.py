@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import BROADCAST_ROWS, discard, shared_dir, small
 from ..shared import kept as stored
 
-__all__ = ["BROADCAST_ROWS", "discard", "let", "shared_dir", "shuffle_partitions", "small", "stored", "table", "text_key"]
+__all__ = ["BROADCAST_ROWS", "discard", "let", "shared_dir", "shuffle_partitions", "small", "stored", "table", "text_key", "turn"]
+
+_turn: tuple[str, Callable[[], None] | None] = ("", None)
+
+
+def turn(operator: str, forget: Callable[[], None] | None = None) -> None:
+    """A task's function calls this first. Python workers outlive a stage: where this one served another operator before,
+    what that one remembers (its forget) goes, and freed memory goes back to the system."""
+    global _turn
+    if _turn[0] == operator:
+        return
+    if _turn[1]:
+        _turn[1]()
+    _turn = (operator, forget)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

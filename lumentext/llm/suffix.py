@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import discard, shuffle_partitions, stored, text_key
+from .scratch import discard, shuffle_partitions, stored, text_key, turn
 
 LENGTH, K = 200, 64
 #: Window starts that an anchor can serve; bytes hashed at a time; contexts sorted at a time.
@@ -162,6 +162,7 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
     """hash, h1, h2, at for each anchor of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("suffix")
         for b in batches:
             column = b.column(2).cast(pa.large_binary())
             _, offsets, raw = column.buffers()
@@ -181,6 +182,7 @@ def repeated(rows: DataFrame) -> DataFrame:
     """The rows whose hash comes twice or more: sorted by hash, each is compared with its neighbours as the stream passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("suffix")
         kept, said = None, False  # the last row so far, and whether it was given out
         for b in batches:
             t = pa.Table.from_batches([b] if kept is None else [kept, b]).combine_chunks()
@@ -204,6 +206,7 @@ def contexts(texts: DataFrame, found: DataFrame) -> DataFrame:
     joined = texts.select("h1", "h2", "text").join(by_text, ["h1", "h2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("suffix")
         schema = pa.schema([("hash", pa.int64()), ("left", pa.int32()), ("context", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64()), ("places", pa.list_(pa.int32()))])
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
@@ -281,6 +284,7 @@ def covered(rows: DataFrame) -> DataFrame:
     """h1, h2, start, end of what repeats, from stored or fresh contexts: groups of one hash stream by, equal contexts as one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("suffix")
         held: list[list] = []  # distinct contexts of whole groups and the open one: [hash, left, context, rows, many]
         spans: list[tuple] = []
 
@@ -375,6 +379,7 @@ def cut(docs: DataFrame, texts_too: bool) -> DataFrame:
     joined = texts.join(found, ["h1", "h2"], "left").select("h1", "h2", "text", "copies", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("suffix")
         names = ["h1", "h2", "kept_sha256", "text", "n_bytes", "n_removed", "n_spans"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
