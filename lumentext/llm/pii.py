@@ -45,6 +45,8 @@ CANDIDATE, DIGITS = r"(?<![0-9A-Za-z])(?=[A-Za-z]{0,16}[0-9])[0-9A-Za-z._:/-]{6,
 WORDS = 3
 #: Rounds of scoring; distinct known instances that a pattern needs; confidence from which patterns and instances count; times that what was found seeds anew.
 ROUNDS, SEEDS, CONFIDENCE, GENERATIONS = 3, 3, 0.5, 4
+#: Patterns at most that are sent to every task to be looked up there.
+LISTED = 20_000
 
 
 def _digits(x: Column) -> Column:
@@ -145,13 +147,20 @@ def edges_of(found: DataFrame) -> DataFrame:
 
 
 def pattern_uses(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """pattern, n_uses: how often the words of each pattern stand anywhere in the corpus, whatever follows them.
+    """pattern, n_uses: how often the words of each pattern (k, pattern; stored) stand anywhere in the corpus, whatever follows them.
 
-    Single words and pairs are counted before they meet the patterns, as common ones stand everywhere; longer ones are mostly distinct and are counted after.
+    Up to LISTED patterns are looked up while a text is read, and nothing but their uses leaves it. Beyond that, single words and pairs
+    are counted before they meet the patterns, as common ones stand everywhere; longer ones are mostly distinct and are counted after.
     """
     words = docs.where("text IS NOT NULL").select(F.expr(f"regexp_extract_all(lower(text), r'[^{SPACE}]+', 0)").alias("w"))
     w = F.col("w")
     runs = lambda k: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: _key(w, i, k))).otherwise(F.array().cast("array<bigint>"))
+    listed = patterns.select("k", "pattern").limit(LISTED + 1).collect()
+    if len(listed) <= LISTED:
+        by = {k: [p.pattern for p in listed if p.k == k] for k in sorted({p.k for p in listed})}
+        among = lambda found: lambda x: x.isin(found)
+        uses = [F.filter(runs(k), among(found)) for k, found in by.items()]
+        return words.select(F.explode(_all(uses)).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n_uses"))
     wanted = lambda few: small(patterns.where(F.col("k") <= 2 if few else F.col("k") > 2)).select("pattern")
     counted = words.select(F.explode(F.concat(runs(1), runs(2))).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n_uses")).join(wanted(True), "pattern")
     long = words.select(F.explode(_all([runs(k) for k in range(3, WORDS + 1)])).alias("pattern")).join(wanted(False), "pattern").groupBy("pattern").agg(F.count("*").alias("n_uses"))

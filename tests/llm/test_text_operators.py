@@ -1,4 +1,5 @@
 import hashlib
+from functools import reduce
 
 import brute
 import pytest
@@ -65,6 +66,20 @@ def test_pii_of_long_and_repeated_rows(spark, clashing):
     assert sorted((r.doc_id or 0, len(r.text or "")) for r in made.collect()) == [(0, 0), (1, 7), (1, 7), (1, len(long) - 4)]
 
 
+def test_pii_uses_leave_a_text_only_for_patterns(spark, docs, texts, monkeypatch):
+    words = [(t or "").lower().split() for t in texts]
+    all_words = docs.where("text IS NOT NULL").select(F.expr(f"regexp_extract_all(lower(text), r'[^{pii.SPACE}]+', 0)").alias("w"))
+    every = {k: all_words.where(F.size("w") >= k).select(pii._key(F.col("w"), F.lit(0), k).alias("pattern")) for k in (1, 2, 3)}
+    patterns = stored(reduce(lambda a, b: a.union(b), [d.distinct().select(F.lit(k).alias("k"), "pattern") for k, d in every.items()]), "patterns")
+    made = pii.pattern_uses(docs, patterns)
+    got = sorted(map(tuple, made.collect()))
+    starts = [{tuple(w[:k]) for w in words if len(w) >= k} for k in (1, 2, 3)]
+    assert sorted(n for _, n in got) == sorted(sum(tuple(w[i : i + k]) == s for w in words for i in range(len(w))) for k in (1, 2, 3) for s in starts[k - 1])
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()  # which would meet all words of the corpus, gathered first
+    monkeypatch.setattr(pii, "LISTED", 2)
+    assert sorted(map(tuple, pii.pattern_uses(docs, patterns).collect())) == got
+
+
 def test_quality(spark, docs, clashing):
     got = quality.judge(clashing(docs.union(docs.where("doc_id = 11")))).collect()
     by = {r.doc_id: r for r in docs.collect()}
