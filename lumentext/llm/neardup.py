@@ -37,10 +37,12 @@ TREES, DEPTH = 32, 3
 #: Values of a signature beyond DEPTH that a region is sorted by.
 FURTHER = 5
 #: A region is crowded from so many members, or pairs across components, or characters of text on; its orders one level deeper; levels.
-CROWD, PAIRS, CHARACTERS, BRANCHES, LEVELS = 4000, 1 << 20, 1 << 26, 16, 3
+CROWD, PAIRS, CHARACTERS, BRANCHES, LEVELS = 10_000, 1 << 25, 1 << 26, 16, 3
 VALUES = TREES * DEPTH
 #: Of VALUES signature values so many must agree before a pair of a region is compared: 5.6 standard deviations below the mean at the least similarity.
 AGREE = VALUES // 2
+#: Pairs of a region that are gathered before their full sets meet.
+AT_ONCE = 1 << 22
 CHUNK = 1 << 18
 _rng = np.random.default_rng(20240502)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -286,48 +288,74 @@ def components(edges: DataFrame) -> DataFrame:
         now = stored(star.where("u != v").distinct(), "star")
 
 
-def _similar_sets(a: set, b: set) -> bool:
-    both = len(a & b)
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+def shingled(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text, sorted, and how many each has."""
+    raw = [(t or "").encode() for t in texts]
+    ends = np.r_[0, np.cumsum([len(x) for x in raw], dtype=np.int64)]
+    made, at = [], 0
+    while at < len(raw):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK, "right")) - 1)
+        made.append(shingles(np.frombuffer(b"".join(raw[at:to]), np.uint8), ends[at : to + 1] - ends[at]))
+        at = to
+    return np.concatenate([key for key, _ in made]), np.concatenate([n for _, n in made])
 
 
-def _first_regions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The region of the first tree in which each row of b lies in a's region."""
-    tree = (b == a).reshape(-1, TREES, DEPTH).all(axis=2).argmax(axis=1)
-    every = {t: _region(np.zeros(1, np.uint64), 0, t, a[None, :])[0] for t in np.unique(tree).tolist()}
-    return np.array([every[t] for t in tree.tolist()], np.uint64)
+def _agreeing(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """How many values of each row are those of one: the truth bytes are added up eight at a time."""
+    words = (rows == one).view(np.uint64)
+    return (words.sum(axis=1) * np.uint64(0x0101010101010101)) >> np.uint64(56)
 
 
-def links(region: int | None, comp: np.ndarray, ids: np.ndarray, size: np.ndarray, sig: np.ndarray, text: list[str]) -> Iterator[tuple[int, int]]:
+def links(comp: np.ndarray, ids: np.ndarray, size: np.ndarray, sig: np.ndarray, text: list[str]) -> Iterator[tuple[int, int]]:
     """Links that join different components within one region; each pair that sizes and signatures allow is compared on full sets, unless
-    other links have joined its components. If region is given, only pairs that meet here first: for them no other region has to be asked."""
+    other links have joined its components. A set meets all that it may be similar to at once: its shingles are marked, theirs looked up."""
     order = np.argsort(size, kind="stable")
     comp, ids, size, sig = comp[order], ids[order].tolist(), size[order], np.ascontiguousarray(sig[order]).astype(np.uint32)
     text = [text[i] for i in order.tolist()]
     part = {c: c for c in comp.tolist()}
-    sets_: dict[int, set] = {}
 
     def find(c: int) -> int:
         while part[c] != c:
             part[c] = c = part[part[c]]
         return c
 
-    def full(i: int) -> set:
-        if i not in sets_:
-            sets_[i] = set(shingles_of(text[i]).tolist())
-        return sets_[i]
-
     named = comp.tolist()
+
+    def among(waiting: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+        place = np.full(len(ids), -1)
+        used = np.unique(np.concatenate([x for i, other in waiting for x in ([i], other)]))
+        place[used] = np.arange(len(used))
+        keys, n = shingled([text[i] for i in used.tolist()])
+        ends = np.r_[0, np.cumsum(n)]
+        number = np.unique(keys, return_inverse=True)[1]
+        sets_ = np.split(number, ends[1:-1])
+        marked = np.zeros(len(keys), bool)
+        for i, other in waiting:
+            own, at = sets_[place[i]], place[other]
+            marked[own] = True
+            both = np.add.reduceat(marked[np.concatenate([sets_[k] for k in at.tolist()])], np.r_[0, np.cumsum(n[at])[:-1]], dtype=np.int64)
+            marked[own] = False
+            for j in other[100 * both >= PERCENT * (len(own) + n[at] - both)].tolist():
+                if (x := find(named[i])) != (y := find(named[j])):
+                    part[max(x, y)] = min(x, y)
+                    yield min(ids[i], ids[j]), max(ids[i], ids[j])
+
+    waiting, pairs = [], 0
     for i in range(len(ids) - 1):
         to = int(np.searchsorted(size, size[i] * 100 // PERCENT, "right"))
         other = i + 1 + np.flatnonzero(comp[i + 1 : to] != comp[i])
-        other = other[(sig[other] == sig[i]).sum(axis=1) >= AGREE]
-        if region is not None and len(other):
-            other = other[_first_regions(sig[i], sig[other]) == region]
-        for j in other.tolist():
-            if (x := find(named[i])) != (y := find(named[j])) and _similar_sets(full(i), full(j)):
-                part[max(x, y)] = min(x, y)
-                yield min(ids[i], ids[j]), max(ids[i], ids[j])
+        if 2 * len(other) > to - i - 1:  # a slice needs no copy
+            other = other[_agreeing(sig[i + 1 : to], sig[i])[other - i - 1] >= AGREE]
+        else:
+            other = other[_agreeing(sig[other], sig[i]) >= AGREE]
+        if len(other):
+            waiting.append((i, other))
+            pairs += len(other)
+        if pairs > AT_ONCE:
+            yield from among(waiting)
+            waiting, pairs = [], 0
+    if waiting:
+        yield from among(waiting)
 
 
 def mixed(members: DataFrame) -> DataFrame:
@@ -353,8 +381,8 @@ def deepened(members: DataFrame, level: int) -> DataFrame:
     return members.select("region", "id", "component", "signature", "chars").mapInArrow(run, "region long, id long, component long, chars long")
 
 
-def compared(docs: DataFrame, nodes: DataFrame, members: DataFrame, once: bool) -> DataFrame:
-    """a, b: links across components within the regions of members (region, id, component), stored. No more rows than components come out. once: members holds every region of the first level that a pair could meet in."""
+def compared(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """a, b: links across components within the regions of members (region, id, component), stored. From no region come more rows than it has components."""
     involved = stored(members.select("id").distinct(), "neardup-mixed-ids")
     texts = stored(texts_of(docs, nodes, involved), "neardup-mixed-texts")
     rows = members.join(nodes.select("id", "n_shingles", "signature").join(texts, "id"), "id").select("region", "component", "id", "n_shingles", "signature", "text")
@@ -368,7 +396,7 @@ def compared(docs: DataFrame, nodes: DataFrame, members: DataFrame, once: bool)
             made: list[tuple[int, int]] = []
             if held:
                 t = pa.Table.from_batches(held).combine_chunks()
-                made = list(links(np.uint64(int(open_) % 2**64) if once else None, t["component"].to_numpy(), t["id"].to_numpy(), t["n_shingles"].to_numpy(), _signatures(t["signature"].chunk(0)), t["text"].to_pylist()))
+                made = list(links(t["component"].to_numpy(), t["id"].to_numpy(), t["n_shingles"].to_numpy(), _signatures(t["signature"].chunk(0)), t["text"].to_pylist()))
                 held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*made, strict=True) if made else ([], []))], names=["a", "b"])
 
@@ -400,7 +428,7 @@ def leftover(docs: DataFrame, members: DataFrame, nodes: DataFrame, parts: DataF
         crowded = kind.where("crowded").select("region")
         last = level == LEVELS or crowded.isEmpty()
         simple = kind.where(F.lit(last) | ~F.col("crowded")).select("region")
-        found.append(compared(docs, nodes, stored(now.join(small(simple), "region", "left_semi"), f"neardup-simple-{level}"), last and level == 1))
+        found.append(compared(docs, nodes, stored(now.join(small(simple), "region", "left_semi"), f"neardup-simple-{level}")))
         if last:
             discard(now)
             return found

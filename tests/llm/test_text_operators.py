@@ -138,6 +138,30 @@ def test_near_duplicates_through_a_third(spark):
     assert len(got) == len(rows) + 2
 
 
+def test_links_of_a_dense_region(monkeypatch):
+    """Most pairs are similar by their signatures, few by their sets: a text's set is made once, not for each tree or pair."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    passage = [f"p{i}" for i in range(100)]
+    texts = [" ".join(passage + [f"w{w}" for w in rng.integers(0, 10**9, 45)]) for _ in range(60)]
+    texts += [" ".join(t.split()[:-k]) for k, t in enumerate(texts[:20], 1)]
+    keys, size = neardup.shingled(texts)
+    sets = np.split(keys, np.cumsum(size)[:-1])
+    assert all((a == neardup.shingles_of(t)).all() for a, t in zip(sets, texts, strict=True))
+    sig = np.array([[((k * h) >> np.uint64(32)).min() for h in neardup._HASH] for k in sets]).astype(">u4")
+    made = []
+    monkeypatch.setattr(neardup, "shingles", lambda data, ends, f=neardup.shingles: made.append(len(ends) - 1) or f(data, ends))
+    got = list(neardup.links(np.arange(len(texts)), np.arange(len(texts)), size, sig, texts))
+    assert sum(made) == len(texts) and all(neardup.similar(sets[a], sets[b]) for a, b in got)
+    part = list(range(len(texts)))
+    for a, b in sorted(got, key=max):
+        part[b] = part[a]
+    assert part == [brute.components(list(enumerate(texts)))[i][1] for i in range(len(texts))]
+    monkeypatch.setattr(neardup, "AT_ONCE", 10)
+    assert list(neardup.links(np.arange(len(texts)), np.arange(len(texts)), size, sig, texts)) == got
+
+
 def test_repeated_passages(spark, docs, texts, clashing):
     got = {r.doc_id: tuple(r)[1:] for r in suffix.digests(clashing(docs)).collect()}
     assert [got[i] for i in range(len(texts))] == brute.repeats(texts)
