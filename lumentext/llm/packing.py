@@ -19,6 +19,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from .scratch import stored, turn
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces that one task packs at most (about); a bin with a larger gap than this is dissolved while there is a next level; parts that equal rows of one input task are dealt in.
 GROUP, GAP, FEWER, SALTS = 100_000, 16, 64, 64
-#: Distinct words of one generation a worker remembers (it has two), and the longest it remembers.
-KEPT, LONG = 200_000, 64
+#: Distinct words of one generation a worker remembers (it has two), and the longest it remembers; characters of texts that are encoded together.
+KEPT, LONG, TOGETHER = 400_000, 64, 1 << 17
 
 # Fixed value: the split of byte-level BPE into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -116,21 +117,24 @@ class Encoder:
 
     def __call__(self, text: str) -> np.ndarray:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if not self._plain(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        words = (self.words if not text.isascii() and self.wide.search(text) else self.narrow).findall(text)
-        if new := set(words).difference(self.known):
+        return np.frombuffer(self.many([text])[0], "<u4")
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. What is remembered is asked once for a word of all the texts, and what is new is learnt at once."""
+        split = [((self.words if not t.isascii() and self.wide.search(t) else self.narrow).findall(t) if self._plain(t) else None) for t in texts]
+        here = dict.fromkeys(chain.from_iterable(w for w in split if w))
+        here = dict(zip(here, map(self.known.get, here), strict=True))
+        if new := [w for w, ids in here.items() if ids is None]:
             if len(self.known) + len(new) > KEPT:
-                self.older, self.known = self.known, {}
-                new = set(words)
+                self.older, self.known = self.known, {w: ids for w, ids in here.items() if ids is not None}
             made = {w: self.older[w] for w in new if w in self.older}
             if len(made) < len(new):
-                made |= self._learn(list(new.difference(made)))
-            if max(map(len, made)) > LONG:  # too long to be remembered beyond this text
-                self.known |= {w: ids for w, ids in made.items() if len(w) <= LONG}
-                return np.frombuffer(b"".join([self.known.get(w) or made[w] for w in words]), "<u4")
-            self.known |= made
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
+                made |= self._learn([w for w in new if w not in made])
+            here |= made
+            # words that are too long are not remembered beyond these texts
+            self.known |= made if max(map(len, made)) <= LONG else {w: ids for w, ids in made.items() if len(w) <= LONG}
+        whole = lambda t: np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        return [whole(t) if words is None else b"".join(map(here.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
 
 
 def forget() -> None:
@@ -149,6 +153,18 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, min(n, first)), *((at, size) for at in range(first, n, size))]
 
 
+def _together(column: pa.Array) -> Iterator[list[str]]:
+    """The texts of a column (null: empty), in lists of about TOGETHER characters."""
+    texts, size = [], 0
+    for x in column:
+        texts.append(x.as_py() or "")
+        size += len(texts[-1])
+        if size >= TOGETHER:
+            yield texts
+            texts, size = [], 0
+    yield texts
+
+
 def tokenize(docs: DataFrame, path: str, end_id: int = 2, size: int = 1024) -> DataFrame:
     """A row for each piece of each document: doc_id, piece, start, length, ids_crc32."""
 
@@ -159,8 +175,9 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 2, size: int = 1024) -> D
         encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = memoryview(encode(text.as_py() or "").tobytes() + end)
+            encoded = chain.from_iterable(map(encode.many, _together(b.column(1))))
+            for doc, made in zip(b.column(0).to_pylist(), encoded, strict=True):
+                ids = memoryview(made + end)
                 spans = cut(len(ids) // 4, size)
                 out[0] += [doc] * len(spans)
                 out[1] += range(len(spans))

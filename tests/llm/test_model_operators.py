@@ -267,6 +267,20 @@ def test_forgotten_words_are_learnt_again(monkeypatch):
     assert mine.older and len(mine.known) <= 12
 
 
+def test_encoder_learns_for_many_texts_at_once(texts, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("byte_bpe_50k.json")
+    theirs, mine, asked = Tokenizer.from_file(path), packing.Encoder(path), []
+    learn = mine._learn
+    monkeypatch.setattr(mine, "_learn", lambda words: asked.append(len(words)) or learn(words))
+    given = [t or "" for t in texts] + ["a<|endoftext|>b", "q" * 100 + " seldom", ""]
+    got = mine.many(given)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [theirs.encode(t, add_special_tokens=False).ids for t in given]
+    assert len(asked) == 1 and "q" * 100 not in mine.known and mine.many([]) == []
+    assert mine.many(given) == got
+
+
 def test_long_white_space_and_repeated_rows_are_packed(spark, clashing):
     path = tokenizers.path("byte_bpe_50k.json")
     rows = [(1, " " * 1_000_000 + "x"), (2, "word " * 100_000), (3, None), (3, None), (None, "a")]
