@@ -8,11 +8,31 @@ repeated rows have the results that the operators' modules state, and so have nu
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumentext.llm import langid, neardup, packing, pii, queries, suffix
-from lumentext.llm.scratch import stored, table
+from lumentext.llm.scratch import released, stored, table
+
+#: Rows that go to a Python worker at once, at most: those of whole texts take memory on both sides.
+BATCH = 2000
+
+
+def _lean(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, begun by workers that hold nothing of the one before, with batches of BATCH rows."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH:
+            spark.conf.set(rows, str(BATCH))
+        released(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -45,13 +65,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(stored(packing.tokenize(docs, queries.tokenizer("byte_bpe_50k.json")), "pieces"))
 
 
-STAGES = [
+STAGES = [(name, _lean(stage)) for name, stage in [
     ("language", identify_language),
     ("near_duplicates", drop_near_duplicates),
     ("repeats", remove_repeats),
     ("personal_data", redact_personal_data),
     ("packing", pack),
-]
+]]
 
 #: The stages use hashing, clustering and tokenizers that SQL can't express; tests hold the pipeline against its parts.
 ORACLE_SQL = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..shared import BROADCAST_ROWS, discard, shared_dir, small
 from ..shared import kept as stored
 
-__all__ = ["BROADCAST_ROWS", "discard", "let", "shared_dir", "shuffle_partitions", "small", "stored", "table", "text_key", "turn"]
+__all__ = ["BROADCAST_ROWS", "discard", "let", "released", "shared_dir", "shuffle_partitions", "small", "stored", "table", "text_key", "turn"]
 
 _turn: tuple[str, Callable[[], None] | None] = ("", None)
 
@@ -34,6 +34,17 @@ def turn(operator: str, forget: Callable[[], None] | None = None) -> None:
         trim(0)
 
 
+def released(spark: SparkSession) -> None:
+    """Python workers that wait give back what the operators before remember: short tasks, several for each core, go round them all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("")
+        yield from batches
+
+    n = 4 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).mapInArrow(run, "id long").write.format("noop").mode("overwrite").save()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

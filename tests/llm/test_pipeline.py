@@ -59,3 +59,30 @@ def test_nulls_repeats_and_clashing_names(spark, clashing):
     assert sum(r.doc_id == 3 for r in near) <= 1 and any((r.text or "").startswith("a clean text") for r in near)
     assert {r.doc_id for r in near} >= {70, 71} and len(seen["repeats"]) == len(seen["personal_data"]) == len(rows)
     assert sum(r.length for r in C.pack(spark, docs, "").collect()) > len(rows)
+
+
+def test_stages_begin_with_lean_workers(spark):
+    import corpus_pipeline as C
+
+    from lumentext.llm import packing, scratch
+
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+
+    def served(operator):
+        def run(batches):
+            for b in batches:
+                last = scratch._turn[0]
+                scratch.turn(operator, packing.forget)
+                yield b.from_pydict({"last": [last] * b.num_rows})
+
+        return {r.last for r in spark.range(0, 64, 1, 16).mapInArrow(run, "last string").collect()}
+
+    try:
+        spark.conf.set(rows, "10000")
+        served("before")
+        assert C._lean(lambda spark, docs, sf: docs)(spark, "docs", SF) == "docs"
+        assert int(spark.conf.get(rows)) == C.BATCH
+        assert "before" not in served("after")
+    finally:
+        spark.conf.set(rows, before)
