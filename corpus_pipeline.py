@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumentext.llm import langid, neardup, packing, pii, queries, suffix
-from lumentext.llm.scratch import released, stored, table
+from lumentext.llm.scratch import collected, released, stored, table
 
 #: Rows that go to a Python worker at once, at most: those of whole texts take memory on both sides.
 BATCH = 2000
 
 
 def _lean(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The stage, begun by workers that hold nothing of the one before, with batches of BATCH rows."""
+    """The stage, begun by executors and workers that hold nothing of the one before, with batches of BATCH rows."""
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,6 +30,17 @@ def _lean(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callabl
         if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH:
             spark.conf.set(rows, str(BATCH))
         released(spark)
+        return _collected(stage)(spark, docs, sf_dir)
+
+    return run
+
+
+def _collected(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, begun by executors without the garbage of the one before: all that a stage of DataFrame functions needs, which runs no Python there."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        collected(spark)
         return stage(spark, docs, sf_dir)
 
     return run
@@ -52,7 +63,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 200 bytes and more that repeat. Null texts stay null; no row goes; repeated rows are each other's copies."""
-    return _measured(suffix.cleaned(docs))
+    out = _measured(suffix.cleaned(docs))
+    released(spark)  # its workers are done, and the next stage, which has none, does not ask them
+    return out
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,13 +78,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(stored(packing.tokenize(docs, queries.tokenizer("byte_bpe_50k.json")), "pieces"))
 
 
-STAGES = [(name, _lean(stage)) for name, stage in [
-    ("language", identify_language),
-    ("near_duplicates", drop_near_duplicates),
-    ("repeats", remove_repeats),
-    ("personal_data", redact_personal_data),
-    ("packing", pack),
-]]
+STAGES = [
+    ("language", _lean(identify_language)),
+    ("near_duplicates", _lean(drop_near_duplicates)),
+    ("repeats", _lean(remove_repeats)),
+    ("personal_data", _collected(redact_personal_data)),
+    ("packing", _lean(pack)),
+]
 
 #: The stages use hashing, clustering and tokenizers that SQL can't express; tests hold the pipeline against its parts.
 ORACLE_SQL = None

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..shared import BROADCAST_ROWS, discard, shared_dir, small
 from ..shared import kept as stored
 
-__all__ = ["BROADCAST_ROWS", "discard", "let", "released", "shared_dir", "shuffle_partitions", "small", "stored", "table", "text_key", "turn"]
+__all__ = ["BROADCAST_ROWS", "collected", "discard", "let", "released", "shared_dir", "shuffle_partitions", "small", "stored", "table", "text_key", "turn"]
 
 _turn: tuple[str, Callable[[], None] | None] = ("", None)
 
@@ -45,6 +45,12 @@ def released(spark: SparkSession) -> None:
     spark.range(0, n, 1, n).mapInArrow(run, "id long").write.format("noop").mode("overwrite").save()
 
 
+def collected(spark: SparkSession) -> None:
+    """Executors collect their garbage, and so give heap that is free back to the system; no Python runs on them."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,6 +30,8 @@ from .scratch import discard, shuffle_partitions, stored, text_key, turn
 LENGTH, K = 200, 64
 #: Window starts that an anchor can serve; bytes hashed at a time; contexts sorted at a time.
 REACH, CHUNK, SORTED = LENGTH - K + 1, 1 << 18, 8000
+#: Powers that are remembered of a base, at most; beyond, one is the product of two.
+TABLE = 1 << 22
 _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_rng.integers(2**61, 2**63)) | 1
@@ -46,17 +48,30 @@ def _power(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
+def forget() -> None:
+    _powers.clear()
+
+
 class Hashes:
     """Prefix polynomial hashes of a buffer; `of` gives the hash of any part, alike for equal parts."""
 
     def __init__(self, data: np.ndarray) -> None:
         self.data = data
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=self.sums[1:])
-        self.shift = _power(_INVERSE, len(data) + 1)
+        for at in range(0, len(data), CHUNK):  # besides the sums, memory is taken for a chunk alone
+            part = self.sums[at + 1 : at + 1 + CHUNK]
+            np.multiply(_BYTE[data[at : at + CHUNK]], _power(_BASE, len(part)), out=part)
+            part *= np.uint64(pow(_BASE, at, 2**64))
+            np.cumsum(part, out=part)
+            part += self.sums[at]
+        self.table = _power(_INVERSE, min(len(data) + 1, TABLE))
+        self.tables = np.array([pow(_INVERSE, at, 2**64) for at in range(0, len(data) + 1, TABLE)], np.uint64)
+
+    def shift(self, start: np.ndarray) -> np.ndarray:
+        return self.table[start] if len(self.tables) == 1 else self.table[start % TABLE] * self.tables[start // TABLE]
 
     def of(self, start: np.ndarray, length: int | np.ndarray) -> np.ndarray:
-        return (self.sums[start + length] - self.sums[start]) * self.shift[start]
+        return (self.sums[start + length] - self.sums[start]) * self.shift(start)
 
     def common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         """Length of the common extension of the suffixes at a and b, up to most, by binary search."""
@@ -133,7 +148,11 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     if n < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     hashes = Hashes(data)
-    key = (hashes.sums[K:] - hashes.sums[:-K]) * hashes.shift[: n - K + 1]
+    key = hashes.sums[K:] - hashes.sums[:-K]
+    for at in range(0, len(key), TABLE):
+        part = key[at : at + TABLE]
+        part *= hashes.table[: len(part)]
+        part *= hashes.tables[at // TABLE]
     key ^= key >> np.uint64(32)
     key *= np.uint64(0xD6E8FEB86659FD93)
     key ^= key >> np.uint64(32)
@@ -162,7 +181,7 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
     """hash, h1, h2, at for each anchor of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn("suffix")
+        turn("suffix", forget)
         for b in batches:
             column = b.column(2).cast(pa.large_binary())
             _, offsets, raw = column.buffers()
@@ -182,7 +201,7 @@ def repeated(rows: DataFrame) -> DataFrame:
     """The rows whose hash comes twice or more: sorted by hash, each is compared with its neighbours as the stream passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn("suffix")
+        turn("suffix", forget)
         kept, said = None, False  # the last row so far, and whether it was given out
         for b in batches:
             t = pa.Table.from_batches([b] if kept is None else [kept, b]).combine_chunks()
@@ -206,7 +225,7 @@ def contexts(texts: DataFrame, found: DataFrame) -> DataFrame:
     joined = texts.select("h1", "h2", "text").join(by_text, ["h1", "h2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn("suffix")
+        turn("suffix", forget)
         schema = pa.schema([("hash", pa.int64()), ("left", pa.int32()), ("context", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64()), ("places", pa.list_(pa.int32()))])
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
@@ -247,9 +266,11 @@ def windows(group: np.ndarray, left: np.ndarray, data: list[bytes]) -> tuple[np.
     begin = np.r_[0, np.cumsum(size)[:-1]]
     raw = np.frombuffer(b"".join(data), np.uint8)
     raw = np.concatenate([raw, np.zeros(LENGTH, np.uint8)])
-    hashes, anchor = Hashes(raw), begin + left
-    after = _neighbours(hashes, anchor, group, LENGTH)
+    anchor = begin + left
+    # one after the other: the hashes of one direction are gone before those of the other are made
     before = _neighbours(Hashes(np.concatenate([raw[: size.sum()][::-1], np.zeros(LENGTH, np.uint8)])), size.sum() - anchor, group, LENGTH)
+    hashes = Hashes(raw)
+    after = _neighbours(hashes, anchor, group, LENGTH)
     high = np.minimum(np.minimum(left, REACH - 1), before)
     low = np.maximum(0, LENGTH - np.minimum(size - left, after))
     first = np.searchsorted(group, group, "left")
@@ -284,7 +305,7 @@ def covered(rows: DataFrame) -> DataFrame:
     """h1, h2, start, end of what repeats, from stored or fresh contexts: groups of one hash stream by, equal contexts as one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn("suffix")
+        turn("suffix", forget)
         held: list[list] = []  # distinct contexts of whole groups and the open one: [hash, left, context, rows, many]
         spans: list[tuple] = []
 
@@ -379,7 +400,7 @@ def cut(docs: DataFrame, texts_too: bool) -> DataFrame:
     joined = texts.join(found, ["h1", "h2"], "left").select("h1", "h2", "text", "copies", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn("suffix")
+        turn("suffix", forget)
         names = ["h1", "h2", "kept_sha256", "text", "n_bytes", "n_removed", "n_spans"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:

@@ -86,3 +86,21 @@ def test_stages_begin_with_lean_workers(spark):
         assert "before" not in served("after")
     finally:
         spark.conf.set(rows, before)
+
+
+def test_personal_data_runs_no_python(spark, monkeypatch):
+    """Neither its own rows nor the clearing up before it; the stage before leaves workers that hold nothing."""
+    import corpus_pipeline as C
+
+    from lumentext.llm import scratch
+
+    docs = spark.createDataFrame([(1, "write to ann@example.org at once", "en", "s", 1), (2, None, "en", "s", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(C.STAGES)
+    docs = scratch.stored(stages["repeats"](spark, docs, ""), "test-lean")
+    last = lambda batches: (b.from_pydict({"last": [scratch._turn[0]] * b.num_rows}) for b in batches)
+    assert "suffix" not in {r.last for r in spark.range(0, 64, 1, 16).mapInArrow(last, "last string").collect()}
+    frame, used = type(docs), []
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(frame, name, lambda *a, f=getattr(frame, name), **b: (used.append(1), f(*a, **b))[1])
+    private = {r.doc_id: r.text for r in stages["personal_data"](spark, docs, "").collect()}
+    assert private == {1: "write to <email> at once", 2: None} and not used

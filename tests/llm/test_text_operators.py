@@ -205,3 +205,30 @@ def test_shingles(text):
 def test_sha(docs):
     row = suffix.digests(docs.where("doc_id = 3")).first()
     assert row.kept_sha256 == hashlib.sha256(b"a b c").hexdigest()
+
+
+def test_hashes_of_long_buffers(monkeypatch):
+    """Memory of a chunk besides the sums, whatever the length; parts that are equal have equal hashes wherever the tables end."""
+    import tracemalloc
+
+    import numpy as np
+
+    data = np.random.default_rng(5).integers(97, 100, 3_000_000).astype(np.uint8)
+    suffix._powers.clear()
+    tracemalloc.start()
+    suffix.Hashes(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 26 * len(data)
+    long = data[:5000].copy()
+    long[4000:4300] = long[100:400]
+    starts, whole = np.arange(4700), suffix.Hashes(long)
+    expected = whole.of(starts, 300)
+    found = suffix.anchors(long, np.array([0, 2500]), np.array([2500, 5000]))
+    monkeypatch.setattr(suffix, "CHUNK", 64)
+    monkeypatch.setattr(suffix, "TABLE", 256)
+    suffix._powers.clear()
+    parted = suffix.Hashes(long)
+    assert len(parted.tables) > 1 and (parted.of(starts, 300) == expected).all() and (parted.sums == whole.sums).all()
+    assert parted.of(np.array([100]), 300) == parted.of(np.array([4000]), 300) and parted.common(np.array([100]), np.array([4000]), 300) == 300
+    assert all((x == y).all() for x, y in zip(found, suffix.anchors(long, np.array([0, 2500]), np.array([2500, 5000])), strict=True))
