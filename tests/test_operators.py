@@ -171,3 +171,39 @@ def test_streaming(spark, tmp_path):
     assert sorted({r.chunk_id for r in spark.read.parquet(out).collect()}) == [1, 2]
     ingest.flush(spark, out, buffer, 10)
     assert spark.read.parquet(out).count() == 25
+
+
+def test_spans_are_counted_without_being_formed(spark):
+    """Totals and pieces against every span, one by one, with odd spaces, characters beyond 16 bits, digits and marks."""
+    from lumentext.functions import text as T
+
+    p = {"the": 0.1, "cat": 0.08, "a": 0.05, " ": 0.2, "e": 0.03, "t": 0.04, ",": 1e-3, "b": 1e-5, "\U0001d7d8": 0.02}
+    rng = np.random.default_rng(1)
+    texts = ["the cat", "a, b c", " ", ".", "\u00a0a\u2003 b\t", "x" * 30, *("".join(rng.choice(list("ate  b,.\t\n\u00a0\u00e9\U0001d7d8\u0301"), 40)) for _ in range(12))]
+    table = spark.createDataFrame(list(p.items()), "piece string, prob double")
+    seqs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "seq_id long, text string")
+    by = lambda df: sorted(map(tuple, df.groupBy("seq_id").agg(F.count("*"), F.sum(F.col("end") - F.col("start"))).collect()))
+    for w_max in (1, 7, 25, 60):
+        every = spans.enumerate_spans(seqs, w_max)
+        whole = every.where(T.is_whole_phrase(F.col("span")))
+        assert sorted(map(tuple, spans.phrase_counts(seqs, w_max).collect())) == by(whole)
+        made = {s for t in texts for i in range(len(t)) for j in range(i + 1, min(len(t), i + w_max) + 1) if p.get(s := t[i:j], 0) >= 0.02 or (len(s) <= 20 and spans.best_product(s, p, 3) >= 1e-6)}
+        wanted = whole.union(every.where(F.col("span").isin(made))).distinct()
+        assert sorted(map(tuple, spans.candidate_counts(seqs, table, p, w_max, 0.02, 1e-6).collect())) == by(wanted)
+        assert sorted(spans.candidates(seqs, table, p, w_max, 0.02, 1e-6).collect()) == sorted(wanted.collect())
+        assert sorted(spans.pieces_in(seqs, table, w_max, 0.02).collect()) == sorted(spans.aligned(every, table, 0.02).drop("span").collect())
+
+
+def test_strip_is_linear_and_takes_what_the_pattern_takes(spark):
+    """Every character of 16 bits is stripped or kept as the pattern says; white space inside a text costs nothing."""
+    import time
+
+    from lumentext.functions import text as T
+
+    chars = spark.range(1, 0x10000).where("id < 55296 OR id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    told = chars.select("c", T.strip(F.concat("c", F.lit("x"), "c")).alias("s"), T.is_blank(F.col("c")).alias("blank"), F.col("c").rlike(f"^[{T.STRIP}]$").alias("wanted"))
+    assert told.where("wanted <> blank OR wanted <> (s = 'x')").count() == 0 and told.where("wanted").count() == len(T.STRIPPED)
+    began = time.perf_counter()
+    text = F.concat(F.lit("a"), F.repeat(F.lit(" "), 300_000), F.lit("b"))
+    assert spark.range(1).select(F.length(T.strip(text)).alias("n")).first().n == 300_002
+    assert time.perf_counter() - began < 20
