@@ -120,3 +120,39 @@ def test_substring_counts_in_wide_alphabets(spark):
                 expected[run[i : i + n]] += mult
     got = vocab.substring_counts(spark.createDataFrame(runs, "run string, mult long").coalesce(1)).collect()
     assert {r.piece: r.freq for r in got} == expected and len(got) == len(expected)
+
+
+def test_side_by_side_is_one_by_one(spark):
+    """Segmentations of many runs at once against those of single ones: ties, runs that can't be made, long ones, characters of no piece."""
+    import random
+
+    rng = random.Random(3)
+    p = {"a": 0.25, "b": 0.25, "ab": 0.0625, "ba": 0.1, "aba": 0.05, "\U0001d7d8": 0.1, "é": 0.05, "aéb": 0.01, "z": 0.0}
+    words = ["".join(rng.choice("aab\U0001d7d8éz" if k % 5 == 0 else "abé") for _ in range(k % 9 + 1)) for k in range(200)] + ["ab" * 4000, "zz"]
+    logs = {u: math.log(q) for u, q in p.items() if q > 0}
+    df = spark.createDataFrame([(w, 1) for w in words], "run string, mult long")
+    got = sorted((r.run, r.pieces, r.score) for r in vocab.segmented(df, p).collect())
+    assert got == sorted((w, *(vocab.viterbi(w, logs, 3) or (None, None))) for w in words)
+    for table in (vocab.Trie(logs), mock_wide(logs)):
+        pieces, score = vocab._segmented(table, logs, words)
+        assert pieces.to_pylist() == [f[0] if f else None for w in words for f in [vocab.viterbi(w, logs, 3)]]
+
+
+def mock_wide(logs):
+    """The trie of an alphabet that is too wide for a table."""
+    from unittest import mock
+
+    with mock.patch.object(vocab, "TABLE", 0):
+        return vocab.Trie(logs)
+
+
+def test_pruning_fetches_only_what_can_change(spark):
+    """Pruning over a table gives what it gives over all runs on the driver, and fetches only the runs that use a rare piece."""
+    words = [("abab", 50), ("cd", 40), ("abcd", 30), ("xyx", 1), ("zxy", 2), ("ab", 500), ("dc", 300)]
+    p = {"ab": 0.5, "cd": 0.2, "a": 0.05, "b": 0.05, "c": 0.06, "d": 0.06, "x": 0.02, "y": 0.02, "z": 0.02, "xy": 0.015, "yx": 0.005}
+    order = sorted(p, key=lambda u: -p[u])
+    df = spark.createDataFrame(words, "run string, mult long")
+    for eps, delta in ((0.018, 0.001), (0.018, 0.0), (0.03, 0.5)):
+        assert vocab.prune(df, order, p, 9.0, eps, 0.5, delta) == vocab.prune(words, order, p, 9.0, eps, 0.5, delta)
+    some, _, rest, chars, letters = vocab._prunable(df, p, ["xy", "yx"])
+    assert some == [("xyx", 1), ("zxy", 2)] and letters == set("abcdxyz") and chars == sum(len(w) * m for w, m in words) and rest[2] == 0
