@@ -207,3 +207,21 @@ def test_strip_is_linear_and_takes_what_the_pattern_takes(spark):
     text = F.concat(F.lit("a"), F.repeat(F.lit(" "), 300_000), F.lit("b"))
     assert spark.range(1).select(F.length(T.strip(text)).alias("n")).first().n == 300_002
     assert time.perf_counter() - began < 20
+
+
+def test_encoding_of_texts_together_is_that_of_each_alone(spark):
+    """Runs that texts share are encoded once; norms are those of the vectors; a fault stays in its row."""
+    p = {"a": 0.3, "b": 0.3, "ab": 0.2, " ": 0.2}
+    given = [(1, "ab ab a"), (2, "b"), (3, "ab  ab c " * 9), (4, "ab ab a"), (5, "")]
+    df = spark.createDataFrame(given, "seq_id long, text string")
+    whole = {r.seq_id: r for r in embed.encode(df, p, width=16, partitions=1).collect()}
+    encoder = embed.ConvEncoder(16)
+    for i, text in given:
+        seed, context = np.array(whole[i].seed, np.float32).reshape(-1, 16), np.array(whole[i].context, np.float32).reshape(-1, 16)
+        assert len(seed) == len(text) and np.allclose(encoder(seed), context, atol=1e-5)
+    assert whole[1].context == whole[4].context and whole[1].soft == whole[4].soft
+    length = lambda x: np.linalg.norm(np.array(x, np.float64), axis=1).mean()
+    for r in embed.encode(df.where("seq_id < 5"), p, True, width=16, partitions=1).collect():
+        assert (r.seed_norm, r.context_norm) == (pytest.approx(length(whole[r.seq_id].seed)), pytest.approx(length(whole[r.seq_id].context)))
+    bad = embed.encode(spark.createDataFrame([(1, "ab"), (2, None)], "seq_id long, text string").select("seq_id", F.coalesce("text", F.lit("b")).alias("text")), {"a": 0.5, "b": -1.0, "ab": 0.2}, True, width=4, partitions=1)
+    assert {r.seq_id: r.error for r in bad.collect()} == {1: None, 2: None}
