@@ -225,3 +225,23 @@ def test_encoding_of_texts_together_is_that_of_each_alone(spark):
         assert (r.seed_norm, r.context_norm) == (pytest.approx(length(whole[r.seq_id].seed)), pytest.approx(length(whole[r.seq_id].context)))
     bad = embed.encode(spark.createDataFrame([(1, "ab"), (2, None)], "seq_id long, text string").select("seq_id", F.coalesce("text", F.lit("b")).alias("text")), {"a": 0.5, "b": -1.0, "ab": 0.2}, True, width=4, partitions=1)
     assert {r.seq_id: r.error for r in bad.collect()} == {1: None, 2: None}
+
+
+def test_pairs_of_spans_on_a_grid_and_in_blocks(spark, monkeypatch):
+    """Containers, children and crossings against all pairs; equal and empty spans too. No join is planned."""
+    rng = np.random.default_rng(4)
+    for grid in (1 << 22, 50):
+        monkeypatch.setattr(spans, "GRID", grid)
+        for n in (1, 2, 40):
+            start = rng.integers(0, 9, n)
+            end = start + rng.integers(0, 6, n)
+            s, e, mult, over, under, cross, reach = spans._pairs(start, end)
+            assert mult.sum() == n
+            for a, b, *got in zip(s, e, over, under, cross, reach, strict=True):
+                crossing = (start < a) & (a < end) & (end < b)
+                assert got == [((start <= a) & (end >= b)).sum() - 1, ((start >= a) & (end <= b)).sum() - 1, crossing.sum(), end[crossing].sum()]
+    sp = spark.createDataFrame([(1, 0, 3), (1, 0, 7), (1, 4, 7), (1, 2, 5), (2, 0, 1)], "seq_id long, start int, end int")
+    for made in (spans.hierarchy(sp), spans.overlaps(sp), spans.containers(sp)):
+        assert "Join" not in made._jdf.queryExecution().toString()
+    assert [tuple(r) for r in spans.overlaps(sp).collect()] == [(1, 4, 4, 1.0)]
+    assert sorted((r.seq_id, r.start, r.end, r.depth, r.children) for r in spans.containers(sp).collect()) == [(1, 0, 3, 1, 0), (1, 0, 7, 0, 3), (1, 2, 5, 1, 0), (1, 4, 7, 1, 0), (2, 0, 1, 0, 0)]
