@@ -156,3 +156,32 @@ def test_pruning_fetches_only_what_can_change(spark):
         assert vocab.prune(df, order, p, 9.0, eps, 0.5, delta) == vocab.prune(words, order, p, 9.0, eps, 0.5, delta)
     some, _, rest, chars, letters = vocab._prunable(df, p, ["xy", "yx"])
     assert some == [("xyx", 1), ("zxy", 2)] and letters == set("abcdxyz") and chars == sum(len(w) * m for w, m in words) and rest[2] == 0
+
+
+def test_soft_probabilities_side_by_side(spark):
+    """Cells, masses and sums of many runs at once against those of single ones; no cell is shuffled by its run."""
+    import random
+
+    rng = random.Random(5)
+    p = {"a": 0.25, "b": 0.25, "ab": 0.0625, "ba": 0.1, "aba": 0.05, "\U0001d7d8": 0.1, "aéb": 0.01, "z": 0.0}
+    words = ["".join(rng.choice("aab\U0001d7d8éz" if k % 5 == 0 else "ab") for _ in range(k % 7 + 1)) for k in range(80)] + ["ab" * 3000]
+    df = spark.createDataFrame([(w, 1 + k % 3) for k, w in enumerate(words)], "run string, mult long")
+    alone = {w: vocab.soft_probabilities(w, p, 3) for w in words}
+    for r in vocab.forward_backward(df, p).collect():
+        total, cells = alone[r.run]
+        assert r.log_total == pytest.approx(total, rel=1e-12) and [(c.pos, c.piece) for c in r.soft] == [c[:2] for c in cells]
+        assert [c.p for c in r.soft] == pytest.approx([c[2] for c in cells], rel=1e-9)
+    mass, best, whole = {}, {}, {}
+    for k, w in enumerate(words):
+        for i, u, q in alone[w][1]:
+            mass[u] = mass.get(u, 0) + (1 + k % 3) * q
+            best[k, i], whole[k, i] = max(best.get((k, i), 0), q), whole.get((k, i), 0) + q
+    assert {r.piece: r.mass for r in vocab.piece_masses(df, p).collect()} == pytest.approx(mass)
+    made = vocab.soft_sums(df, p)
+    assert "Exchange hashpartitioning(run" not in made._jdf.queryExecution().toString()
+    rows = made.collect()
+    got = {c: sum(r[c] for r in rows) for c in vocab._SUMS}
+    weight = lambda f: sum((1 + k[0] % 3) * f(v) for k, v in best.items())
+    assert got["n"] == sum((1 + k % 3) * len(w) for k, w in enumerate(words)) and got["places"] == weight(lambda q: 1)
+    assert (got["best"], got["low"], got["high"]) == pytest.approx((weight(lambda q: q), weight(lambda q: q < 0.1), weight(lambda q: q > 0.8)))
+    assert got["row_sum"] == pytest.approx(sum((1 + k[0] % 3) * q for k, q in whole.items())) and max(r.top for r in rows) == pytest.approx(max(best.values()))
