@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST, LEAST = 512, 64
+#: Characters of segments that a task holds before it gives them out.
+HELD = 1 << 20
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -73,11 +75,28 @@ class Merger:
 def split(df: DataFrame, key: str, text: str, code: bool = False, most: int = MOST) -> DataFrame:
     """key, position, segment of each text; no shuffle."""
 
+    cut = split_code if code else split_sentences
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(k, i, s) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, s in enumerate((split_code if code else split_sentences)(t, most))]
+        rows: list[tuple] = []
+        held = 0
+
+        def out() -> pa.RecordBatch:
             made = zip(*rows, strict=True) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, (pa.int64(), pa.int32(), pa.string()), strict=True)], names=["id", "position", "segment"])
+            b = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, (pa.int64(), pa.int32(), pa.string()), strict=True)], names=["id", "position", "segment"])
+            rows.clear()
+            return b
+
+        for b in batches:
+            for k, t in zip(b.column(0), b.column(1), strict=True):  # one text at a time, whatever a batch holds
+                k, t = k.as_py(), t.as_py()
+                for i, s in enumerate(cut(t, most)):
+                    rows.append((k, i, s))
+                    held += len(s)
+                    if held > HELD or len(rows) > HELD // 64:
+                        yield out()
+                        held = 0
+        yield out()
 
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(work, "id long, position int, segment string")

@@ -245,3 +245,22 @@ def test_pairs_of_spans_on_a_grid_and_in_blocks(spark, monkeypatch):
         assert "Join" not in made._jdf.queryExecution().toString()
     assert [tuple(r) for r in spans.overlaps(sp).collect()] == [(1, 4, 4, 1.0)]
     assert sorted((r.seq_id, r.start, r.end, r.depth, r.children) for r in spans.containers(sp).collect()) == [(1, 0, 3, 1, 0), (1, 0, 7, 0, 3), (1, 2, 5, 1, 0), (1, 4, 7, 1, 0), (2, 0, 1, 0, 0)]
+
+
+def test_splitting_gives_out_as_it_goes(spark, monkeypatch):
+    """No batch of segments is larger than its bound, however many texts come at once; the segments are the same."""
+    import pyarrow as pa
+
+    texts = ["One. " * n + "end" for n in range(0, 4000, 40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    given = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema, *a: given.append(f))
+    segments.split(df, "doc_id", "text")
+    monkeypatch.undo()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    monkeypatch.setattr(segments, "HELD", 5000)
+    made = list(given[0](iter([batch])))
+    assert len(made) > 10 and max(b.num_rows for b in made) <= 5000 // 64 + 1 and max(sum(map(len, b.column(2).to_pylist())) for b in made) <= 5000 + 512
+    wanted = [(i, k, s) for i, t in enumerate(texts) for k, s in enumerate(segments.split_sentences(t))]
+    assert [tuple(r.values()) for b in made for r in b.to_pylist()] == wanted
+    assert sorted(map(tuple, segments.split(df, "doc_id", "text").collect())) == wanted
