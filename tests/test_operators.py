@@ -264,3 +264,12 @@ def test_splitting_gives_out_as_it_goes(spark, monkeypatch):
     wanted = [(i, k, s) for i, t in enumerate(texts) for k, s in enumerate(segments.split_sentences(t))]
     assert [tuple(r.values()) for b in made for r in b.to_pylist()] == wanted
     assert sorted(map(tuple, segments.split(df, "doc_id", "text").collect())) == wanted
+
+
+def test_quantiles_in_ranges(spark, monkeypatch):
+    """Against numpy, with ties, an outlier that leaves all others in one range, and a single number."""
+    monkeypatch.setattr(embed, "VALUES", 10)
+    rng = np.random.default_rng(6)
+    for x in (rng.normal(size=501), np.r_[rng.integers(0, 4, 200), 1e12], np.r_[np.zeros(50), rng.normal(size=50) * 1e-9], np.array([2.5])):
+        df = spark.createDataFrame([(float(v),) for v in x], "x double")
+        assert embed.quantiles(df, len(x), float(x.min()), float(x.max()), (0.25, 0.75)) == pytest.approx([np.quantile(x, 0.25), np.quantile(x, 0.75)], rel=1e-12, abs=1e-300)
